@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid
+from chronofold.llm import langid, line_dedup
 from chronofold.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,15 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = line_dedup.kept_text(F.col("text"), F.col("keep_runs"), F.col("n_dropped"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_langid": op9_langid}
+    return {"op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.ORACLE}
