@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, line_dedup
+from chronofold.llm import jaccard, langid, line_dedup
 from chronofold.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid}
+    return {"op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
