@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import jaccard, langid, line_dedup
+from chronofold.llm import jaccard, langid, line_dedup, packing
 from chronofold.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,17 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     kept = line_dedup.kept_text(F.col("text"), F.col("keep_runs"), F.col("n_dropped"))
@@ -31,8 +42,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
+    return {"op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE}
+    return {"op2_packing": op2_packing, "op3_line_dedup": line_dedup.ORACLE}
