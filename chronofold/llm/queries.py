@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import jaccard, langid, line_dedup, packing
-from chronofold.llm.common import documents
+from chronofold.llm import jaccard, langid, line_dedup, mixing, packing
+from chronofold.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,23 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Domains of the labelled table, and the share of tokens that each is to have.
+DOMAINS = ["high", "low", "toxic"]
+TARGET_WEIGHTS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
+
+
+def domain_labels(labelled: DataFrame) -> DataFrame:
+    """(doc_id, domain); rows without labels have none."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labelled.select("doc_id", domain.alias("domain")).where(F.col("domain").isNotNull())
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mix(documents(spark, sf_dir), domain_labels(labels(spark, sf_dir)), DOMAINS, weights=TARGET_WEIGHTS)
+    odds = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return rates.select("doc_id", "tokens", *odds, "rate", mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of an installed public vocabulary file."""
     import public_tokenizers
@@ -42,8 +59,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_packing": op2_packing, "op3_line_dedup": line_dedup.ORACLE}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": line_dedup.ORACLE}
