@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import jaccard, langid, line_dedup, mixing, packing
+from chronofold.llm import jaccard, langid, line_dedup, mixing, packing, pii, quality
 from chronofold.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rules = quality.fit(docs, labels(spark, sf_dir).select("doc_id", (F.col("quality") == 1).alias("good")))
+    failed = quality.base_failed()
+    found = quality.statistics(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & quality.verdict(rules))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -59,7 +73,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,3 +37,34 @@ def jaccard_components(rows, percent=75):
                     a, b = find(o), find(d)
                     root[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def base_spans(text):
+    """(kind, start, end) by kind and start."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((0, *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((1, *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((2, *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c in "0123456789" for c in m.group()) <= 15:
+            out.append((3, *m.span()))
+    return sorted(out)
+
+
+def quality_base(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    text = text or ""
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    w = split(text)
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if split(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
