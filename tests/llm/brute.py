@@ -68,3 +68,23 @@ def quality_base(text):
     covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
     lines = [x for x in text.split("\n") if split(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def repeated_bytes(rows, length=200):
+    """doc_id -> (n_bytes, removed runs), looking at all windows."""
+    seen, out = {}, {}
+    raw = {d: (t or "").encode() for d, t in rows}
+    for d, b in raw.items():
+        for i in range(len(b) - length + 1):
+            w = b[i : i + length]
+            seen[w] = 2 if w in seen else 1
+    for d, b in raw.items():
+        runs = []
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + length
+                else:
+                    runs.append([i, i + length])
+        out[d] = (len(b), [tuple(r) for r in runs])
+    return out
