@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, suffix_dedup
-from chronofold.llm.common import documents, labels
+from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, secrets, suffix_dedup
+from chronofold.llm.common import documents, labels, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,14 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.stored(documents(spark, sf_dir)))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    findings = written(secrets.candidates(docs), "findings")
+    model = secrets.fit(findings.withColumn("secret", secrets.known_findings()), secrets.dictionary(docs))
+    found = secrets.scored(findings, model)
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -83,7 +91,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
