@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from chronofold.plans import q_timing  # noqa: F401
+from chronofold.plans import q_profiles, q_temporal, q_timing  # noqa: F401
