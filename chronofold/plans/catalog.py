@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from chronofold.plans import q_functions, q_profiles, q_temporal, q_timing  # noqa: F401
+from chronofold.plans import q_fsm, q_functions, q_log, q_profiles, q_temporal, q_timing  # noqa: F401
