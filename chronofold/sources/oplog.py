@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A log is one file; a file is not split, since records only have their place for an order.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").option("wholetext", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path, wholetext=True)
     return text.select(F.col("_metadata.file_name").alias("replay_id"), F.posexplode(F.split("value", "\r?\n")).alias("op_seq", "line"))
 
 
