@@ -21,12 +21,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.conf.get("spark.app.id", "")
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
+        found = _own[app]
     return found.rstrip("/")
 
 

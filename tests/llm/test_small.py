@@ -1,0 +1,300 @@
+"""Each operator on awkward rows against a plain version, on an empty table, and with clashing columns."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, secrets, suffix_dedup
+from chronofold.llm.queries import tokenizer_path
+
+from . import brute
+from .conftest import AWKWARD
+
+TEXT = dict(AWKWARD)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r.asDict(recursive=True) for r in df.collect()}
+
+
+def test_jaccard(docs):
+    got = by_id(jaccard.near_duplicates(docs([*AWKWARD, AWKWARD[10]]).withColumn("component_id", F.lit("clash"))))
+    want = brute.jaccard_components([(d, t) for d, t in AWKWARD if d is not None])
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items() if d is not None} == want
+    assert want[15][1] == 14 and want[12][1] == want[11][1] < 12
+    assert jaccard.near_duplicates(docs([])).count() == 0
+
+
+def test_jaccard_threshold_is_exact(docs):
+    """Sets of 4 of 5 and of 3 of 4 shared members: above, and just at the threshold."""
+    w = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join(w[: 7 + i])) for i in range(12)]
+    got = by_id(jaccard.near_duplicates(docs(rows)))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard_components(rows)
+
+
+def test_jaccard_cut_blocks(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROWS", 4)
+    base = [f"t{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[: 70 - i % 5], f"x{i}", *base[70:]])) for i in range(30)] + [(100 + i, f"quite another text {i} of its own") for i in range(5)]
+    got = by_id(jaccard.near_duplicates(docs(rows)))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard_components(rows)
+
+
+def test_line_dedup(docs):
+    df = docs(AWKWARD).withColumn("n_lines", F.lit("clash"))
+    found = line_dedup.line_dedup(df)
+    got = by_id(found.withColumn("kept", line_dedup.kept_text(F.col("text"), F.col("keep_runs"), F.col("n_dropped"))))
+    assert len(got) == len(AWKWARD)
+    assert (got[1]["n_lines"], got[2]["n_lines"], got[3]["n_lines"]) == (1, 1, 3)
+    assert (got[7]["n_dropped"], got[7]["kept"]) == (2, "one\n two")
+    assert got[8]["n_dropped"] == 1 and got[8]["kept"].startswith("three")
+    assert got[9]["n_dropped"] == 0 and got[9]["kept"] == TEXT[9]
+    assert got[7]["keep_runs"] == [{"start": 0, "n": 1}, {"start": 2, "n": 1}]
+    assert line_dedup.line_dedup(docs([])).count() == 0
+
+
+def test_line_dedup_hot_line(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_TIMES", 0)
+    rows = [(i, f"a line found in every one of them\nown line number {i} of this document\nshared by pairs: number {i // 2}") for i in range(200)]
+    got = by_id(line_dedup.line_dedup(docs(rows)))
+    assert {d: r["n_dropped"] for d, r in got.items()} == {i: int(i != 199) for i in range(200)}
+
+
+def test_ascii_case_only(docs):
+    a, b = "ÀÉ long enough to count as a line", "àé long enough to count as a line"
+    got = by_id(line_dedup.line_dedup(docs([(1, a), (2, b), (3, a.replace("long", "LONG")), (4, a)])))
+    assert [got[i]["n_dropped"] for i in (1, 2, 3, 4)] == [1, 0, 1, 0]
+
+
+@pytest.mark.parametrize("rows", [2000, 3])
+def test_suffix_dedup(docs, monkeypatch, rows):
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)
+    extra = [(20 + i, f"{i} before " + PASSAGE_CUT[i:] + f" after {i}") for i in range(15)]
+    all_rows = [(d, t) for d, t in AWKWARD if d is not None] + extra
+    got = by_id(suffix_dedup.remove_repeats(docs(all_rows).withColumn("spans", F.lit(1))))
+    want = brute.repeated_bytes(all_rows)
+    for d, t in all_rows:
+        n, runs = want[d]
+        raw = (t or "").encode()
+        assert (got[d]["n_bytes"], [(s["lo"], s["hi"]) for s in got[d]["spans"]]) == (n, runs), d
+        assert len(got[d]["kept"]) == len(raw) - sum(b - a for a, b in runs)
+
+
+PASSAGE_CUT = TEXT[11][: 11 * 40]
+
+
+def test_suffix_dedup_empty(docs):
+    assert suffix_dedup.remove_repeats(docs([])).count() == 0
+
+
+def test_pii_base(docs):
+    more = [(30, "a@b.co_c@d.ee x@y 1.2.3.4.5 999.1.1.1 0001.2.3.4 a@b..c"), (31, "+1-2 +12345678 +1 (2) 3456-78.90 12 4111-1111 1111 1111 2 " + "5" * 30_000), (32, "é@x.yz 日4012888888881881日 +49 30 1234567 - +"), (33, "@" * 20_000 + "." * 100)]
+    got = by_id(pii.find(docs(AWKWARD + more).withColumn("spans", F.lit("clash"))))
+    for d, t in AWKWARD + more:
+        assert [(s["kind"], s["start"], s["end"]) for s in got[d]["base"]] == brute.base_spans(t or ""), d
+        assert [s for s in got[d]["base"] if s not in got[d]["spans"]] == []
+    assert pii.find(docs([])).count() == 0
+
+
+def test_pii_discovers(docs):
+    """Tokens behind a word that only numbers of phones follow are found, others are not."""
+    known = [(i, f"text dialling +1 212 555 01{i:02d} please {i}") for i in range(12)]
+    new = [(50, "text dialling 0049-30-12345 please"), (51, "version 0049-30-99999 there")]
+    got = by_id(pii.find(docs(known + new)))
+    assert got[50]["spans"] == [{"kind": 3, "start": 14, "end": 27}] and got[50]["base"] == []
+    assert got[51]["spans"] == []
+
+
+def test_quality(docs):
+    more = [(40, "a b c a b c d\n\na b c a b c d\nx"), (41, "# $ % & | < > * word\nword\nword "), (42, "e e e e")]
+    got = by_id(quality.statistics(docs(AWKWARD + more).withColumn("n_words", F.lit("clash"))))
+    for d, t in AWKWARD + more:
+        r = got[d]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.quality_base(t), d
+    assert quality.statistics(docs([])).count() == 0
+
+
+def test_quality_rules(docs, shared):
+    good = [(i, " ".join(f"word{i * j % 97}" for j in range(1, 80)) + ".") for i in range(60)]
+    bad = [(100 + i, " ".join(f"w{i * j % 89}$$$" for j in range(1, 80))) for i in range(60)]
+    df = docs(good + bad)
+    labelled = shared.createDataFrame([(d, d < 100) for d, _ in good + bad if d % 2], "doc_id long, good boolean")
+    rules = quality.fit(df, labelled)
+    assert rules
+    kept = {r["doc_id"]: r["kept"] for r in quality.statistics(df).withColumn("kept", quality.verdict(rules)).collect()}
+    assert all(kept[d] == (d < 100) for d in kept)
+    assert quality.fit(df, labelled.limit(0)) == []
+
+
+def test_flac(docs):
+    df = flac.stored(docs(AWKWARD).withColumn("media", F.lit(1)))
+    got = by_id(flac.read_back(df))
+    for d, t in AWKWARD:
+        raw = (t or "").encode()
+        body = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        r = got[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]))
+    blocks = [r for r in flac.pcm_blocks(df).collect() if r["doc_id"] == 6]
+    assert [r["sample_offset"] for r in sorted(blocks, key=lambda r: r["sample_offset"])] == [i * flac.BLOCK for i in range(len(blocks))]
+    assert flac.stored(docs([])).count() == 0
+
+
+def _bits(*fields):
+    s = "".join(f"{v & ((1 << n) - 1):0{n}b}" for v, n in fields)
+    s += "0" * (-len(s) % 8)
+    return int(s, 2).to_bytes(len(s) // 8, "big")
+
+
+def _frame(number, size, body):
+    import numpy as np
+
+    f = flac._header(number, size) + body
+    return f + int(flac.crc16(np.frombuffer(f, np.uint8), np.array([0]), np.array([len(f)]))[0]).to_bytes(2, "big")
+
+
+def _rice(values, k):
+    out = []
+    for v in values:
+        u = 2 * v if v >= 0 else -2 * v - 1
+        out += [(1, (u >> k) + 1), (u, k)] if k else [(1, u + 1)]
+    return out
+
+
+def test_flac_linear_predictors_and_partitions():
+    """Frames of kinds that the encoder doesn't write: higher orders, partitions and escapes."""
+    import random
+
+    random.seed(3)
+    x = [int(20 * ((i * 7) % 13 - 6) / 6 + i % 3) for i in range(192)]
+    lpc = [x[i] - ((3 * x[i - 1] - 2 * x[i - 2]) >> 1) for i in range(2, 192)]
+    linear = _bits((0, 1), (32 + 1, 6), (0, 1), (x[0], 8), (x[1], 8), (4 - 1, 4), (1, 5), (3, 4), (-2, 4), (0, 2), (1, 4), (4, 4), *_rice(lpc[:94], 4), (15, 4), (9, 5), *((v, 9) for v in lpc[94:]))
+    frames = [_frame(0, 192, linear)]
+    total = list(x)
+    for n, order in enumerate((2, 3, 4), 1):
+        d = x
+        for _ in range(order):
+            d = [b - a for a, b in zip(d, d[1:], strict=False)]
+        body = _bits((0, 1), (8 + order, 6), (0, 1), *((v, 8) for v in x[:order]), (0, 2), (0, 4), (3, 4), *_rice(d, 3))
+        frames.append(_frame(n, 192, body))
+        total += x
+    samples = bytes(v & 255 for v in total)
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + ((44100 << 44) | (7 << 36) | len(samples)).to_bytes(8, "big") + hashlib.md5(samples).digest()
+    head = b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info
+    assert b"".join(p for _, p in flac.decode_many([head + b"".join(frames)])[0]) == bytes(v ^ 0x80 for v in samples)
+    broken = bytearray(head + b"".join(frames))
+    broken[60] ^= 4
+    with pytest.raises(flac.FlacError):
+        flac.decode_many([bytes(broken)])
+
+
+def test_langid(docs):
+    words = {"en": "the and of to in that was for with", "de": "der die und das nicht mit ist ein auf"}
+    rows = [(i, " ".join(words[lang].split()[(i + j * j) % 9] for j in range(30)), lang) for i in range(60) for lang in ("en", "de") if (i % 2 == 0) == (lang == "en")]
+    rows += [(100, None, "en"), (101, "", None), (102, "12345 !!", "de"), (103, "日本語の文章です", None)]
+    df = docs(rows)
+    model = langid.fit(df.where(~langid.held_out()))
+    got = by_id(langid.identify(df.withColumn("score", F.lit("clash")), model))
+    assert all(got[d]["lang_pred"] == lang for d, _, lang in rows[:60])
+    assert [got[i]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3 and all(got[i]["rejected"] for i in range(100, 104))
+    assert not any(got[d]["rejected"] for d, _, _ in rows[:60])
+    none = langid.fit(df.limit(0))
+    assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
+    assert langid.identify(docs([]), model).count() == 0
+
+
+def test_langid_pieces(monkeypatch):
+    import numpy as np
+
+    texts = ["", "a", "Ab cd. éf" * 50, "日本 x" * 9]
+    whole = langid.term_counts(texts)
+    monkeypatch.setattr(langid, "_PIECE", 7)
+    assert np.array_equal(whole, langid.term_counts(texts))
+
+
+def test_packing(docs):
+    got = packing.pack(docs([*AWKWARD, AWKWARD[13]]).withColumn("offset", F.lit("clash")), tokenizer_path()).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    import numpy as np
+
+    ids = {d: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4") for d, t in AWKWARD}
+    covered = {d: [] for d in ids}
+    by_sequence = {}
+    for r in got:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (len(part), zlib.crc32(part.tobytes()), len(ids[r["doc_id"]])) == (r["length"], r["ids_crc32"], r["doc_tokens"])
+        covered[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, parts in covered.items():
+        assert sum(n for _, n in parts) == len(ids[d]) * (2 if d == 14 else 1)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    assert packing.pack(docs([]), tokenizer_path()).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    random.seed(5)
+    parts = ["th", "er", "ing", "é", "schtz", "ß", "tion", "qu", "a", "ou", "ñ", "ing"]
+    words = ["".join(random.choices(parts, k=random.randint(1, 7))) for _ in range(20_000)]
+    words += ["İ", "ﬁ", "don't", "I'll", "x1y2", "á", "日本語", "A.B", "...", "\U0001f600", "ÀÉ,", "a b", "<|endoftext|>", "_x_"]
+    for s in range(0, len(words), 500):
+        text = " ".join(w.title() if i % 3 == 0 else w + ("," if i % 5 == 0 else "") for i, w in enumerate(words[s : s + 500]))
+        import numpy as np
+
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_plan_never_overuses():
+    hist = {3: 100, 5: 40, 8: 1000, 100: 7, 150: 9, 253: 90, 256: 5, 1: 3}
+    used = {}
+    for combo, n in packing.plan(hist, 256):
+        assert sum(combo) == 256
+        for b in combo:
+            used[b] = used.get(b, 0) + n
+    assert used and all(n <= hist[b] for b, n in used.items())
+
+
+def test_mixing(docs, shared):
+    rows = [(i, "nasty vile words here " * (1 + i % 5) if i % 4 == 0 else "calm and pleasant prose flows " * (1 + i % 7)) for i in range(200)] + [(300, None), (301, "")]
+    labelled = shared.createDataFrame([(i, "bad" if i % 4 == 0 else "good") for i in range(0, 200, 2)] + [(None, "good"), (1, None)], "doc_id long, domain string")
+    df = docs(rows).withColumn("rate", F.lit("clash"))
+    got = by_id(mixing.mix(df, labelled, ["good", "bad"], weights={"good": 0.5, "bad": 0.5}))
+    assert len(got) == 202 and got[300]["tokens"] == 0
+    total = sum(r["tokens"] for r in got.values())
+    mixed = [sum(r["rate"] * r["tokens"] * r["posterior"][k] for r in got.values()) / total for k in (0, 1)]
+    assert mixed == pytest.approx([0.5, 0.5], abs=0.01)
+    dropped = by_id(mixing.mix(df, labelled, ["good", "bad"], targets={"good": None, "bad": 0.0}, most=1.0))
+    assert all((dropped[i]["rate"] < 0.5) == (i % 4 == 0) for i in range(200))
+    none = by_id(mixing.mix(df, labelled.limit(0), ["good", "bad"], weights={"good": 1.0, "bad": 1.0}))
+    assert none[1]["posterior"] == [0.5, 0.5]
+    assert mixing.mix(docs([]), labelled, ["good", "bad"], weights={"good": 1.0, "bad": 1.0}).count() == 0
+
+
+def test_secrets(docs):
+    import random
+
+    random.seed(1)
+    key = lambda: "".join(random.choices("0123456789abcdef", k=32))
+    rows = [(i, f"some text token = {key()} and more of it") for i in range(40)] + [(100 + i, f"order number {random.randrange(10**15, 10**16)} was sent") for i in range(40)]
+    df = docs([*rows, *AWKWARD])
+    found = secrets.candidates(df).cache()
+    model = secrets.fit(found.withColumn("secret", secrets.known_findings()), secrets.dictionary(df))
+    assert model.trees
+    got = secrets.scored(found, model).collect()
+    assert all(r["is_secret"] == (r["doc_id"] < 100) for r in got if r["doc_id"] is not None and (r["doc_id"] < 100 or r["doc_id"] >= 100) and r["doc_id"] not in dict(AWKWARD).keys() - set(range(40)))
+    assert sum(r["is_secret"] for r in got) >= 40
+    assert secrets.candidates(docs([])).count() == 0
+    assert set(secrets.fit_rows([], [], set()).score([r.asDict() for r in found.limit(2).collect()])) == {0.5}
