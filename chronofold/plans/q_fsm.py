@@ -11,7 +11,7 @@ from chronofold.functions import geometry as G
 from chronofold.operators import fsm
 from chronofold.operators import temporal as T
 from chronofold.plans.fixtures import DAY, E, HOUR, S, of_type, ops, statuses
-from chronofold.plans.q_functions import P, UV, XZ, _r, points
+from chronofold.plans.q_functions import P, _r, points, uv, xz
 from chronofold.plans.registry import query
 from chronofold.sources.tables import table
 
@@ -117,7 +117,7 @@ def nearest_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the nearest of the same kind that is there at the same time, here in the same fifty."""
     p = points(spark, sf_dir).withColumn("there", F.floor(F.col("vec_id") / 50))
     o = p.select("label", "there", F.col("vec_id").alias("other"), F.col("x").alias("ox"), F.col("z").alias("oz"))
-    d = G.length(G.sub(XZ, (F.col("ox"), F.col("oz"))))
+    d = G.length(G.sub(xz(), (F.col("ox"), F.col("oz"))))
     return p.join(o, ["label", "there"]).where("vec_id <> other").groupBy("vec_id").agg(_r(F.min(d), "distance"))
 
 
@@ -146,37 +146,37 @@ _AT = "d AS (SELECT *, u - x AS dx, v - z AS dz, sqrt((u - x) * (u - x) + (v - z
 @query("cone_analysis", f"WITH {P}, {_AT} SELECT vec_id, round(degrees(atan2(dx, dz)), 4) + 0.0 AS angle, round(r, 6) + 0.0 AS range_, r <= 2 AND abs(atan2(dx, dz)) <= 1.0 AS hit FROM d")
 def cone_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angle and range of each target as seen from its source, and whether a cone would hit it."""
-    d = G.sub(UV, XZ)
+    d = G.sub(uv(), xz())
     return points(spark, sf_dir).select("vec_id", (F.round(F.degrees(G.to_angle(d)), 4) + F.lit(0.0)).alias("angle"), _r(G.length(d), "range_"), ((G.length(d) <= 2) & (F.abs(G.to_angle(d)) <= 1.0)).alias("hit"))
 
 
 @query("rect_analysis", f"WITH {P}, {_AT} SELECT vec_id, round(dx * cos(0.7) - dz * sin(0.7), 6) + 0.0 AS normal, round(dx * sin(0.7) + dz * cos(0.7), 6) + 0.0 AS along, abs(dx * cos(0.7) - dz * sin(0.7)) <= 0.8 AND dx * sin(0.7) + dz * cos(0.7) BETWEEN 0 AND 3 AS hit FROM d")
 def rect_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side, ahead = G.local(UV, XZ, F.lit(0.7))
+    side, ahead = G.local(uv(), xz(), F.lit(0.7))
     return points(spark, sf_dir).select("vec_id", _r(side, "normal"), _r(ahead, "along"), ((F.abs(side) <= 0.8) & ahead.between(0, 3)).alias("hit"))
 
 
 @query("falloff", f"WITH {P}, {_AT} SELECT CAST(floor(r) AS BIGINT) AS distance, count(*) AS n, round(avg(greatest(abs(dx), abs(dz))), 6) + 0.0 AS mean_max FROM d GROUP BY 1")
 def falloff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By distance, Euclidean and by the larger component."""
-    dx, dz = G.sub(UV, XZ)
+    dx, dz = G.sub(uv(), xz())
     return points(spark, sf_dir).groupBy(F.floor(G.length((dx, dz))).alias("distance")).agg(F.count("*").alias("n"), _r(F.avg(F.greatest(F.abs(dx), F.abs(dz))), "mean_max"))
 
 
 @query("gaze", f"WITH {P}, {_AT} SELECT vec_id, round(degrees(atan2(-dx, -dz)), 4) + 0.0 AS to_source, abs(atan2(-dx, -dz)) < pi() / 4 AS hit FROM d")
 def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angle from the target back to the source, and whether it is within an eighth of a turn of +Z."""
-    back = G.to_angle(G.sub(XZ, UV))
+    back = G.to_angle(G.sub(xz(), uv()))
     return points(spark, sf_dir).select("vec_id", (F.round(F.degrees(back), 4) + F.lit(0.0)).alias("to_source"), (F.abs(back) < math.pi / 4).alias("hit"))
 
 
 @query("knockback", f"WITH {P}, {_AT} SELECT vec_id, CASE WHEN r = 0 THEN 'other' WHEN label % 5 = 0 THEN 'immune' ELSE 'moved' END AS kind, round(CASE WHEN r > 0 AND label % 5 <> 0 THEN u + dx / r * 3 ELSE u END, 6) + 0.0 AS to_x, round(CASE WHEN r > 0 AND label % 5 <> 0 THEN v + dz / r * 3 ELSE v END, 6) + 0.0 AS to_z FROM d")
 def knockback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets pushed three yalms away from their source, but for those that are immune."""
-    d = G.sub(UV, XZ)
+    d = G.sub(uv(), xz())
     n, moved = G.normalise(d), (G.length(d) > 0) & (F.col("label") % 5 != 0)
     kind = F.when(G.length(d) == 0, "other").when(F.col("label") % 5 == 0, "immune").otherwise("moved")
-    at = lambda i: F.when(moved, UV[i] + n[i] * 3).otherwise(UV[i])
+    at = lambda i: F.when(moved, uv()[i] + n[i] * 3).otherwise(uv()[i])
     return points(spark, sf_dir).select("vec_id", kind.alias("kind"), _r(at(0), "to_x"), _r(at(1), "to_z"))
 
 
@@ -211,7 +211,7 @@ def position_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def arc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forbidden arcs merged; those across the end of the circle are split there."""
-    a = points(spark, sf_dir).where("vec_id % 20 = 0").select("label", (G.to_angle(XZ) - 0.05).alias("lo"), (G.to_angle(XZ) + 0.05).alias("hi"))
+    a = points(spark, sf_dir).where("vec_id % 20 = 0").select("label", (G.to_angle(xz()) - 0.05).alias("lo"), (G.to_angle(xz()) + 0.05).alias("hi"))
     s = fsm.split_arcs(a, "lo", "hi")
     return T.interval_union(s, ["label"], "lo", "hi").select("label", _r(F.col("lo"), "lo"), _r(F.col("hi"), "hi"))
 

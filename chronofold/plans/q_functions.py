@@ -148,7 +148,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", at(0).alias("x"), at(1).alias("z"), at(2).alias("u"), at(3).alias("v"))
 
 
-XZ, UV, ZERO = G.vec(F.col("x"), F.col("z")), G.vec(F.col("u"), F.col("v")), G.vec(F.lit(0.0), F.lit(0.0))
+def xz() -> G.Vec:
+    return F.col("x"), F.col("z")
+
+
+def uv() -> G.Vec:
+    return F.col("u"), F.col("v")
+
+
+def zero() -> G.Vec:
+    return F.lit(0.0), F.lit(0.0)
 
 
 def _r(c: Column, name: str) -> Column:
@@ -158,13 +167,13 @@ def _r(c: Column, name: str) -> Column:
 
 @query("vec_math", f"WITH {P} SELECT vec_id, round(x * u + z * v, 6) + 0.0 AS dot, round(x * v - z * u, 6) + 0.0 AS crs, round(sqrt(x * x + z * z), 6) + 0.0 AS len, round(x / nullif(sqrt(x * x + z * z), 0), 6) + 0.0 AS nx, round(x * cos(0.5) + z * sin(0.5), 6) + 0.0 AS rx, round(z * cos(0.5) - x * sin(0.5), 6) + 0.0 AS rz FROM p")
 def vec_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turned = G.rotate(XZ, F.lit(0.5))
-    return points(spark, sf_dir).select("vec_id", _r(G.dot(XZ, UV), "dot"), _r(G.cross(XZ, UV), "crs"), _r(G.length(XZ), "len"), _r(G.normalise(XZ)[0], "nx"), _r(turned[0], "rx"), _r(turned[1], "rz"))
+    turned = G.rotate(xz(), F.lit(0.5))
+    return points(spark, sf_dir).select("vec_id", _r(G.dot(xz(), uv()), "dot"), _r(G.cross(xz(), uv()), "crs"), _r(G.length(xz()), "len"), _r(G.normalise(xz())[0], "nx"), _r(turned[0], "rx"), _r(turned[1], "rz"))
 
 
 @query("angle_math", f"WITH {P} SELECT vec_id, round(atan2(x, z), 6) + 0.0 AS a, round(abs(pi() - ((pi() - (atan2(x, z) - atan2(u, v))) - 2 * pi() * floor((pi() - (atan2(x, z) - atan2(u, v))) / (2 * pi())))), 6) + 0.0 AS between_ FROM p")
 def angle_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("vec_id", _r(G.to_angle(XZ), "a"), _r(G.angle_between(G.to_angle(XZ), G.to_angle(UV)), "between_"))
+    return points(spark, sf_dir).select("vec_id", _r(G.to_angle(xz()), "a"), _r(G.angle_between(G.to_angle(xz()), G.to_angle(uv())), "between_"))
 
 
 #: Facing 0.7, as (sine, cosine), and the local coordinates of the oracles.
@@ -184,14 +193,14 @@ _SHAPES = {
 def _shapes() -> dict[str, Column]:
     f, d = F.lit(0.7), lambda x: F.lit(float(x))
     return {
-        "circle": G.sd_circle(XZ, ZERO, d(1.5)),
-        "donut": G.sd_donut(XZ, ZERO, d(1), d(2)),
-        "rect": G.sd_rect(XZ, ZERO, f, d(3), d(1), d(0.8)),
-        "crs": G.sd_cross(XZ, ZERO, f, d(3), d(0.5)),
-        "cone": G.sd_cone(XZ, ZERO, f, 0.6, d(3)),
-        "sector": G.sd_donut_sector(XZ, ZERO, f, 0.6, d(1), d(3)),
-        "capsule": G.sd_capsule(XZ, ZERO, f, d(2), d(0.7)),
-        "plane": G.sd_half_plane(XZ, ZERO, G.direction(f)),
+        "circle": G.sd_circle(xz(), zero(), d(1.5)),
+        "donut": G.sd_donut(xz(), zero(), d(1), d(2)),
+        "rect": G.sd_rect(xz(), zero(), f, d(3), d(1), d(0.8)),
+        "crs": G.sd_cross(xz(), zero(), f, d(3), d(0.5)),
+        "cone": G.sd_cone(xz(), zero(), f, 0.6, d(3)),
+        "sector": G.sd_donut_sector(xz(), zero(), f, 0.6, d(1), d(3)),
+        "capsule": G.sd_capsule(xz(), zero(), f, d(2), d(0.7)),
+        "plane": G.sd_half_plane(xz(), zero(), G.direction(f)),
     }
 
 
@@ -213,7 +222,7 @@ _EDGES = list(zip(_POLYGON, [*_POLYGON[1:], _POLYGON[0]], strict=True))
 
 @query("in_polygon", f"WITH {P} SELECT vec_id, ({' + '.join(f'CASE WHEN ({a[1]} > z) <> ({b[1]} > z) AND x < ({b[0]} - {a[0]}) * (z - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END' for a, b in _EDGES)}) % 2 = 1 AS hit FROM p".replace("- -", "+ "))
 def in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("vec_id", G.in_polygon(XZ, _POLYGON).alias("hit"))
+    return points(spark, sf_dir).select("vec_id", G.in_polygon(xz(), _POLYGON).alias("hit"))
 
 
 @query(
@@ -242,24 +251,24 @@ def polygon_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ray_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from each point along one direction to a circle and to a segment."""
     unit, d = G.direction(F.lit(0.3)), lambda x: F.lit(float(x))
-    return points(spark, sf_dir).select("vec_id", _r(G.ray_circle(XZ, unit, ZERO, d(1)), "circle"), _r(G.ray_segment(XZ, unit, (d(1), d(2)), (d(-1), d(5))), "segment"))
+    return points(spark, sf_dir).select("vec_id", _r(G.ray_circle(xz(), unit, zero(), d(1)), "circle"), _r(G.ray_segment(xz(), unit, (d(1), d(2)), (d(-1), d(5))), "segment"))
 
 
 @query("curve_approx", f"WITH {P} SELECT vec_id, i, round(x + 2 * sin(0.1 + 1.4 * i / 8), 6) + 0.0 AS px, round(z + 2 * cos(0.1 + 1.4 * i / 8), 6) + 0.0 AS pz FROM p, range(9) t(i)")
 def curve_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = G.arc_points(XZ, F.lit(2.0), 0.1, 1.5, 8)
+    pts = G.arc_points(xz(), F.lit(2.0), 0.1, 1.5, 8)
     return points(spark, sf_dir).select("vec_id", F.posexplode(pts).alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), _r(F.col("p.x"), "px"), _r(F.col("p.z"), "pz"))
 
 
 @query("radius_filter", f"WITH {P} SELECT vec_id, label, round(x * x + z * z, 6) + 0.0 AS d2 FROM p WHERE x * x + z * z <= 2.25 AND label <> 0")
 def radius_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d2 = G.dot(XZ, XZ)
+    d2 = G.dot(xz(), xz())
     return points(spark, sf_dir).where((d2 <= 2.25) & (F.col("label") != 0)).select("vec_id", "label", _r(d2, "d2"))
 
 
 @query("sort_distance", f"WITH {P} SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY x * x + z * z, vec_id) AS place FROM p")
 def sort_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy(G.dot(XZ, XZ), "vec_id")
+    w = Window.partitionBy("label").orderBy(G.dot(xz(), xz()), "vec_id")
     return points(spark, sf_dir).select("label", "vec_id", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -270,7 +279,7 @@ def sort_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def clock_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clockwise from the first of each group."""
-    a = points(spark, sf_dir).withColumn("ang", G.to_angle(XZ))
+    a = points(spark, sf_dir).withColumn("ang", G.to_angle(xz()))
     s = a.groupBy("label").agg(F.min_by("ang", "vec_id").alias("start"))
     turn = F.round(F.pmod(F.col("start") - F.col("ang"), F.lit(2 * math.pi)), 9)
     return a.join(s, "label").select("label", "vec_id", F.row_number().over(Window.partitionBy("label").orderBy(turn, "vec_id")).cast("long").alias("place"))

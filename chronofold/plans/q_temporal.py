@@ -12,7 +12,7 @@ from chronofold.plans.registry import query
 from chronofold.sources.tables import table
 
 
-def _asof(kind: str, op: str, order: str) -> str:
+def _asof(kind: str, op: str) -> str:
     return f"""WITH {E} SELECT l.event_id, r.event_id AS other_id, r.value AS other_value
     FROM (SELECT * FROM e WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = '{kind}') r
     ON l.user_id = r.user_id AND l.us {op} r.us"""
@@ -25,17 +25,17 @@ def _as_of(spark: SparkSession, sf_dir: str, kind: str, **how) -> DataFrame:
     return T.as_of(left, right, ["user_id"], "us", ["other_id", "other_value"], "other_id", **how).select("event_id", "other_id", "other_value")
 
 
-@query("asof_backward", _asof("view", ">=", ""))
+@query("asof_backward", _asof("view", ">="))
 def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of(spark, sf_dir, "view")
 
 
-@query("asof_strict", _asof("click", ">", ""))
+@query("asof_strict", _asof("click", ">"))
 def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of(spark, sf_dir, "click", strict=True)
 
 
-@query("asof_forward", _asof("click", "<=", ""))
+@query("asof_forward", _asof("click", "<="))
 def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of(spark, sf_dir, "click", direction="forward")
 

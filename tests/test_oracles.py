@@ -54,3 +54,13 @@ def test_folds_run(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_names_need_no_session():
+    """queries() and oracle_sql() can be read before there is a session."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.returncode == 0, out.stderr[-500:]
