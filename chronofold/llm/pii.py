@@ -31,7 +31,7 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Tokens that may be identifiers: no white space, and a digit or an at sign.
-_TOKEN = r"(?<![^\s,;])[A-Za-z0-9(][A-Za-z0-9._%+()@\[\]-]*+"
+_TOKEN = r"(?<![^\s,;])(?=[A-Za-z._%+()\[\]-]*[0-9@])[A-Za-z0-9(][A-Za-z0-9._%+()@\[\]-]*+"
 _MENTION = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -121,9 +121,8 @@ def discovered(mentions: DataFrame, rounds: int = 3, least_score: float = 0.9, l
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans) of each row of `docs`: arrays of (kind, start, end), by kind and start."""
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    marked = whole.where(F.col("t").rlike("[0-9@]")).select("key", F.xxhash64("t").alias("tid"), _let(F.col("t"), lambda t: _let(base_spans(t), lambda b: F.struct(b.alias("base"), _mentions(t, b).alias("mentions")))).alias("x"))
-    plain = whole.where(~F.col("t").rlike("[0-9@]")).select("key", F.xxhash64("t").alias("tid"), F.lit(None).cast("array<struct<kind:int,start:int,end:int,m:string>>").alias("base"), F.lit(None).cast("array<struct<kind:int,start:int,end:int,m:string,left:string,right:string>>").alias("mentions"))
-    table = written(marked.select("key", "tid", "x.base", "x.mentions").unionByName(plain), "pii-mentions")
+    found = F.when(F.col("t").rlike("[0-9@]"), _let(F.col("t"), lambda t: _let(base_spans(t), lambda b: F.struct(b.alias("base"), _mentions(t, b).alias("mentions")))))
+    table = written(whole.select("key", F.xxhash64("t").alias("tid"), found.alias("x")).select("key", "tid", "x.base", "x.mentions"), "pii-mentions")
     mentions = table.select("key", "tid", F.explode("mentions").alias("x")).select("key", "tid", "x.*")
     span = F.struct("kind", "start", "end")
     added = discovered(mentions).groupBy("key", "tid").agg(F.collect_set(span).alias("added")).withColumnRenamed("key", "k").withColumnRenamed("tid", "h")
