@@ -63,7 +63,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     gone = dropped_lines(docs.select(key, text), key, text, min_chars, min_docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     out = docs.join(gone, docs[key].eqNullSafe(gone["doc"]), "left").drop("doc")
     out = out.withColumn("n_lines", F.size(_lines(F.col(text))).cast("long")).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    out = out.withColumn("_gone", F.filter("_gone", lambda p: p < F.col("n_lines")))
+    # Places beyond the end come from longer rows with the same key; the rare case alone looks at each place, as a
+    # filter above this puts the counting of lines into the lambda.
+    beyond = F.coalesce(F.array_max("_gone"), F.lit(-1)) >= F.col("n_lines")
+    out = out.withColumn("_gone", F.when(beyond, F.filter("_gone", lambda p: p < F.col("n_lines"))).otherwise(F.col("_gone")))
     #: Between two neighbouring dropped lines lies one run of kept ones, perhaps empty.
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.col("n_lines").cast("int")))
     runs = F.transform(F.slice(edges, 2, F.size(edges)), lambda end, i: F.struct((F.get(edges, i) + 1).alias("start"), (end - F.get(edges, i) - 1).alias("n")))
