@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 UNIT = 576
 BLOCK = 4608
 #: Samples that are coded at once.
-BATCH = 6_000_000
+BATCH = 4_000_000
+#: Frames that are written at once; their samples' places take the most memory.
+WRITE = 256
 #: Codes of block sizes that the header names itself.
 _SIZE_CODES = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5, 256: 8, 512: 9, 1024: 10, 2048: 11, 4096: 12, 8192: 13, 16384: 14, 32768: 15}
 _SIZES = {v: k for k, v in _SIZE_CODES.items()}
@@ -185,8 +187,8 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     size = np.array(sizes, dtype=np.int64)
     first = np.cumsum(size) - size
     parts = [[] for _ in range(3)]
-    for lo in range(0, len(size), 2048):
-        hi = min(lo + 2048, len(size))
+    for lo in range(0, len(size), WRITE):
+        hi = min(lo + WRITE, len(size))
         a, b = int(first[lo]), int(first[hi - 1] + size[hi - 1])
         body, length = _bodies(samples[a:b], first[lo:hi] - a, size[lo:hi])
         parts[0].append(body)
@@ -573,20 +575,52 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
     return media.select(key, column).mapInArrow(decode, f"{key} {media.schema[key].dataType.simpleString()}, sample_offset long, samples long, pcm binary")
 
 
+_DIGESTS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digests(n_bytes: list[int], files: list[bytes]) -> list[tuple]:
+    rows = []
+    for n, f, blocks in zip(n_bytes, files, decode_many(files), strict=True):
+        pcm = b"".join(x for _, x in blocks)
+        rows.append((n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature(pcm)))
+    return rows
+
+
+def _record(keys: pa.Array, key: str, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], names=[key, *_DIGESTS])
+
+
 def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of each file and of what is read from it."""
-    out = f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Digests of each file of `stored` and of what is read from it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = b.column("media").to_pylist()
-            rows = []
-            for f, blocks in zip(files, decode_many(files), strict=True):
-                pcm = b"".join(x for _, x in blocks)
-                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature(pcm)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[key, *names])
-
-    return media.select(key, "n_bytes", "media").mapInArrow(digest, out)
+            yield _record(b.column(key), key, _digests(b.column("n_bytes").to_pylist(), b.column("media").to_pylist()))
+
+    return media.select(key, "n_bytes", "media").mapInArrow(digest, f"{key} {media.schema[key].dataType.simpleString()}, {_COLUMNS}")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What read_back(stored(docs)) gives, without the files leaving their task."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            sizes: list[int] = []
+            held: list[bytes] = []
+            total = 0
+            for x in b.column(text).cast(pa.binary()):
+                raw = x.as_py() or b""
+                sizes.append(len(raw))
+                held.append(payload(raw))
+                total += len(held[-1])
+                if total >= BATCH:
+                    rows += _digests(sizes, encode_many(held))
+                    sizes, held, total = [], [], 0
+            rows += _digests(sizes, encode_many(held))
+            yield _record(b.column(key), key, rows)
+
+    return docs.select(key, text).mapInArrow(both, f"{key} {docs.schema[key].dataType.simpleString()}, {_COLUMNS}")

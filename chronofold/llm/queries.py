@@ -34,7 +34,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.stored(documents(spark, sf_dir)))
+    return flac.round_trip(documents(spark, sf_dir))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
