@@ -3,7 +3,12 @@
 A text becomes a hashed vector of its character 1- to 3-grams, weighted by TF-IDF and
 normalised. Each language has several centroids, found by spherical k-means among its
 labelled texts; a text gets the language of the centroid with the greatest cosine, and is
-rejected where that cosine is below the radius of the centroid.
+rejected where that cosine is below the radius of the centroid for texts of its length.
+
+A radius lies halfway between what the language's own labelled texts reach and what those of the
+other languages stay below, which stand for languages not learned; it is fitted for prefixes of
+several lengths, as short texts are farther from any centroid. Texts of a few letters can't be told
+from those of an unlearned language and mostly pass.
 
 The model is fitted on at most `per_language` labelled rows of each language, those with the
 least hash of their key; prediction reads every text from start to end.
@@ -27,6 +32,8 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 DIMS = 4096
+#: Numbers of characters for which radii are fitted; a text takes the greatest that it has.
+LENGTHS = (1, 8, 16, 32, 64, 128, 256, 1024)
 _PIECE = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _RESULT = ("lang_pred", "score", "rejected")
@@ -101,6 +108,7 @@ class Model:
     centroids: np.ndarray
     languages: list[str]
     radius: np.ndarray
+    lengths: tuple[int, ...] = (0,)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
@@ -114,7 +122,8 @@ class Model:
                 langs[i] = self.languages[b]
             top = cosine[np.arange(len(part)), best]
             scores[part] = np.round(np.clip(top, 0, 1), 6)
-            rejected[part] = top < self.radius[best]
+            size = np.searchsorted(self.lengths, [len(texts[i]) for i in part], side="right") - 1
+            rejected[part] = top < self.radius[best, size]
         return langs, scores, rejected
 
 
@@ -136,24 +145,35 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_vectors(counts: np.ndarray, langs: list[str], per_language_centroids: int = 4) -> Model:
-    """Model from the n-gram counts of labelled texts."""
+def _radii(v: np.ndarray, own: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """For each of a language's centroids, halfway between the cosine that all but the farthest hundredth of its
+    own texts reach and that which all but the nearest hundredth of other languages' texts stay below, and never
+    above the first; NaN where it has no text."""
+    cosine = v @ centroids.T
+    best, top = cosine.argmax(axis=1), cosine.max(axis=1)
+    outside = float(np.quantile(top[~own], 0.99)) if not own.all() else 0.0
+    inside = [float(np.quantile(top[own & (best == j)], 0.01)) if (own & (best == j)).any() else np.nan for j in range(len(centroids))]
+    return [min(x, (x + outside) / 2) for x in inside]
+
+
+def fit_vectors(counts: np.ndarray, langs: list[str], per_language_centroids: int = 4, prefixes: Iterable[tuple[int, np.ndarray, list[str]]] = ()) -> Model:
+    """Model from the n-gram counts of labelled texts, and radii from those of their prefixes: (length, counts, languages) by length."""
     if not len(langs):
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, 1)))
     idf = (np.log((len(langs) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
     v, of = _weighted(counts, idf), np.array(langs)
-    centroids, names, radius = [], [], []
-    for lang in sorted(set(langs)):
-        own = v[of == lang]
-        c = _kmeans(own, per_language_centroids)
-        cosine = own @ c.T
-        for j in range(len(c)):
-            mine = cosine[cosine.argmax(axis=1) == j, j]
-            centroids.append(c[j])
-            names.append(lang)
-            #: Half of the cosine that all but the farthest hundredth reach: only texts far outside are rejected.
-            radius.append(0.5 * float(np.quantile(mine, 0.01)) if len(mine) else 0.0)
-    return Model(idf, np.array(centroids, dtype=np.float32), names, np.minimum(np.array(radius), 0.12))
+    each = {lang: _kmeans(v[of == lang], per_language_centroids) for lang in sorted(set(langs))}
+    lengths, radii = [], []
+    for n, x, x_langs in [*prefixes] or [(0, counts, langs)]:
+        x, x_of = _weighted(x, idf), np.array(x_langs)
+        lengths.append(n)
+        radii.append([r for lang, c in each.items() for r in _radii(x, x_of == lang, c)])
+    #: Without own texts of a length, that of the next shorter ones holds.
+    radius = np.array(radii).T
+    for k in range(1, len(lengths)):
+        radius[:, k] = np.where(np.isnan(radius[:, k]), radius[:, k - 1], radius[:, k])
+    names = [lang for lang, c in each.items() for _ in c]
+    return Model(idf, np.concatenate(list(each.values())).astype(np.float32), names, np.nan_to_num(radius), (0, *lengths[1:]))
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 500) -> Model:
@@ -175,20 +195,29 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            for s in range(0, len(texts), 256):
-                c = term_counts(texts[s : s + 256])
-                at = [np.flatnonzero(row).astype(np.int32) for row in c]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("lang")[s : s + 256], b.column("h")[s : s + 256], pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(c, at, strict=True)], pa.list_(pa.float32()))],
-                    names=["lang", "h", "at", "n"],
-                )
-
-    rows = sample.mapInArrow(vectors, "lang string, h long, at array<int>, n array<float>").collect()
+            for size in (0, *LENGTHS):
+                own = [i for i, t in enumerate(texts) if len(t) >= size and (not size or _LETTER.search(t[:size]))]
+                for s in range(0, len(own), 256):
+                    part = own[s : s + 256]
+                    c = term_counts([texts[i][: size or None] for i in part])
+                    at = [np.flatnonzero(row).astype(np.int16) for row in c]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("lang").take(pa.array(part)), b.column("h").take(pa.array(part)), pa.array([size] * len(part), pa.int32()), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(c, at, strict=True)], pa.binary())],
+                        names=["lang", "h", "size", "at", "n"],
+                    )
+
+    rows = sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], r["at"], r["n"]))
-    counts = np.zeros((len(rows), DIMS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        counts[i, r["at"]] = r["n"]
-    return fit_vectors(counts, [r["lang"] for r in rows])
+
+    def counts(size: int) -> tuple[np.ndarray, list[str]]:
+        own = [r for r in rows if r["size"] == size]
+        out = np.zeros((len(own), DIMS), dtype=np.float32)
+        for i, r in enumerate(own):
+            out[i, np.frombuffer(r["at"], dtype=np.int16)] = np.frombuffer(r["n"], dtype=np.float32)
+        return out, [r["lang"] for r in own]
+
+    prefixes = ((n, *x) for n in LENGTHS if (x := counts(n))[1])
+    return fit_vectors(*counts(0), prefixes=prefixes)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -299,3 +299,23 @@ def test_secrets(docs):
     assert sum(r["is_secret"] for r in got) >= 40
     assert secrets.candidates(docs([])).count() == 0
     assert set(secrets.fit_rows([], [], set()).score([r.asDict() for r in found.limit(2).collect()])) == {0.5}
+
+
+def test_langid_rejects_unlearned(docs):
+    """Texts of a Latin-script language left out of training, and gibberish, are rejected at any radius but a loose one."""
+    import random
+
+    words = {
+        "en": "the and of to in that was for with there where which would people about other house water through".split(),
+        "de": "der die und das nicht mit ist ein auf werden zwischen menschen wasser haus durch andere schon".split(),
+        "es": "el los que una por con para como pero donde cuando gente agua casa entre otros ya muchas veces".split(),
+    }
+    rnd = random.Random(3)
+    say = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    junk = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(n))
+    learned = [(i, say(lang, rnd.randint(20, 80)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    model = langid.fit(docs(learned))
+    rejected = lambda texts: sum(model.predict(texts)[2]) / len(texts)
+    assert rejected([say(lang, n) for lang in ("en", "de") for n in (10, 40) for _ in range(20)]) <= 0.05
+    assert rejected([say("es", 40) for _ in range(20)]) >= 0.9
+    assert rejected([junk(n) for n in (20, 100) for _ in range(20)]) >= 0.9
