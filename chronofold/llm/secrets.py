@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-Tokens long enough to be keys are candidates. The forest looks at their length, the transitions
+Candidates are runs of at least 12 key characters, of any length, with a digit or in capitals
+throughout; access key ids of a vendor's format within longer runs; and every value assigned to a
+telling name (`_TELLING`), whatever its length and alphabet. They may overlap. The forest looks at their length, the transitions
 between kinds of characters, how much of them words of a dictionary cover, and at smoothed odds of
 the words next to them and of the path or source they come from, all learned from labelled findings.
 
@@ -27,7 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A run of key characters with a digit, or in capitals throughout; what precedes an equal sign is no part.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]*[0-9]|[A-Z0-9]+(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{12,256}(?![A-Za-z0-9+/_\-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z0-9]++(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{12,}+")
+_VENDOR = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+#: A name and the value assigned to it, in quotes (closed or not) or up to white space, a comma or a semicolon.
+_ASSIGNED = re.compile(r"""(?<![\w.\-])([\w.\-]++)["'\]]?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]++)|'([^'\n]++)|([^\s"',;]++))""")
+_TELLING = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|account|auth|encryption|private|signing)[_.\-]?key")
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = np.full(128, 3, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 0
@@ -44,6 +50,18 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return (before[-1].lower() if before else ""), (after[0].lower() if after else "")
 
 
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Places of the candidates, each once."""
+    found = {m.span() for m in _CANDIDATE.finditer(text)} | {m.span() for m in _VENDOR.finditer(text)}
+    for m in _ASSIGNED.finditer(text):
+        if _TELLING.search(m[1]):
+            start, end = m.span(m.lastindex)
+            #: Padding is no part of a run, so that a run and its padding are not two values.
+            bare = start + len(text[start:end].rstrip("="))
+            found.add((start, bare if (start, bare) in found else end))
+    return sorted(found)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """A finding for each token that may be a secret."""
 
@@ -52,8 +70,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
             rows = []
             for d, p, t in zip(b.column("doc_id").to_pylist(), b.column("path").to_pylist(), b.column("text"), strict=True):
                 t = t.as_py() or ""
-                for m in _CANDIDATE.finditer(t):
-                    rows.append((d, p, m.start(), m.end(), m.group(), *_around(t, m.start(), m.end())))
+                for i, j in _spans(t):
+                    rows.append((d, p, i, j, t[i:j], *_around(t, i, j)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after"])
@@ -230,12 +248,15 @@ def scored(findings: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 
 def known_findings() -> Column:
-    """Labels where none are given: vendor formats and assignments of long values to telling names are
-    secrets; numbers, and parts of addresses, are not. Others are NULL."""
+    """Labels where none are given: vendor formats and assignments of values to telling names are secrets,
+    if the values are long or have digits among others; numbers, and parts of addresses, are not. Others are NULL."""
     value, before = F.col("value"), F.col("before")
+    telling = before.rlike(r"(?:password|passwd|secret|token|api_?key)\W*[=:]$") | (before == "=")
+    #: A short value may be a word of a sentence; with a digit among other characters it is none.
+    long = (F.length(value) >= 12) | (value.rlike("[0-9]") & value.rlike("[^0-9]"))
     return (
         F.when(value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), True)
-        .when(before.rlike(r"(?:password|passwd|secret|token|api_?key)\W*[=:]$") | (before == "="), True)
+        .when(telling & long, True)
         .when(value.rlike("^[0-9]+$") | value.rlike("^[A-Za-z]+$"), False)
         .when(F.col("after").isin("com", "org", "net") | before.contains("@"), False)
     )
