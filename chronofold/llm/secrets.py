@@ -6,8 +6,9 @@ telling name (`_TELLING`), whatever its length and alphabet. They may overlap. T
 between kinds of characters, how much of them words of a dictionary cover, and at smoothed odds of
 the words next to them and of the path or source they come from, all learned from labelled findings.
 
-The forest is fitted on at most `sample_rows` labelled findings, those with the least hash, and the
-dictionary has at most `dictionary` words of at most `dictionary_rows` texts.
+The forest is fitted on at most `sample_rows` labelled findings, those with the least hash. The
+dictionary has every word that makes up at least `least_share` of all words of all texts, and that
+occurs `least` times; so it has at most 1 / `least_share` words, whatever the size of the table.
 
 Defined results: null and empty texts have no candidate. Without labelled findings of both kinds
 all candidates stay, with score 0.5. Equal findings in equal places get equal scores; a null path is
@@ -28,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.llm.common import written
+
 #: A run of key characters with a digit, or in capitals throughout; what precedes an equal sign is no part.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z0-9]++(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{12,}+")
 _VENDOR = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 #: A name and the value assigned to it, in quotes (closed or not) or up to white space, a comma or a semicolon.
 _ASSIGNED = re.compile(r"""(?<![\w.\-])([\w.\-]++)["'\]]?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]++)|'([^'\n]++)|([^\s"',;]++))""")
 _TELLING = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|account|auth|encryption|private|signing)[_.\-]?key")
+#: Letters of the longest word that is looked up in a value.
+_LONGEST = 12
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = np.full(128, 3, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 0
@@ -79,12 +84,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(scan, FINDING)
 
 
-def dictionary(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4000, rows: int = 2000) -> set[str]:
-    """The most frequent words of three letters and more in at most `rows` texts."""
-    some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    chosen = some.select("k").orderBy(F.xxhash64("k"), "k").limit(rows)
-    seen = some.join(F.broadcast(chosen), "k").select(F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 3)
-    return {r["w"] for r in seen.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect()}
+def dictionary(docs: DataFrame, text: str = "text", least_share: float = 1e-5, least: int = 3) -> set[str]:
+    """The words of 3 to `_LONGEST` letters that make up a share of at least `least_share` of them in all texts."""
+    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, _LONGEST))
+    counts = written(words.groupBy("w").count(), "dictionary")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return {r["w"] for r in counts.where(F.col("count") >= max(least, least_share * total)).select("w").collect()}
 
 
 def _entropy(value: str) -> float:
@@ -92,7 +97,7 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def _covered(value: str, words: set[str], longest: int = 12) -> float:
+def _covered(value: str, words: set[str], longest: int = _LONGEST) -> float:
     """Share of the characters that dictionary words cover, longest first from the left."""
     low, i, hit = value.lower(), 0, 0
     while i < len(low):

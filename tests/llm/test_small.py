@@ -333,3 +333,13 @@ def test_secrets_of_any_length_and_alphabet(docs):
         mine = [r for r in got if r["doc_id"] == i and r["value"] == v]
         assert len(mine) == 1 and texts[i][mine[0]["start"] : mine[0]["end"]] == v, v
     assert secrets.candidates(docs([(1, "the secret was a short word and nothing more")])).count() == 0
+
+
+def test_secrets_dictionary_of_all_texts(docs):
+    """Words of a language with a small share of the documents are known; the table is larger than any sample was."""
+    rows = [(i, "the words that most of the documents have") for i in range(6000)] + [(6000 + i, "harvinainen kieli sanakirjassa") for i in range(12)]
+    found = secrets.dictionary(docs(rows))
+    assert {"harvinainen", "kieli", "the", "documents"} <= found
+    assert secrets.dictionary(docs([(1, None), (2, "")])) == set()
+    rare = docs([(0, "unique " + "common " * 400_000)] + [(1, "seldom " * 3)])
+    assert secrets.dictionary(rare) == {"common"}
