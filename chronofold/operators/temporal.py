@@ -122,3 +122,27 @@ def change_epochs(rows: DataFrame, by: Sequence[str], value: Column, ts: str, se
     marked = rows.withColumn("_value", value)
     marked = marked.withColumn("_new", F.when(F.col("_value").eqNullSafe(F.lag("_value").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
     return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new", "_value")
+
+
+def covering(points: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, value: str) -> DataFrame:
+    """(key, n, lowest) of each point in an interval: how many hold it, both ends included, and the least `value` of them.
+
+    No pairs are made. Intervals are cut into the fewest aligned pieces of 2^level; a piece is aggregated once, and a
+    point looks up the one piece of each level that it lies in. Pieces above level `top` are dealt out to those of level
+    `top`, so that no piece has a large share of a long log's points.
+    """
+    top = 32
+    level, low, high = F.col("_level"), F.col("_lo"), F.col("_hi")
+    up = lambda c, n: -F.call_function("shiftright", -c, n)  # noqa: E731  rounded up, as shifts round down
+    i = intervals.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_s"), (F.col(end) + 1).alias("_e"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(62))).alias("_level"))
+    i = i.select("_v", "_level", up(F.col("_s"), level).alias("_lo"), F.call_function("shiftright", "_e", level).alias("_hi")).where(low < high)
+    ends = F.array(F.when(low % 2 != 0, low), F.when(high % 2 != 0, high - 1))
+    pieces = i.select("_v", "_level", F.explode(F.array_compact(ends)).alias("_piece"))
+    pieces = pieces.groupBy("_level", "_piece").agg(F.count("*").alias("_n"), F.min("_v").alias("_v"))
+    wide = F.greatest(level - top, F.lit(0))
+    first = F.call_function("shiftleft", F.col("_piece"), wide)
+    dealt = pieces.select(F.least(level, F.lit(top)).alias("_level"), "_n", "_v", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1)).alias("_piece"))
+    held = dealt.groupBy("_level", "_piece").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"))
+    p = points.select(key, F.col(ts).alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level"))
+    p = p.select(key, "_level", F.call_function("shiftright", F.col("_t"), level).alias("_piece"))
+    return p.join(held, ["_level", "_piece"]).groupBy(key).agg(F.sum("_n").alias("n"), F.min("_v").alias("lowest"))

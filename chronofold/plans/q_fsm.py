@@ -105,13 +105,22 @@ def plan_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.action, count(*) AS n_alive, min(s.user_id) AS lowest FROM a JOIN s ON a.us BETWEEN s.start_us AND s.end_us AND s.slot = 0 GROUP BY 1""",
 )
 def alive_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each action with all that are there at its time: points and intervals meet by buckets of time."""
+    """Each action with k = 7 with all that are there at its time: points and intervals meet by buckets of time."""
     e = ops(spark, sf_dir)
     a = of_type(e, "purchase").where("k = 7").select(F.col("event_id").alias("action"), "us")
     s = statuses(e).where("slot = 0").select("user_id", "start_us", "end_us")
     return T.interval_join(a, s, [], "us", "start_us", "end_us", 2 * DAY).groupBy("action").agg(F.count("*").alias("n_alive"), F.min("user_id").alias("lowest"))
 
 
+@query("alive_cross_all")
+def alive_cross_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `alive_cross`, whose SQL keeps to purchases with k = 7, for every purchase."""
+    e = ops(spark, sf_dir)
+    a = of_type(e, "purchase").select(F.col("event_id").alias("action"), "us")
+    s = statuses(e).where("slot = 0").select("user_id", "start_us", "end_us")
+    return T.covering(a, s, "action", "us", "start_us", "end_us", "user_id").select("action", F.col("n").alias("n_alive"), "lowest")
+
+
 @query("nearest_peer", f"WITH {P} SELECT a.vec_id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))), 6) + 0.0 AS distance FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id AND floor(a.vec_id / 50) = floor(b.vec_id / 50) GROUP BY 1")
 def nearest_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the nearest of the same kind that is there at the same time, here in the same fifty."""

@@ -1,5 +1,6 @@
 """Hand-made logs for what the tables don't have: ties, refreshes, open ends, closed ranges, bad lines."""
 
+import os
 from itertools import pairwise
 from types import SimpleNamespace as R
 
@@ -114,3 +115,28 @@ def test_folds():
     assert list(fsm.match_requests(iter([q(1, "click", 3), q(2, "click", 11), q(3, "purchase", 3), q(4, "error", 3), q(5, "click", 0)]))) == [(2, 3, "confirmed"), (1, 4, "rejected"), (5, None, "open")]
     square = [R(x=float(x), z=float(z)) for x in range(3) for z in range(3)]
     assert {(x, z) for _, x, z in fsm.thinned_hull(iter(square))} == {(0, 0), (0, 2), (2, 0), (2, 2)}
+
+
+def test_alive_cross_of_every_action(spark):
+    """Every purchase has its row, not those with one k alone; equal to pairs of all with all."""
+    from chronofold.plans.fixtures import of_type, ops, statuses
+    from chronofold.plans.registry import queries
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    e = ops(spark, sf)
+    spans = [tuple(r) for r in statuses(e).where("slot = 0").select("start_us", "end_us", "user_id").collect()]
+    want = {}
+    for r in of_type(e, "purchase").collect():
+        alive = [u for s, t, u in spans if s <= r["us"] <= t]
+        if alive:
+            want[r["event_id"]] = (len(alive), min(alive))
+    got = {r["action"]: (r["n_alive"], r["lowest"]) for r in queries()["alive_cross_all"](spark, sf).collect()}
+    assert got == want and len(got) > 50
+
+
+def test_covering_edges(spark):
+    points = spark.createDataFrame([(i, t) for i, t in enumerate(range(-9, 10))] + [(99, 1 << 40)], "id long, t long")
+    spans = [(-5, -5, 3), (-4, 3, 2), (0, 0, 9), (2, 8, 1), (7, 6, 0), (5, (1 << 40) + 3, 7), (5, 1 << 40, 8)]
+    got = {r["id"]: (r["n"], r["lowest"]) for r in temporal.covering(points, spark.createDataFrame(spans, "s long, e long, u long"), "id", "t", "s", "e", "u").collect()}
+    at = lambda t: [u for s, e, u in spans if s <= t <= e]
+    assert got == {i: (len(at(t)), min(at(t))) for i, t in [tuple(r) for r in points.collect()] if at(t)}
