@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import geometry as G
-from chronofold.operators import fsm
+from chronofold.operators import analysis, fsm
 from chronofold.operators import temporal as T
 from chronofold.plans.fixtures import DAY, E, HOUR, S, of_type, ops, statuses
 from chronofold.plans.q_functions import P, _r, points, uv, xz
@@ -130,6 +130,12 @@ def nearest_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(o, ["label", "there"]).where("vec_id <> other").groupBy("vec_id").agg(_r(F.min(d), "distance"))
 
 
+@query("nearest_peer_all")
+def nearest_peer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `nearest_peer`, whose SQL keeps to blocks of fifty ids, among all of the same kind."""
+    return analysis.nearest_alike(points(spark, sf_dir), "vec_id", "label", "x", "z").select("vec_id", _r(F.col("distance"), "distance"))
+
+
 @query(
     "cast_action_merge",
     f"""WITH {E}, c AS (SELECT user_id, event_id AS cast_id, us AS start_us, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), 9223372036854775807) AS next_us FROM e WHERE event_type = 'click'),

@@ -140,3 +140,27 @@ def test_covering_edges(spark):
     got = {r["id"]: (r["n"], r["lowest"]) for r in temporal.covering(points, spark.createDataFrame(spans, "s long, e long, u long"), "id", "t", "s", "e", "u").collect()}
     at = lambda t: [u for s, e, u in spans if s <= t <= e]
     assert got == {i: (len(at(t)), min(at(t))) for i, t in [tuple(r) for r in points.collect()] if at(t)}
+
+
+def test_nearest_peer_among_all(spark):
+    """The nearest of all of the same label, also in another block of ids; crowds, equal places and far points as well."""
+    from chronofold.plans.q_functions import points
+    from chronofold.plans.registry import queries
+
+    def brute(rows):
+        out = {}
+        for i, label, x, z in rows:
+            d = [((x - a) ** 2 + (z - b) ** 2) ** 0.5 for j, m, a, b in rows if m == label and j != i]
+            if d:
+                out[i] = round(min(d), 6)
+        return out
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    rows = [tuple(r) for r in points(spark, sf).select("vec_id", "label", "x", "z").collect()]
+    got = {r["vec_id"]: r["distance"] for r in queries()["nearest_peer_all"](spark, sf).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
+    odd = [(i, 1, i * 0.001, (i * i % 7) * 0.001) for i in range(60)] + [(100, 1, 1e6, 3.0), (101, 1, 1e6, 9.0), (102, 1, -5e5, 0.0), (103, 2, 0.0, 0.0), (104, 3, 1.0, 1.0), (105, 3, 1.0, 1.0), (106, 3, 4.0, 5.0)]
+    got = {r["id"]: round(r["distance"], 6) for r in analysis.nearest_alike(spark.createDataFrame(odd, "id long, label long, x double, z double"), "id", "label", "x", "z").collect()}
+    want = brute(odd)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
