@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Row = tuple
@@ -38,6 +38,47 @@ def split_arcs(arcs: DataFrame, lo: str, hi: str) -> DataFrame:
     return arcs.select(*rest, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select(*rest, f"p.{lo}", f"p.{hi}")
 
 
+def _gaps(forbidden: DataFrame, by: str, lo: str, hi: str) -> DataFrame:
+    """Disjoint arcs with the end of the one before (_before), the start of the one after (_after), around the circle."""
+    w, whole, turn = Window.partitionBy(by).orderBy(lo), Window.partitionBy(by), F.lit(2 * math.pi)
+    seen = forbidden.withColumn("_place", F.row_number().over(w)).withColumn("_of", F.count("*").over(whole))
+    before = F.coalesce(F.lag(hi).over(w), F.max(hi).over(whole) - turn)
+    return seen.withColumn("_before", before).withColumn("_after", F.coalesce(F.lead(lo).over(w), F.min(lo).over(whole) + turn))
+
+
+def allowed_arcs(forbidden: DataFrame, by: str, lo: str, hi: str, cushion: str) -> DataFrame:
+    """Arcs between disjoint forbidden ones, less `cushion` at both ends; what is left of none goes.
+
+    An arc across the end of the circle is listed at both ends, beyond -pi and beyond pi.
+    """
+    l, h, pi = F.col(lo), F.col(hi), math.pi
+    part = lambda a, b: F.struct((a + F.col(cushion)).alias(lo), (b - F.col(cushion)).alias(hi))
+    first = F.when((F.col("_place") > 1) | (l > -pi), part(F.col("_before"), l))
+    last = F.when((F.col("_place") == F.col("_of")) & (h < pi), part(h, F.col("_after")))
+    parts = _gaps(forbidden, by, lo, hi).select(by, F.explode(F.array_compact(F.array(first, last))).alias("p"))
+    return parts.select(by, f"p.{lo}", f"p.{hi}").where(F.col(lo) < F.col(hi))
+
+
+def next_allowed(directions: DataFrame, forbidden: DataFrame, by: str, angle: str, lo: str, hi: str) -> DataFrame:
+    """`directions` with the bounds of the allowed arc that holds each, or else of the next one with growing angles (ccw)
+    and with falling ones (cw). Where the circle's end lies in a forbidden arc, the next arc is beyond it."""
+    from chronofold.operators.temporal import as_of
+
+    bounds = lambda a, b: F.struct(a.alias(lo), b.alias(hi))
+    l, h, before, after = F.col(lo), F.col(hi), F.col("_before"), F.col("_after")
+    g = _gaps(forbidden, by, lo, hi)
+    ends = g.groupBy(by).agg(F.min_by(F.struct(lo, hi, "_before", "_after"), "_place").alias("_first"), F.max_by(F.struct(lo, hi, "_before"), "_place").alias("_last"), F.max("_of").alias("_arcs"))
+    known = g.select(by, l.alias(angle), F.struct(lo, hi, "_before", "_after", "_place", "_of").alias("_at"))
+    found = as_of(directions, known, [by], angle, ["_at"]).join(ends, by)
+    at, first, last, many = F.col("_at"), F.col("_first"), F.col("_last"), F.col("_arcs") > 1
+    inside = at.isNotNull() & (F.col(angle) <= at[hi])
+    free = F.when(at.isNull(), bounds(first["_before"], first[lo])).otherwise(bounds(at[hi], at["_after"]))
+    wraps = lambda place: many & (at["_place"] == place)
+    ccw = F.when(inside & wraps(at["_of"]) & (at[hi] >= at["_after"]), bounds(first[hi], first["_after"])).otherwise(free)
+    cw = F.when(inside & wraps(F.lit(1)) & (at["_before"] >= at[lo]), bounds(last["_before"], last[lo])).when(inside, bounds(at["_before"], at[lo])).otherwise(free)
+    return found.select(*directions.columns, ccw.alias("ccw"), cw.alias("cw"))
+
+
 def moving_average(rows: Iterator) -> Iterator[Row]:
     """A mean that moves towards each value by the share of a day that has passed, a whole one at most."""
     mean = last = None

@@ -164,3 +164,23 @@ def test_nearest_peer_among_all(spark):
     got = {r["id"]: round(r["distance"], 6) for r in analysis.nearest_alike(spark.createDataFrame(odd, "id long, label long, x double, z double"), "id", "label", "x", "z").collect()}
     want = brute(odd)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
+
+
+def test_arcs_allowed_and_next(spark):
+    """Allowed arcs with a cushion, and the next one, as in the reference's list of arcs; all rows take part."""
+    from math import pi
+
+    from chronofold.plans.registry import queries
+
+    arcs = [(1, -pi, -3.0), (1, -1.0, 0.0), (1, 0.05, 0.5), (1, 3.0, pi), (2, -1.0, 1.0)]
+    forbidden = spark.createDataFrame([(*a, 0.1) for a in arcs], "label long, lo double, hi double, cushion double")
+    allowed = {(r.label, round(r.lo, 6), round(r.hi, 6)) for r in fsm.allowed_arcs(forbidden, "label", "lo", "hi", "cushion").collect()}
+    assert allowed == {(1, -2.9, -1.1), (1, 0.6, 2.9), (2, round(1.1 - 2 * pi, 6), -1.1), (2, 1.1, round(2 * pi - 1.1, 6))}
+    asked = {0: (1, -2.0), 1: (1, -0.5), 2: (1, 3.1), 3: (1, -3.1), 4: (2, 0.0), 5: (2, -2.0), 6: (2, 2.0)}
+    got = {r.id: [round(x, 6) for x in (*r.ccw, *r.cw)] for r in fsm.next_allowed(spark.createDataFrame([(i, *a) for i, a in asked.items()], "id long, label long, angle double"), forbidden.drop("cushion"), "label", "angle", "lo", "hi").collect()}
+    left, right = [round(1 - 2 * pi, 6), -1.0], [1.0, round(2 * pi - 1, 6)]
+    assert got == {0: [-3.0, -1.0] * 2, 1: [0.0, 0.05, -3.0, -1.0], 2: [-3.0, -1.0, 0.5, 3.0], 3: [-3.0, -1.0, 0.5, 3.0], 4: right + left, 5: left * 2, 6: right * 2}
+    rows = queries()["arc_union_all"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
+    n = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet").count()
+    assert {k: sum(r.kind == k for r in rows) for k in ("next_ccw", "next_cw")} == {"next_ccw": n, "next_cw": n}
+    assert all(r.lo < r.hi for r in rows) and {r.kind for r in rows} == {"forbidden", "allowed", "next_ccw", "next_cw"}
