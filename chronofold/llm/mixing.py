@@ -5,7 +5,8 @@ posterior over domains. Rates r >= 0 are then fitted so that the expected tokens
 the sum of rate * tokens * posterior, match their targets, by projected gradient steps on the
 squared relative errors. A step moves a document by the inner product of its posterior with one
 residual per domain, so a document's rate follows from the short history of residuals: each step
-is one aggregation, and only a number for each domain comes back.
+is one aggregation, and only a number for each domain comes back. Rates have no upper bound unless
+one is given, so that a rare domain is repeated as often as its target asks.
 
 The classifier is fitted on at most `sample_rows` labelled rows, those with the least hash of
 their key, and keeps at most 2^16 hashed words; that table alone is broadcast.
@@ -19,6 +20,7 @@ columns named like the results are replaced.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -76,9 +78,8 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], key: str
     return per.select(key, "tokens", F.transform(F.array(raised), lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), 9)))[0].alias("posterior"))
 
 
-def _rate(history: list[list[float]], least: float, most: float) -> Column:
-    """The rate that the steps so far have led to."""
-    start = F.lit(float(min(max(1.0, least), most)))
+def _rate(history: list[list[float]], least: float, most: float, start: Column) -> Column:
+    """The rate that the steps since `start` have led to."""
     if not history:
         return start
     steps = F.array(*(F.array(*(F.lit(float(x)) for x in h)) for h in history))
@@ -86,37 +87,52 @@ def _rate(history: list[list[float]], least: float, most: float) -> Column:
     return F.aggregate(steps, start, lambda r, h: F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), r - dot(F.col("posterior"), h))))
 
 
-def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, least: float = 0.0, most: float = 8.0, steps: int = 30, tolerance: float = 1e-3) -> DataFrame:
-    """`soft` with the column rate. targets: tokens by domain, or weights: their shares of all tokens."""
+def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, least: float = 0.0, most: float = math.inf, steps: int | None = None, tolerance: float = 1e-3, reached: list[tuple[float, float]] | None = None) -> DataFrame:
+    """`soft` with the column rate. targets: tokens by domain, or weights: their shares of all tokens.
+
+    Steps go on until all relative errors are within `tolerance`, or the greatest falls by less than a thousandth of
+    itself in a step, as where no rates match the targets. `steps` bounds their number. Tokens (reached, target) of each
+    domain are added to `reached`, and a warning tells of targets not met.
+    """
     d = len(targets or weights or [])
     own = [F.col("tokens") * F.get("posterior", F.lit(i)) for i in range(d)]
     at_one = [x or 0.0 for x in soft.agg(*(F.sum(x) for x in own)).first()]
     total = sum(at_one)
     goal = list(targets) if targets is not None else [w * total / sum(weights) for w in weights]
-    history: list[list[float]] = []
+    start, now, last, history = F.lit(float(min(max(1.0, least), most))), at_one, None, []
+    rated = soft
     if total:
         scale = [max(x, 1e-6 * total) for x in at_one]
-        for _ in range(steps):
-            rate = _rate(history, least, most)
-            now = [x or 0.0 for x in soft.agg(*(F.sum(rate * x) for x in own)).first()]
+        done = 0
+        while True:
+            rate = _rate(history, least, most, start)
+            now = [x or 0.0 for x in rated.agg(*(F.sum(rate * x) for x in own)).first()]
             error = [(a - b) / s for a, b, s in zip(now, goal, scale, strict=True)]
-            if max(abs(e) for e in error) <= tolerance:
+            worst = max(abs(e) for e in error)
+            stuck = last is not None and max(abs(e - h) for e, h in zip(error, last, strict=True)) <= 1e-3 * worst
+            if worst <= tolerance or stuck or done == steps:
                 break
-            if len(history) > 1 and max(abs(e - h) for e, h in zip(error, history[-1], strict=True)) <= 0.02 * tolerance:
-                break  # the bounds on the rates leave no better mix
             #: Each column of scaled memberships sums to one, so the curvature is one at most and a full step is safe.
             history.append(error)
-    return soft.withColumn("rate", F.round(_rate(history, least, most), 6))
-
-
-def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: Mapping[str, float | None] | None = None, weights: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0, most: float = 8.0) -> DataFrame:
-    """(key, tokens, posterior, rate) of each key. A target of None is what the domain has."""
+            last, done = error, done + 1
+            if len(history) == 10:
+                #: Rates so far become a column, or else each step would go through all steps before it.
+                rated, start, history = written(rated.withColumn("_rate", _rate(history, least, most, start)), "rates"), F.col("_rate"), []
+        if worst > tolerance:
+            warnings.warn(f"tokens by domain are {[round(x) for x in now]} after {done} steps, targets {[round(x) for x in goal]}", stacklevel=2)
+    if reached is not None:
+        reached.extend(zip(now, goal, strict=True))
+    return rated.withColumn("rate", F.round(_rate(history, least, most, start), 6)).drop("_rate")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: Mapping[str, float | None] | None = None, weights: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0, most: float = math.inf, reached: list[tuple[float, float]] | None = None) -> DataFrame:
+    """(key, tokens, posterior, rate) of each key. A target of None is what the domain has; `reached` as for `fit_rates`."""
     slim = docs.select(key, text)
     soft = written(posteriors(slim, *fit(slim, labelled, domains, key, text), key, text), "posteriors")
     if targets is not None:
         has = soft.agg(*(F.sum(F.col("tokens") * F.get("posterior", F.lit(i))) for i in range(len(domains)))).first()
-        return fit_rates(soft, targets=[(h or 0.0) if targets[d] is None else targets[d] for d, h in zip(domains, has, strict=True)], least=least, most=most)
-    return fit_rates(soft, weights=[weights[d] for d in domains], least=least, most=most)
+        return fit_rates(soft, targets=[(h or 0.0) if targets[d] is None else targets[d] for d, h in zip(domains, has, strict=True)], least=least, most=most, reached=reached)
+    return fit_rates(soft, weights=[weights[d] for d in domains], least=least, most=most, reached=reached)
 
 
 def copies(rate: Column, *key: str) -> Column:

@@ -343,3 +343,21 @@ def test_secrets_dictionary_of_all_texts(docs):
     assert secrets.dictionary(docs([(1, None), (2, "")])) == set()
     rare = docs([(0, "unique " + "common " * 400_000)] + [(1, "seldom " * 3)])
     assert secrets.dictionary(rare) == {"common"}
+
+
+def test_mixing_rare_domain(shared):
+    """A domain with a thousandth of the tokens reaches a twentieth; targets out of reach are told of."""
+    soft = shared.createDataFrame([(i, 10, [1.0, 0.0]) for i in range(999)] + [(999, 10, [0.0, 1.0])], "doc_id long, tokens long, posterior array<double>")
+    reached = []
+    rates = by_id(mixing.fit_rates(soft, weights=[0.95, 0.05], reached=reached))
+    assert abs(rates[999]["rate"] - 50) < 0.1 and abs(rates[0]["rate"] - 950 / 999) < 0.01
+    assert all(abs(a - b) <= 0.01 * b for a, b in reached)
+    mixed = shared.createDataFrame([(i, 10, [0.9, 0.1]) for i in range(50)] + [(50, 10, [0.5, 0.5])], "doc_id long, tokens long, posterior array<double>")
+    reached = []
+    with pytest.warns(UserWarning, match="targets"):
+        mixing.fit_rates(mixed, targets=[10.0, 400.0], reached=reached).count()
+    assert abs(reached[1][0] - reached[1][1]) > 1
+    slow = shared.createDataFrame([(0, 100, [0.55, 0.45]), (1, 100, [0.45, 0.55])], "doc_id long, tokens long, posterior array<double>")
+    reached = []
+    mixing.fit_rates(slow, targets=[92.0, 108.0], reached=reached).count()
+    assert all(abs(a - b) <= 0.11 for a, b in reached)
