@@ -3,9 +3,11 @@
 Base spans are found by regular expressions. They are the seeds of a bootstrap: the words before
 and after a span are its lexical patterns, and pattern and instance score one another in turns. A
 pattern's score for a kind is the share of its distinct instances that have the kind, an
-instance's is the chance that one of its patterns is right. Identifier-like tokens that no
-expression matches, but whose patterns score high, are added as spans of that kind. Base spans
-always stay.
+instance's is the chance that one of its patterns is right. Candidates that no expression matches,
+but whose patterns score high, are added as spans of that kind: tokens without blanks that have a
+digit or an at sign, groups of digits joined by blanks, dots, hyphens, slashes or parentheses, and
+addresses with (at), [at] or {at}, all of at least six characters. Of added spans within one another
+the longest counts. Base spans always stay.
 
 All rows are expressions over one scan of the texts, and only mentions leave it. Offsets are code
 points, ends exclusive.
@@ -16,7 +18,7 @@ by key and a hash of the text. Empty tables give no rows; extra columns don't ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import written
@@ -32,6 +34,12 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Tokens that may be identifiers: no white space, and a digit or an at sign.
 _TOKEN = r"(?<![^\s,;])(?=[A-Za-z._%+()\[\]-]*[0-9@])[A-Za-z0-9(][A-Za-z0-9._%+()@\[\]-]*+"
+#: Groups of digits with signs between them, as phones and cards are written.
+_GROUPS = r"(?<![A-Za-z0-9])[+(]{0,2}+[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)++"
+#: Addresses whose at sign, and maybe dots, are written out.
+_AT = r"(?:\([aA][tT]\)|\[[aA][tT]\]|\{[aA][tT]\})"
+_DOT = r"(?:\.|\x20?(?:\([dD][oO][tT]\)|\[[dD][oO][tT]\]|\{[dD][oO][tT]\})\x20?)"
+_WRITTEN_OUT = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?{_AT}\x20?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 _MENTION = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -87,8 +95,13 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column, base: Column) -> Column:
-    """Base spans, and identifier-like tokens that overlap none of them (kind -1)."""
-    tokens = F.filter(matches(text, _TOKEN), lambda x: x["m"].rlike("[0-9@]") & (F.length(x["m"]) >= 6))
+    """Base spans, and candidates that overlap none of them (kind -1)."""
+    none = F.array().cast(_MENTION)
+    sign = text.rlike("[0-9@]")
+    token = F.when(sign, F.filter(matches(text, _TOKEN), lambda x: x["m"].rlike("[0-9@]"))).otherwise(none)
+    groups = F.when(text.rlike(r"[0-9][\x20()./-]{1,3}[0-9]"), matches(text, _GROUPS)).otherwise(none)
+    address = F.when(text.rlike(_AT), matches(text, _WRITTEN_OUT)).otherwise(none)
+    tokens = F.filter(F.concat(token, groups, address), lambda x: F.length(x["m"]) >= 6)
     free = F.filter(tokens, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     other = F.transform(free, lambda x: F.struct(F.lit(-1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
     word = lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}:=#]+$", ""))
@@ -118,14 +131,20 @@ def discovered(mentions: DataFrame, rounds: int = 3, least_score: float = 0.9, l
     return mentions.where("kind < 0").join(best, "m").select("key", "tid", F.col("named").alias("kind"), "start", "end")
 
 
+def _longest(spans: DataFrame) -> DataFrame:
+    """Each of the spans (key, tid, kind, start, end) that lies within no other of its text, once."""
+    before = Window.partitionBy("key", "tid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.distinct().withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR _reach < end").drop("_reach")
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans) of each row of `docs`: arrays of (kind, start, end), by kind and start."""
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    found = F.when(F.col("t").rlike("[0-9@]"), _let(F.col("t"), lambda t: _let(base_spans(t), lambda b: F.struct(b.alias("base"), _mentions(t, b).alias("mentions")))))
+    found = F.when(F.col("t").rlike("[0-9@]|" + _AT), _let(F.col("t"), lambda t: _let(base_spans(t), lambda b: F.struct(b.alias("base"), _mentions(t, b).alias("mentions")))))
     table = written(whole.select("key", F.xxhash64("t").alias("tid"), found.alias("x")).select("key", "tid", "x.base", "x.mentions"), "pii-mentions")
     mentions = table.select("key", "tid", F.explode("mentions").alias("x")).select("key", "tid", "x.*")
     span = F.struct("kind", "start", "end")
-    added = discovered(mentions).groupBy("key", "tid").agg(F.collect_set(span).alias("added")).withColumnRenamed("key", "k").withColumnRenamed("tid", "h")
+    added = _longest(discovered(mentions)).groupBy("key", "tid").agg(F.collect_set(span).alias("added")).withColumnRenamed("key", "k").withColumnRenamed("tid", "h")
     slim = F.transform(F.coalesce("base", F.array().cast("array<struct<kind:int,start:int,end:int,m:string>>")), lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     out = table.select("key", "tid", F.array_sort(slim).alias("base")).join(added, F.col("key").eqNullSafe(F.col("k")) & (F.col("tid") == F.col("h")), "left")
     return out.select(F.col("key").alias(key), "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))

@@ -361,3 +361,13 @@ def test_mixing_rare_domain(shared):
     reached = []
     mixing.fit_rates(slow, targets=[92.0, 108.0], reached=reached).count()
     assert all(abs(a - b) <= 0.11 for a, b in reached)
+
+
+def test_pii_discovers_groups_and_written_out_addresses(docs):
+    """Numbers with blanks and addresses with (at) are candidates; their parts are not listed besides."""
+    known = [(i, f"text dialling +1 212 555 01{i:02d} please {i}") for i in range(20)] + [(100 + i, f"text writing a{i}@b{i}.org soon {i}") for i in range(20)]
+    new = {50: ("dialling", "030 1234 5678", "please"), 51: ("dialling", "(017) 555-7713", "please"), 52: ("writing", "anna(at)mail.org", "soon"), 53: ("writing", "bert [at] mail [dot] org", "soon")}
+    got = by_id(pii.find(docs(known + [(i, f"text {a} {m} {b}") for i, (a, m, b) in new.items()] + [(60, "lines 1 2 3 4 5 6 end"), (61, "x(at)y " * 9), (62, "1 " * 40_000)])))
+    for i, (a, m, _) in new.items():
+        assert got[i]["spans"] == [{"kind": 3 if a == "dialling" else 0, "start": 6 + len(a), "end": 6 + len(a) + len(m)}], i
+    assert got[60]["spans"] == [] and got[61]["spans"] == [] and got[62]["spans"] == []
