@@ -2,9 +2,9 @@
 
 The decoder reads constant, verbatim, fixed and linear-predictor subframes with Rice-coded
 residuals, checks the CRC-8 of each frame's header, the CRC-16 of each frame and the MD5 of the
-samples, and gives blocks of PCM with the offset of their first sample. The encoder writes fixed
-predictors of order 0 and 1 with the best Rice parameter, verbatim or constant subframes, and a
-seek point for each frame.
+samples, and gives blocks of PCM with the offset of their first sample. The encoder writes the
+shortest of fixed predictors of order 0 and 1 and a linear one of order 1, each with its best Rice
+parameter, verbatim and constant subframes, and a seek point for each frame.
 
 Frames don't depend on one another, so all frames of a batch of files are coded at once: a step
 handles the next sample of each. Batches are bounded by samples, so memory is as well.
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 UNIT = 576
 BLOCK = 4608
@@ -115,20 +116,31 @@ def _bodies(samples: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[n
     zig = lambda r: np.where(r < 0, -2 * r - 1, 2 * r)
     diff = np.diff(x, prepend=x[:1])
     diff[first] = 0
-    u = [zig(x), zig(diff)]
-    bits0, k0 = _rice_lengths(u[0], first, size)
-    bits1, k1 = _rice_lengths(u[1], first, size)
-    bits1 = bits1 - (k1 + 1) + 8  # the first sample is stored as it is
-    one = bits1 < bits0
-    k = np.where(one, k1, k0)
-    cost = np.where(one, bits1, bits0) + 10
+    #: One factor for each frame, the least-squares one, as a signed number of seven bits in units of 1/32.
+    before = np.concatenate([x[:1], x[:-1]])
+    before[first] = 0
+    power = np.maximum(np.add.reduceat(before.astype(np.int64) ** 2, first), 1)
+    factor = np.clip(np.rint(32 * np.add.reduceat(x.astype(np.int64) * before, first) / power), -63, 63).astype(np.int32)
+    linear = x - ((factor[frame] * before) >> 5)
+    linear[first] = 0
+    u = np.stack([zig(x), zig(diff), zig(linear)])
+    coded_bits = [_rice_lengths(r, first, size) for r in u]
+    #: Beyond the residuals: the first sample as it is, and the factor with its precision and shift.
+    extra = np.array([0, 8, 24])[:, None]
+    kinds = np.stack([b for b, _ in coded_bits]) + extra
+    kinds[1:] -= np.stack([k + 1 for _, k in coded_bits[1:]])
+    mode = kinds.argmin(axis=0)
+    own = np.arange(len(first))
+    k = np.stack([k for _, k in coded_bits])[mode, own]
+    cost = kinds[mode, own] + 10
+    one = mode > 0
     constant = np.add.reduceat((diff != 0).astype(np.int64), first) == 0
     verbatim = ~constant & (cost >= 8 * size)
     total = 8 + np.where(constant, 8, np.where(verbatim, 8 * size, cost))
     length = (total + 7) // 8
     begin = np.concatenate([[0], np.cumsum(length)])
     out = np.zeros(int(begin[-1]) + 8, dtype=np.float64)
-    head = np.where(constant, 0, np.where(verbatim, 1, 8 + one)) << 1
+    head = np.where(constant, 0, np.where(verbatim, 1, np.array([8, 9, 32])[mode])) << 1
     out[begin[:-1]] = head
     out[begin[:-1][constant] + 1] = samples[first[constant]].view(np.uint8)
     raw = verbatim[frame]
@@ -138,20 +150,24 @@ def _bodies(samples: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[n
     #: Residual method 0, partition order 0, then the parameter: ten bits after the warm-up sample.
     warm = rice & one
     out[begin[:-1][warm] + 1] = samples[first[warm]].view(np.uint8)
-    spot = begin[:-1] + 1 + warm
+    by = rice & (mode == 2)
+    described = (6 << 12) | (5 << 7) | (factor & 0x7F)
+    out[begin[:-1][by] + 2] = described[by] >> 8
+    out[begin[:-1][by] + 3] = described[by] & 0xFF
+    spot = begin[:-1] + 1 + warm + 2 * by
     out[spot[rice]] += k[rice] >> 2
     out[spot[rice] + 1] += (k[rice] & 3) << 6
     coded = rice[frame] & ~(warm[frame] & (at == 0))
     f = frame[coded]
-    v = np.where(one[f], u[1][coded], u[0][coded]).astype(np.int64)
+    v = u[mode[f], np.flatnonzero(coded)].astype(np.int64)
     kk = k[f]
     q = v >> kk
     bits = q + 1 + kk
-    before = np.cumsum(bits) - bits
+    so_far = np.cumsum(bits) - bits
     starts = np.flatnonzero(np.diff(f, prepend=-1))
     base = np.zeros(len(first), dtype=np.int64)
-    base[f[starts]] = before[starts]
-    place = 8 * spot[f] + 10 + before - base[f] + q
+    base[f[starts]] = so_far[starts]
+    place = 8 * spot[f] + 10 + so_far - base[f] + q
     #: The stop bit and the low bits, up to nine in all, fall into two bytes at most.
     word = ((np.int64(1) << kk) | (v & ((np.int64(1) << kk) - 1))) << (16 - (place & 7) - (kk + 1))
     byte = place >> 3
@@ -543,84 +559,99 @@ def payload(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % UNIT or (0 if text else UNIT))
 
 
-def feature(pcm: bytes) -> str:
-    """samples:sum:energy:crossings of the samples about their middle."""
-    x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"{len(x)}:{int(x.sum())}:{int((x * x).sum())}:{crossings}"
-
-
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): the FLAC file of each text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
-            files = encode_many([payload(r) for r in raw])
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
+            texts, s = b.column(text).cast(pa.binary()), 0
+            while s < b.num_rows:
+                raw: list[bytes] = []
+                total = 0
+                while s + len(raw) < b.num_rows and total < BATCH:
+                    raw.append(texts[s + len(raw)].as_py() or b"")
+                    total += len(raw[-1])
+                files = encode_many([payload(r) for r in raw])
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(s, len(raw)), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
+                s += len(raw)
 
     return docs.select(key, text).mapInArrow(encode, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """(key, sample_offset, samples, pcm): the blocks of each file."""
+def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry..., sample_offset, samples, pcm): the blocks of each file in a row; offsets of a file begin at 0."""
+    kept = [key, *carry]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = decode_many(b.column(column).to_pylist())
-            rows = [(i, at, len(pcm), pcm) for i, blocks in enumerate(found) for at, pcm in blocks]
-            own, at, n, pcm = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(own, pa.int64())), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(pcm, pa.binary())], names=[key, "sample_offset", "samples", "pcm"])
-
-    return media.select(key, column).mapInArrow(decode, f"{key} {media.schema[key].dataType.simpleString()}, sample_offset long, samples long, pcm binary")
-
-
-_DIGESTS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-_COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _digests(n_bytes: list[int], files: list[bytes]) -> list[tuple]:
-    rows = []
-    for n, f, blocks in zip(n_bytes, files, decode_many(files), strict=True):
-        pcm = b"".join(x for _, x in blocks)
-        rows.append((n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature(pcm)))
-    return rows
-
-
-def _record(keys: pa.Array, key: str, rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_TYPES)
-    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], names=[key, *_DIGESTS])
-
-
-def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of each file of `stored` and of what is read from it."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, s = b.column(column), 0
+            while s < b.num_rows:
+                e, total = s, 0
+                while e < b.num_rows and (e == s or total + len(files[e].as_buffer()) <= BATCH):
+                    total += len(files[e].as_buffer())
+                    e += 1
+                rows = [(i, at, len(pcm), pcm) for i, blocks in enumerate(decode_many(files[s:e].to_pylist()), s) for at, pcm in blocks]
+                own, at, n, pcm = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+                taken = [b.column(c).take(pa.array(own, pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(pcm, pa.binary())], names=[*kept, "sample_offset", "samples", "pcm"])
+                s = e
+
+    kinds = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in kept)
+    return media.select(*kept, column).mapInArrow(decode, f"{kinds}, sample_offset long, samples long, pcm binary")
+
+
+class _Digest:
+    """What is told of a payload, block by block."""
+
+    def __init__(self) -> None:
+        self.size, self.sum, self.energy, self.crossings = 0, 0, 0, 0
+        self.sha, self.tail, self.negative = hashlib.sha256(), b"", None
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
+        below = x < 0
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.negative is not None and bool(below[0]) != self.negative)
+        self.negative = bool(below[-1])
+        self.size, self.sum, self.energy = self.size + len(x), self.sum + int(x.sum()), self.energy + int((x * x).sum())
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-32:])[-32:]
+
+    def row(self) -> tuple[int, str, int, str]:
+        """Bytes, SHA-256, CRC-32 of the last 32, and samples:sum:energy:crossings about the middle of the samples."""
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), f"{self.size}:{self.sum}:{self.energy}:{self.crossings}"
+
+
+def digests(blocks: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """(kept..., payload_bytes, payload_sha256, tail_crc32, feature) of each file, from its blocks in a row as `pcm_blocks` gives them."""
+    names = [*kept, "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.Array] | None = None
+        digest = _Digest()
         for b in batches:
-            yield _record(b.column(key), key, _digests(b.column("n_bytes").to_pylist(), b.column("media").to_pylist()))
+            done, rows = [], []
+            for i, (at, pcm) in enumerate(zip(b.column("sample_offset").to_pylist(), b.column("pcm"), strict=True)):
+                if at == 0:
+                    if own is not None:
+                        done.append(own)
+                        rows.append(digest.row())
+                    own, digest = [b.column(c).slice(i, 1) for c in kept], _Digest()
+                digest.add(pcm.as_py())
+            yield record(done, rows, b)
+        if own is not None:
+            yield record([own], [digest.row()], b)
+
+    def record(own: list[list[pa.Array]], rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        taken = [pa.concat_arrays([o[j] for o in own]) if own else like.column(c).slice(0, 0) for j, c in enumerate(kept)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True))], names=names)
+
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in kept)
+    return blocks.mapInArrow(fold, f"{kinds}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
-    return media.select(key, "n_bytes", "media").mapInArrow(digest, f"{key} {media.schema[key].dataType.simpleString()}, {_COLUMNS}")
 
-
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What read_back(stored(docs)) gives, without the files leaving their task."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            sizes: list[int] = []
-            held: list[bytes] = []
-            total = 0
-            for x in b.column(text).cast(pa.binary()):
-                raw = x.as_py() or b""
-                sizes.append(len(raw))
-                held.append(payload(raw))
-                total += len(held[-1])
-                if total >= BATCH:
-                    rows += _digests(sizes, encode_many(held))
-                    sizes, held, total = [], [], 0
-            rows += _digests(sizes, encode_many(held))
-            yield _record(b.column(key), key, rows)
-
-    return docs.select(key, text).mapInArrow(both, f"{key} {docs.schema[key].dataType.simpleString()}, {_COLUMNS}")
+def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What is told of each file of `stored`, and of the blocks read from it."""
+    kept = [key, "n_bytes", "media_bytes", "media_sha256"]
+    told = media.select(key, "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return digests(pcm_blocks(told, key, carry=kept[1:]), kept)

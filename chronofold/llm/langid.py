@@ -11,7 +11,8 @@ several lengths, as short texts are farther from any centroid. Texts of a few le
 from those of an unlearned language and mostly pass.
 
 The model is fitted on at most `per_language` labelled rows of each language, those with the
-least hash of their key; prediction reads every text from start to end.
+least hash; prediction reads every text from start to end. It has at most four centroids for
+each language, and grows with the number of languages alone.
 
 Defined results: a null text, an empty one or one without a letter is `und` with score 0,
 and rejected. Without any labelled row everything is `und`. Equal texts get equal results;
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,24 +177,36 @@ def fit_vectors(counts: np.ndarray, langs: list[str], per_language_centroids: in
     return Model(idf, np.concatenate(list(each.values())).astype(np.float32), names, np.nan_to_num(radius), (0, *lengths[1:]))
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 500) -> Model:
-    """Fit on at most `per_language` rows of each of at most `max_languages` languages.
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, sample_rows: int = 20_000) -> Model:
+    """Fit on at most `per_language` rows of each language, and about `sample_rows` in all.
 
-    The rows are those with the least hash of `key`; each task passes on so many of a language
-    at most, whatever share of the rows has it.
+    With more than sample_rows / per_language languages each of them has fewer rows; none is left out. The rows are
+    those with the least hash of key and text, equal rows counting once.
     """
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("most")).orderBy("lang").limit(max_languages).collect()
-    if not limits:
+    h = F.xxhash64(F.col(key), F.col(text))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
         return fit_vectors(np.zeros((0, DIMS), np.float32), [])
-    chosen: Column = F.lit(False)
-    for r in limits:
-        chosen = chosen | ((F.col(lang) == r["lang"]) & (F.xxhash64(key) <= r["most"]))
-    sample = labelled.where(chosen & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    each = max(1, min(per_language, sample_rows // len(counts)))
+
+    def below(limits: dict[str, int]) -> Column:
+        return F.col("h") <= F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
+
+    #: Hashes are spread evenly, so this leaves somewhat more than `each`; the exact bound is then found among few.
+    share = {x: min(1.0, (each + 8 * each**0.5 + 64) / n) for x, n in counts.items()}
+    first = {x: int(-(1 << 63) + s * ((1 << 64) - 1)) if s < 1 else (1 << 63) - 1 for x, s in share.items()}
+    near: dict[str, list[int]] = {}
+    for r in rows.where(below(first)).select("lang", "h").distinct().collect():
+        near.setdefault(r["lang"], []).append(r["h"])
+    sample = rows.where(below({x: sorted(hs)[:each][-1] for x, hs in near.items()}))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
+            names = list(zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), strict=True))
+            new = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+            b = b.take(pa.array(new, pa.int64()))
             texts = b.column("text").to_pylist()
             for size in (0, *LENGTHS):
                 own = [i for i, t in enumerate(texts) if len(t) >= size and (not size or _LETTER.search(t[:size]))]
@@ -206,8 +219,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         names=["lang", "h", "size", "at", "n"],
                     )
 
-    rows = sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["at"], r["n"]))
+    found = {(r["lang"], r["h"], r["size"]): r for r in sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").collect()}
+    rows = [found[k] for k in sorted(found)]
 
     def counts(size: int) -> tuple[np.ndarray, list[str]]:
         own = [r for r in rows if r["size"] == size]
@@ -227,7 +240,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with lang_pred, score and rejected."""
-    docs = docs.drop(*(c for c in _RESULT if c in docs.columns))
+    docs = docs.drop(*_RESULT)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

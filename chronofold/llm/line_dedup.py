@@ -3,8 +3,9 @@
 Each line is hashed (128 bits of its trimmed, lower-cased form). The hashes are dealt out by
 ranges of their space and sorted there by document, greatest first, and position, so that one
 pass over a range sees the first occurrence of a line before the others. A range with far more
-lines than the mean holds a very common line: its rows are dealt out by document besides, and
-the heads of the parts are merged afterwards. What goes back to a document is a bitmap of the
+lines than the mean holds a very common line: its rows are dealt out by document besides, the
+heads of the parts are merged, and what is found of the commonest lines, a bounded number, goes to
+their rows by broadcast. What goes back to a document is a bitmap of the
 lines that it keeps, compressed to runs, and not text.
 
 Defined results: a null text counts as one empty line. Rows that share a doc_id are one document,
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import SPACE_CHARS, ascii_lower, written
+from chronofold.llm.common import SPACE_CHARS, ascii_lower, fresh, join_on_hot, written
 
 #: The hash space is cut into this many equal ranges.
 RANGE_BITS = 14
@@ -40,9 +41,9 @@ def hashed_lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFr
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, pos) of each line to drop."""
     lines = hashed_lines(docs, key, text, min_chars)
-    counts = lines.groupBy("part").count()
-    mean = counts.agg(F.sum("count") / (1 << RANGE_BITS)).first()[0] or 0  # 2^14 rows at most
-    hot = [r["part"] for r in counts.where(F.col("count") > max(HOT_TIMES * mean, 64)).select("part").collect()]
+    counts = {r["part"]: r["count"] for r in lines.groupBy("part").count().collect()}  # 2^14 rows at most
+    mean = sum(counts.values()) / (1 << RANGE_BITS)
+    hot = [part for part, n in counts.items() if n > max(HOT_TIMES * mean, 64)]
     is_hot = F.array_contains(F.lit(sorted(hot)), F.col("part")) if hot else F.lit(False)
     dealt = lines.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc"), F.lit(HOT_PARTS))).otherwise(0).cast("int")).repartition("part", "salt")
     run = Window.partitionBy("part", "salt", "h1", "h2")
@@ -53,24 +54,27 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     found = written(runs.where(F.col("hot") | ((F.col("docs") >= min_docs) & (F.col("rank") > 1))).select("doc", "pos", "h1", "h2", "rank", "docs", "first", "hot"), "line-runs")
     sure = found.where(~F.col("hot")).select("doc", "pos")
     parts = found.where("hot")
-    heads = parts.where("first").groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
-    return sure.unionByName(parts.join(heads, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "pos"))
+    per = parts.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.sum(F.when(F.col("first"), F.col("docs"))).alias("docs"), F.count("*").alias("rows"))
+    heads = per.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper", "rows")
+    shared = join_on_hot(parts, heads, ["h1", "h2"], "rows", parts.count() if hot else 0)
+    return sure.unionByName(shared.where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "pos"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """All rows of `docs`, with n_lines, n_dropped and keep_runs: the runs (start, n) of kept lines."""
-    docs = docs.drop(*(c for c in ("n_lines", "n_dropped", "keep_runs") if c in docs.columns))
-    gone = dropped_lines(docs.select(key, text), key, text, min_chars, min_docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    out = docs.join(gone, docs[key].eqNullSafe(gone["doc"]), "left").drop("doc")
-    out = out.withColumn("n_lines", F.size(_lines(F.col(text))).cast("long")).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    docs = docs.drop("n_lines", "n_dropped", "keep_runs")
+    gone, own = fresh(docs, "gone"), fresh(docs, "doc")
+    found = dropped_lines(docs.select(key, text), key, text, min_chars, min_docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias(gone)).withColumnRenamed("doc", own)
+    out = docs.join(found, docs[key].eqNullSafe(found[own]), "left").drop(own)
+    out = out.withColumn("n_lines", F.size(_lines(F.col(text))).cast("long")).withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
     # Places beyond the end come from longer rows with the same key; the rare case alone looks at each place, as a
     # filter above this puts the counting of lines into the lambda.
-    beyond = F.coalesce(F.array_max("_gone"), F.lit(-1)) >= F.col("n_lines")
-    out = out.withColumn("_gone", F.when(beyond, F.filter("_gone", lambda p: p < F.col("n_lines"))).otherwise(F.col("_gone")))
+    beyond = F.coalesce(F.array_max(gone), F.lit(-1)) >= F.col("n_lines")
+    out = out.withColumn(gone, F.when(beyond, F.filter(gone, lambda p: p < F.col("n_lines"))).otherwise(F.col(gone)))
     #: Between two neighbouring dropped lines lies one run of kept ones, perhaps empty.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.col("n_lines").cast("int")))
+    edges = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.col("n_lines").cast("int")))
     runs = F.transform(F.slice(edges, 2, F.size(edges)), lambda end, i: F.struct((F.get(edges, i) + 1).alias("start"), (end - F.get(edges, i) - 1).alias("n")))
-    return out.withColumn("n_dropped", F.size("_gone").cast("long")).withColumn("keep_runs", F.filter(runs, lambda r: r["n"] > 0)).drop("_gone")
+    return out.withColumn("n_dropped", F.size(gone).cast("long")).withColumn("keep_runs", F.filter(runs, lambda r: r["n"] > 0)).drop(gone)
 
 
 def kept_text(text: Column, runs: Column, n_dropped: Column) -> Column:

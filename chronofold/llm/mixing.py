@@ -26,12 +26,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import written
+from chronofold.llm.common import discard, fresh, least_hashes, written
 
 BUCKET_BITS = 16
 #: A hashed word speaks for a domain if its count there is so many standard deviations off.
 LEAST_Z = 5.0
-_RESULT = ("tokens", "posterior", "rate")
 
 
 def features(text: Column) -> Column:
@@ -49,8 +48,9 @@ def _bucket(feature: str) -> Column:
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> tuple[DataFrame, list[float]]:
     """(weights by bucket, prior) from labelled (key, domain) rows."""
-    sample = labelled.where(F.col("domain").isin(domains)).select(F.col(key).alias("_k"), "domain").orderBy(F.xxhash64("_k"), "domain").limit(sample_rows)
-    seen = docs.join(F.broadcast(sample), docs[key] == F.col("_k")).select("domain", F.explode(features(F.col(text))).alias("f"))
+    sample = labelled.where(F.col("domain").isin(domains)).select(F.col(key).alias("k"), "domain")
+    sample = least_hashes(sample, sample_rows, "k", "domain")
+    seen = docs.select(F.col(key).alias("own"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("own") == F.col("k")).select("domain", F.explode(features(F.col("t"))).alias("f"))
     counts = seen.groupBy(_bucket("f").alias("bucket")).agg(*(F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"c{i}") for i, d in enumerate(domains)))
     counts = written(counts, "word-counts")
     n = counts.agg(*(F.sum(f"c{i}") for i in range(len(domains)))).first()
@@ -99,6 +99,7 @@ def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list
     at_one = [x or 0.0 for x in soft.agg(*(F.sum(x) for x in own)).first()]
     total = sum(at_one)
     goal = list(targets) if targets is not None else [w * total / sum(weights) for w in weights]
+    held = fresh(soft, "held")
     start, now, last, history = F.lit(float(min(max(1.0, least), most))), at_one, None, []
     rated = soft
     if total:
@@ -117,12 +118,15 @@ def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list
             last, done = error, done + 1
             if len(history) == 10:
                 #: Rates so far become a column, or else each step would go through all steps before it.
-                rated, start, history = written(rated.withColumn("_rate", _rate(history, least, most, start)), "rates"), F.col("_rate"), []
+                was = rated
+                rated, start, history = written(rated.withColumn(held, _rate(history, least, most, start)), "rates"), F.col(held), []
+                if was is not soft:
+                    discard(was)
         if worst > tolerance:
             warnings.warn(f"tokens by domain are {[round(x) for x in now]} after {done} steps, targets {[round(x) for x in goal]}", stacklevel=2)
     if reached is not None:
         reached.extend(zip(now, goal, strict=True))
-    return rated.withColumn("rate", F.round(_rate(history, least, most, start), 6)).drop("_rate")
+    return rated.withColumn("rate", F.round(_rate(history, least, most, start), 6)).drop(held)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: Mapping[str, float | None] | None = None, weights: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0, most: float = math.inf, reached: list[tuple[float, float]] | None = None) -> DataFrame:

@@ -91,7 +91,7 @@ class Encoder:
         if len(self._memo) > _MEMO_MOST:
             self._memo.clear()
         memo, out = self._memo, []
-        for w in re.split("[ \n\r\t]+", text) if len(text) < 64 or " " in text[:4096] or "\n" in text[:4096] else [text]:
+        for w in re.split("[ \n\r\t]+", text):
             ids = memo.get(w)
             if ids is None:
                 ids = self._word(w) if w else b""

@@ -7,7 +7,7 @@ instance's is the chance that one of its patterns is right. Candidates that no e
 but whose patterns score high, are added as spans of that kind: tokens without blanks that have a
 digit or an at sign, groups of digits joined by blanks, dots, hyphens, slashes or parentheses, and
 addresses with (at), [at] or {at}, all of at least six characters. Of added spans within one another
-the longest counts. Base spans always stay.
+the longest counts. Base spans always stay. A neighbouring word of more than 200 characters is no pattern.
 
 All rows are expressions over one scan of the texts, and only mentions leave it. Offsets are code
 points, ends exclusive.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import written
+from chronofold.llm.common import discard, join_on_hot, written
 
 #: The kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -48,19 +48,44 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Matches whose places are counted one after the other; those of longer lists are counted block by block.
+_BLOCK = 64
+#: Code points of the pieces of a text in which the neighbours of a mention are looked for, and of the longest neighbour.
+_PIECE, _NEIGHBOUR = 1024, 200
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of _BLOCK members."""
+    return _let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda i: F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def _append(values: Column, value: Column) -> Column:
+    return F.concat(values, F.array(value))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """(start, end, m) of all matches, leftmost first."""
+    """(start, end, m) of all matches, leftmost first.
+
+    An array grows by copying, so places are summed up by blocks: the work stays in proportion to the text.
+    """
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MENTION).alias("out"))
+    parts = _blocks(F.arrays_zip(between.alias("b"), found.alias("m")))
+    width = lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["b"])
         e = s + F.length(x["m"])
-        more = F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m"))))
+        more = _append(acc["out"], F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m")))
         return F.struct(F.coalesce(e, s).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(more).alias("out"))
 
-    return F.aggregate(F.arrays_zip(between.alias("b"), found.alias("m")), start, step, lambda acc: acc["out"])
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + width(x)))
+        first = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: _append(a, F.element_at(a, -1) + n))
+        lists = _let(first, lambda at: F.transform(blocks, lambda b, i: F.aggregate(b, F.struct(F.get(at, i).alias("at"), F.array().cast(_MENTION).alias("out")), step, lambda acc: acc["out"])))
+        return F.flatten(lists)
+
+    return _let(parts, placed)
 
 
 def _digits(m: Column) -> Column:
@@ -95,19 +120,46 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column, base: Column) -> Column:
-    """Base spans, and candidates that overlap none of them (kind -1)."""
+    """Base spans and candidates (kind -1), with the words before and after."""
     none = F.array().cast(_MENTION)
     sign = text.rlike("[0-9@]")
     token = F.when(sign, F.filter(matches(text, _TOKEN), lambda x: x["m"].rlike("[0-9@]"))).otherwise(none)
     groups = F.when(text.rlike(r"[0-9][\x20()./-]{1,3}[0-9]"), matches(text, _GROUPS)).otherwise(none)
     address = F.when(text.rlike(_AT), matches(text, _WRITTEN_OUT)).otherwise(none)
     tokens = F.filter(F.concat(token, groups, address), lambda x: F.length(x["m"]) >= 6)
-    free = F.filter(tokens, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    other = F.transform(free, lambda x: F.struct(F.lit(-1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
+    other = F.transform(tokens, lambda x: F.struct(F.lit(-1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
     word = lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}:=#]+$", ""))
-    left = lambda x: word(F.regexp_extract(F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))), r"(\S+)\s*$", 1))
-    right = lambda x: word(F.regexp_extract(F.substring(text, x["end"] + 1, F.lit(40)), r"^\s*(\S+)", 1))
-    return F.transform(F.concat(base, other), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), left(x).alias("left"), right(x).alias("right")))
+    size = F.length(text)
+
+    def around(pieces: Column) -> Column:
+        # A place in a long text costs a walk from its start; in a piece it doesn't.
+        def cut(at: Column, n: Column) -> Column:
+            i = F.floor(at / _PIECE).cast("int")
+            return F.substring(F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))), at % _PIECE + 1, n)
+
+        def left(x: Column) -> Column:
+            lo = F.greatest(x["start"] - _NEIGHBOUR, F.lit(0))
+            whole = lambda s: F.when((lo == 0) | s.rlike(r"^\s|\s\S+\s*$"), word(F.regexp_extract(s, r"(\S++)\s*$", 1)))
+            return F.coalesce(_let(cut(lo, x["start"] - lo), whole), F.lit(""))
+
+        def right(x: Column) -> Column:
+            whole = lambda s: F.when((x["end"] + _NEIGHBOUR >= size) | s.rlike(r"^\s*\S+\s"), word(F.regexp_extract(s, r"^\s*(\S+)", 1)))
+            return F.coalesce(_let(cut(x["end"], F.lit(_NEIGHBOUR)), whole), F.lit(""))
+
+        return F.transform(F.concat(base, other), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), left(x).alias("left"), right(x).alias("right")))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), around)
+
+
+def _free(mentions: DataFrame) -> DataFrame:
+    """The mentions (key, tid, kind, start, end, ...) without candidates that overlap a base span of their text."""
+    seed, text = F.col("kind") >= 0, Window.partitionBy("key", "tid")
+    so_far = lambda *by: text.orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.max(F.when(seed, F.col("end"))).over(so_far("start"))
+    #: Read from the end, as a frame that ends with its partition would be summed up anew for each row.
+    next_ = F.min(F.when(seed, F.col("start"))).over(so_far(F.desc("start")))
+    marked = mentions.withColumn("until", until).withColumn("next", next_)
+    return marked.where(seed | ((F.coalesce("until", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))).drop("until", "next")
 
 
 def discovered(mentions: DataFrame, rounds: int = 3, least_score: float = 0.9, least_support: int = 5) -> DataFrame:
@@ -119,16 +171,24 @@ def discovered(mentions: DataFrame, rounds: int = 3, least_score: float = 0.9, l
     edges = written(mentions.select("m", "kind", F.explode(sides).alias("pattern")).where(F.length("pattern") > 1).distinct(), "pii-graph")
     support = edges.groupBy("pattern").agg(F.count_distinct("m").alias("n")).where(F.col("n") >= least_support)
     seeds = edges.where("kind >= 0").select("m", "kind", F.lit(1.0).alias("score")).distinct()
-    open_ = edges.where("kind < 0").select("m", "pattern").distinct()
-    scores = seeds
+    open_ = written(edges.where("kind < 0").select("m", "pattern").distinct(), "pii-open")
+    pairs = written(edges.select("m", "pattern").distinct(), "pii-pairs")
+    n_pairs, n_open = pairs.count(), open_.count()
+    by_m = pairs.groupBy("m").agg(F.count("*").alias("pairs"))
+    scores = None
     for _ in range(rounds):
-        hits = edges.select("m", "pattern").distinct().join(scores, "m").groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
+        known = (seeds if scores is None else scores).groupBy("m").agg(F.collect_list(F.struct("kind", "score")).alias("scores"))  # one or two kinds, by pattern at most all
+        hits = join_on_hot(pairs, known.join(by_m, "m"), ["m"], "pairs", n_pairs).select("pattern", F.inline("scores")).groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
         #: One unseen instance more than there is keeps rare patterns from being sure.
-        patterns = hits.join(support, "pattern").select("pattern", "kind", (F.col("hits") / (F.col("n") + 1)).alias("p")).where(F.col("p") >= 0.5)
-        found = open_.join(patterns, "pattern").groupBy("m", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
-        scores = written(seeds.unionByName(found), "pii-scores")
+        good = hits.join(support, "pattern").select("pattern", "n", "kind", (F.col("hits") / (F.col("n") + 1)).alias("p")).where(F.col("p") >= 0.5)
+        patterns = written(good.groupBy("pattern", "n").agg(F.collect_list(F.struct("kind", "p")).alias("kinds")), "pii-patterns")
+        found = join_on_hot(open_, patterns, ["pattern"], "n", n_open).select("m", F.inline("kinds")).groupBy("m", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
+        was, scores = scores, written(seeds.unionByName(found), "pii-scores")
+        discard(patterns, *([was] if was is not None else []))
     best = scores.where(F.col("score") >= least_score).groupBy("m").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("named"))
-    return mentions.where("kind < 0").join(best, "m").select("key", "tid", F.col("named").alias("kind"), "start", "end")
+    candidates = mentions.where("kind < 0")
+    times = candidates.groupBy("m").agg(F.count("*").alias("times"))
+    return join_on_hot(candidates, best.join(times, "m"), ["m"], "times", candidates.count()).select("key", "tid", F.col("named").alias("kind"), "start", "end")
 
 
 def _longest(spans: DataFrame) -> DataFrame:
@@ -142,7 +202,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = F.when(F.col("t").rlike("[0-9@]|" + _AT), _let(F.col("t"), lambda t: _let(base_spans(t), lambda b: F.struct(b.alias("base"), _mentions(t, b).alias("mentions")))))
     table = written(whole.select("key", F.xxhash64("t").alias("tid"), found.alias("x")).select("key", "tid", "x.base", "x.mentions"), "pii-mentions")
-    mentions = table.select("key", "tid", F.explode("mentions").alias("x")).select("key", "tid", "x.*")
+    mentions = table.select("key", "tid", "base", F.explode("mentions").alias("x")).select("key", "tid", (F.size("base") > 0).alias("seeded"), "x.*")
+    mentions = mentions.where("NOT seeded").unionByName(_free(mentions.where("seeded").distinct()))
+    mentions = written(mentions.drop("seeded"), "pii-free")
     span = F.struct("kind", "start", "end")
     added = _longest(discovered(mentions)).groupBy("key", "tid").agg(F.collect_set(span).alias("added")).withColumnRenamed("key", "k").withColumnRenamed("tid", "h")
     slim = F.transform(F.coalesce("base", F.array().cast("array<struct<kind:int,start:int,end:int,m:string>>")), lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))

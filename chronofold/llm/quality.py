@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import SPACE_CLASS
+from chronofold.llm.common import SPACE_CLASS, fresh, least_hashes
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 RATIOS = {
@@ -38,35 +40,47 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _alike(sorted_: Column, same) -> Column:
+    """Of a sorted array, the members that are the `same` as a neighbour."""
+    like = lambda x, y: F.coalesce(same(x, y), F.lit(False))
+    return _let(sorted_, lambda s: F.filter(s, lambda x, i: like(x, F.get(s, i - 1)) | like(x, F.get(s, i + 1))))
+
+
 def repeated_words(words: Column, n: int = 3) -> Column:
     """How many words lie in windows of n words that are found twice or more in the text.
 
-    A window's hash and, in the lowest bits, its place make one number; sorted, equal windows are
-    neighbours. The hash keeps 64 bits less those that count the words.
+    First a window's hash and, in the lowest bits, its place make one number; sorted, windows that may be
+    equal are neighbours. The words of these few, sorted with their places, tell which are.
     """
-    windows = _let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, n)))))
+    none = F.lit(0).cast("long")
 
-    def covered(h: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(h) + F.lit(1.0))).cast("int")
+    def of(w: Column) -> Column:
+        windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, n))))
+        #: Bits that hold any place; shiftleft takes a column of them only in SQL.
+        bits = F.ceil(F.log2(F.size(w) + F.lit(1.0))).cast("int")
 
-        def by_bits(k: Column) -> Column:
-            # shiftleft takes a column of bits only in SQL.
-            coded = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, k).bitwiseOR(i.cast("long"))))
+        def places(k: Column) -> Column:
+            coded = F.sort_array(_let(windows, lambda h: F.transform(h, lambda x, i: F.call_function("shiftleft", x, k).bitwiseOR(i.cast("long")))))
             group = lambda x: F.call_function("shiftrightunsigned", x, k)
-            twice = _let(coded, lambda s: F.filter(s, lambda x, i: F.coalesce(group(x) == group(F.get(s, i - 1)), F.lit(False)) | F.coalesce(group(x) == group(F.get(s, i + 1)), F.lit(False))))
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
-            places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
-            gaps = _let(places, lambda p: F.transform(p, lambda x, i: F.least(F.lit(n).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(n).cast("long")))))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+            return F.transform(_alike(coded, lambda x, y: group(x) == group(y)), lambda x: x.bitwiseAND(mask).cast("int"))
+
+        def covered(at: Column) -> Column:
+            named = F.sort_array(F.transform(at, lambda p: F.struct(*(F.get(w, p + k).alias(f"w{k}") for k in range(n)), p.alias("p"))))
+            same = lambda x, y: reduce(and_, (x[f"w{k}"] == y[f"w{k}"] for k in range(n)))
+            real = F.sort_array(F.transform(_alike(named, same), lambda x: x["p"].cast("long")))
+            gaps = _let(real, lambda p: F.transform(p, lambda x, i: F.least(F.lit(n).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(n).cast("long")))))
+            return F.aggregate(gaps, none, lambda a, g: a + g)
 
-        return _let(bits, by_bits)
+        return _let(_let(bits, places), lambda at: F.when(F.size(at) == 0, none).otherwise(covered(at)))
 
-    return _let(windows, covered)
+    return _let(words, of)
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with the statistics of their texts."""
-    docs = docs.drop(*(c for c in STATISTICS if c in docs.columns))
+    docs = docs.drop(*STATISTICS)
+    by = fresh(docs, "words")
     t = F.coalesce(F.col(text), F.lit(""))
 
     def count(pattern: str) -> Column:
@@ -76,8 +90,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     by_word = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     twice = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.select("*", by_word.alias("_w"), count(r"[#*$%&|<>]+").alias("n_symbols"), twice.alias("n_dup_lines"), count("[A-Z]+").alias("n_upper"), count("!+").alias("n_marks"))
-    return out.select(*docs.columns, *(F.col(f"_w.{c}" if c in ("n_words", "word_chars", "n_repeat_words") else c).alias(c) for c in STATISTICS))
+    out = docs.select("*", by_word.alias(by), count(r"[#*$%&|<>]+").alias("n_symbols"), twice.alias("n_dup_lines"), count("[A-Z]+").alias("n_upper"), count("!+").alias("n_marks"))
+    return out.select(*docs.columns, *(F.col(f"{by}.{c}" if c in ("n_words", "word_chars", "n_repeat_words") else c).alias(c) for c in STATISTICS))
 
 
 def base_failed() -> Column:
@@ -166,9 +180,10 @@ def learn(bad: list[dict], good: list[dict], least_precision: float = 0.95, leas
 
 def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 6000) -> list[Rule]:
     """Rules from labelled (key, good) rows; good is a boolean."""
-    sample = labelled.where(F.col("good").isNotNull()).select(F.col(key).alias("_k"), "good").orderBy(F.xxhash64("_k"), "good").limit(sample_rows)
-    seen = statistics(docs.select(key, text).join(F.broadcast(sample), docs[key] == F.col("_k")).select(text, "_k", "good"), text).where(~base_failed())
-    rows = seen.select("_k", "good", *(F.round(_feature(f), 6).alias(f) for f in FEATURES)).orderBy(F.xxhash64("_k"), *FEATURES).limit(2 * sample_rows).collect()
+    sample = least_hashes(labelled.where(F.col("good").isNotNull()).select(F.col(key).alias("k"), "good"), sample_rows, "k", "good")
+    seen = docs.select(F.col(key).alias("own"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("own") == F.col("k")).select("k", "good", "t")
+    passed = statistics(seen, "t").where(~base_failed()).select("k", "good", *(F.round(_feature(f), 6).alias(f) for f in FEATURES))
+    rows = passed.orderBy(F.xxhash64("k"), "good", *FEATURES).limit(sample_rows).collect()
     values = [({f: float(r[f]) for f in FEATURES}, r["good"]) for r in rows]
     return learn([v for v, good in values if not good], [v for v, good in values if good])
 

@@ -34,7 +34,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.round_trip(documents(spark, sf_dir))
+    media = written(flac.stored(documents(spark, sf_dir).select("doc_id", "text")), "media")
+    return flac.read_back(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

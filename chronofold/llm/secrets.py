@@ -9,6 +9,7 @@ the words next to them and of the path or source they come from, all learned fro
 The forest is fitted on at most `sample_rows` labelled findings, those with the least hash. The
 dictionary has every word that makes up at least `least_share` of all words of all texts, and that
 occurs `least` times; so it has at most 1 / `least_share` words, whatever the size of the table.
+Neighbouring words of more than 200 characters count as none.
 
 Defined results: null and empty texts have no candidate. Without labelled findings of both kinds
 all candidates stay, with score 0.5. Equal findings in equal places get equal scores; a null path is
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import written
+from chronofold.llm.common import least_hashes, written
 
 #: A run of key characters with a digit, or in capitals throughout; what precedes an equal sign is no part.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z0-9]++(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{12,}+")
@@ -44,15 +45,20 @@ _KINDS = np.full(128, 3, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 0
 _KINDS[ord("A") : ord("Z") + 1] = 1
 _KINDS[ord("0") : ord("9") + 1] = 2
-FINDING = "doc_id long, path string, start long, end long, value string, before string, after string"
+FINDING = "path string, start long, end long, value string, before string, after string"
 FEATURES = ("length", "lower", "upper", "digit", "changes", "lower_digit", "upper_digit", "longest_run", "distinct", "entropy", "hex", "dictionary", "assigned", "before", "after", "path")
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    left, right = text[max(0, start - 40) : start], text[end : end + 40]
-    before = re.findall(r"[^\s\"']+", left)
-    after = _WORD.findall(right)
-    return (before[-1].lower() if before else ""), (after[0].lower() if after else "")
+    """The word before and the word after; one that doesn't end within 200 characters is none."""
+    lo, hi = max(0, start - 200), min(len(text), end + 200)
+    left, right = text[lo:start], text[end:hi]
+    before = None
+    for before in re.finditer(r"[^\s\"']+", left):
+        pass
+    after = _WORD.search(right)
+    known = before and (before.start() or not lo)
+    return (before[0].lower() if known else ""), (after[0].lower() if after and (after.end() < len(right) or hi == len(text)) else "")
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
@@ -68,20 +74,21 @@ def _spans(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """A finding for each token that may be a secret."""
+    """A finding for each token that may be a secret: its document's key as doc_id, and the columns of FINDING."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, p, t in zip(b.column("doc_id").to_pylist(), b.column("path").to_pylist(), b.column("text"), strict=True):
+            for at, (p, t) in enumerate(zip(b.column("path").to_pylist(), b.column("text"), strict=True)):
                 t = t.as_py() or ""
                 for i, j in _spans(t):
-                    rows.append((d, p, i, j, t[i:j], *_around(t, i, j)))
+                    rows.append((at, p, i, j, t[i:j], *_around(t, i, j)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["doc_id", "path", "start", "end", "value", "before", "after"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(scan, FINDING)
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
+    return slim.mapInArrow(scan, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {FINDING}")
 
 
 def dictionary(docs: DataFrame, text: str = "text", least_share: float = 1e-5, least: int = 3) -> set[str]:
@@ -235,8 +242,7 @@ def fit_rows(rows: list[dict], labels: list[int], words: set[str], trees: int =
 
 def fit(labelled: DataFrame, words: set[str], sample_rows: int = 8000) -> Model:
     """Forest from findings with a boolean column `secret`; rows without it are left out."""
-    order = F.xxhash64("doc_id", "start", "value")
-    rows = [r.asDict() for r in labelled.where(F.col("secret").isNotNull()).orderBy(order, "doc_id", "start", "value").limit(sample_rows).collect()]
+    rows = [r.asDict() for r in least_hashes(labelled.where(F.col("secret").isNotNull()), sample_rows, "doc_id", "start", "value").collect()]
     return fit_rows(rows, [int(r["secret"]) for r in rows], words)
 
 
@@ -249,7 +255,7 @@ def scored(findings: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             s = model.score(b.select(names).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], names=[*names, "score", "is_secret"])
 
-    return findings.select(*names).mapInArrow(score, FINDING + ", score double, is_secret boolean")
+    return findings.select(*names).mapInArrow(score, f"doc_id {findings.schema['doc_id'].dataType.simpleString()}, {FINDING}, score double, is_secret boolean")
 
 
 def known_findings() -> Column:

@@ -9,13 +9,14 @@ repeated windows. The first digits are sampled, so that few suffixes enter:
 2. The second digit is the whole context of a gram, all that its windows can see. Where two contexts
    are equal, all their windows are repeated and settled.
 3. Of the rest one of each context goes on, with its bytes. All windows of all contexts of a gram are
-   sorted by digits of 25 bytes, groups of one being dropped after each.
+   sorted by digits of 8 bytes, compared as numbers, groups of one being dropped after each.
 
 Equal contexts are merged before they are shuffled, and a gram with many contexts in one task goes
-on from there at once; a gram with many contexts in all is dealt out to pairs of blocks of them. So
-no gram is gathered in one task.
+on from there at once. Of a gram with more than ROWS contexts in all, the windows are dealt out by all
+digits at once; so no gram is gathered in one task, and no pairs of contexts are formed.
 
-Offsets are bytes of the UTF-8 form. Digits are compared by 64-bit hashes.
+Offsets are bytes of the UTF-8 form. Grams and contexts are told apart by 64 bits each, windows of very
+common grams by 128 bits, all others byte by byte.
 
 Defined results: a null text is empty. Rows that share a key are one document: their repeats within
 one another don't count, and what is removed from one is from all. A null key counts as a key of its
@@ -25,23 +26,26 @@ own. Texts below `length` bytes stay whole. Empty tables give no rows; extra col
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import written
+from chronofold.llm.common import join_on_hot, written
 
 GRAM = 64
 #: Contexts of a gram within one chunk beyond which it goes on without being met by others first.
 MANY = 8
-#: Contexts of a block; grams with more are dealt out to pairs of blocks.
+#: Contexts of a gram that are sorted in one task; the windows of grams with more are dealt out one by one.
 ROWS = 2000
+#: Rows of one gram or window that a task holds before it lets all of them go on.
+HELD = 500_000
 #: Bytes of text that a task looks at together.
 CHUNK = 16_000_000
-_DIGIT = 25
+#: Bytes of a digit: as many as make one number.
+_DIGIT = 8
 _NULL = -(1 << 63)
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -183,20 +187,26 @@ def repeated(bodies: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.
         return []
     begin = np.cumsum(size) - size
     raw = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-    hashes = _Hashes(raw)
+    digits = np.zeros(len(raw) - _DIGIT + 1, dtype=np.uint64)
+    for i in range(_DIGIT):
+        digits = (digits << np.uint64(8)) | raw[i : i + len(digits)]
     row = np.repeat(np.arange(len(size)), windows)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[row] + inside
-    of = group[row].astype(np.uint64)
+    of = group[row].astype(np.int64)
     place = start[row] + inside
     live = np.arange(len(row))
     for digit in range(0, length, _DIGIT):
-        end = at[live] + min(digit + _DIGIT, length)
-        key = _mix(of[live] * np.uint64(_B) + hashes.of(at[live] + digit, end))
-        _, name, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = count[name] > 1
+        # The last digit may begin within the one before: that orders and tells apart just as well.
+        key = digits[at[live] + min(digit, length - _DIGIT)]
+        order = np.lexsort((key, of[live]))
+        live, key = live[order], key[order]
+        new = _runs(of[live], key)
+        count = np.diff(np.append(new, len(live)))
+        keep = np.repeat(count > 1, count)
+        #: A group's name is its rank among the groups so far: groups stay in the order of their bytes.
+        of[live] = np.repeat(np.arange(len(new)), count)
         live = live[keep]
-        of[live] = key[keep]
         if not len(live):
             return []
     # One place may be seen from several rows; it is no repeat of itself.
@@ -251,19 +261,35 @@ def _flagged(docs: DataFrame, length: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        over: int | None = None  # a gram with too many rows to hold, all of whose contexts go on
+
+        def named(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(gram), pa.array(kind)], names=["doc", "pos", "gram", "kind"])
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
             rows, kind = _meet(*cols)
-            return pa.RecordBatch.from_arrays([pa.array(cols[2][rows]), pa.array(cols[3][rows]), pa.array(cols[0][rows]), pa.array(kind)], names=["doc", "pos", "gram", "kind"])
+            return named(cols[2][rows], cols[3][rows], cols[0][rows], kind)
+
+        def all_of(cols: list[np.ndarray]) -> pa.RecordBatch:
+            rows = cols[4] != _MARK
+            return named(cols[2][rows], cols[3][rows], cols[0][rows], np.where(cols[4][rows] == _MEET, np.int8(_NEED), cols[4][rows]))
 
         for b in batches:
             cols = [b.column(c).to_numpy() for c in names]
+            if over is not None and len(cols[0]):
+                n = int(np.searchsorted(cols[0], over, side="right"))
+                yield all_of([c[:n] for c in cols])
+                cols, over = [c[n:] for c in cols], over if n == len(cols[0]) else None
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if len(held[0]) >= 500_000:
+            if len(held[0]) >= HELD:
                 last = int(np.searchsorted(held[0], held[0][-1]))
                 if last:
                     yield out([c[:last] for c in held])
                     held = [c[last:] for c in held]
+                if len(held[0]) >= HELD:
+                    over = int(held[0][0])
+                    yield all_of(held)
+                    held = None
         if held is not None and len(held[0]):
             yield out(held)
 
@@ -284,11 +310,13 @@ def _unpacked(body: bytes | None) -> bytes:
 
 def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi): stretches covered by repeated windows of the contexts that went on."""
-    wanted = need.groupBy("doc").agg(F.collect_list(F.struct("pos", "gram")).alias("wanted"))
+    sizes = need.groupBy("gram").agg(F.count("*").alias("n"))
+    told = join_on_hot(need, sizes, ["gram"], "n", need.count())
+    wanted = told.groupBy("doc").agg(F.collect_list(F.struct("pos", "gram", (F.col("n") > ROWS).alias("many"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, start, gram, bytes_ = [], [], [], []
+            doc, start, gram, bytes_, many = [], [], [], [], []
             for d, body, w in zip(b.column("doc").to_pylist(), b.column("body"), b.column("wanted").to_pylist(), strict=True):
                 raw = _unpacked(body.as_py())
                 for x in w:
@@ -297,23 +325,19 @@ def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
                     start.append(lo)
                     gram.append(x["gram"])
                     bytes_.append(raw[lo : x["pos"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(gram, pa.int64()), pa.array(bytes_, pa.binary())], names=["doc", "start", "gram", "body"])
+                    many.append(x["many"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(gram, pa.int64()), pa.array(bytes_, pa.binary()), pa.array(many, pa.bool_())], names=["doc", "start", "gram", "body", "many"])
 
-    contexts = packed.join(wanted, "doc").select("doc", "body", "wanted").mapInArrow(cut, "doc long, start long, gram long, body binary")
-    sizes = need.groupBy("gram").count().where(F.col("count") > ROWS).select("gram", F.ceil(F.col("count") / ROWS).cast("int").alias("cuts"))
-    cuts = F.coalesce("cuts", F.lit(1))
-    own = F.pmod(F.xxhash64("doc", "start"), cuts).cast("int")
-    rows = contexts.join(sizes, "gram", "left").withColumn("own", own).withColumn("cuts", cuts)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    dealt = rows.select("gram", "doc", "start", "body", F.explode(pairs).alias("p")).select("gram", "p.i", "p.j", "doc", "start", "body")
+    contexts = written(packed.join(wanted, "doc").select("doc", "body", "wanted").mapInArrow(cut, "doc long, start long, gram long, body binary, many boolean"), "contexts")
+    few = contexts.where(~F.col("many")).select("gram", "doc", "start", "body")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            gram, i, j, doc, start = (t.column(c).to_numpy() for c in ("gram", "i", "j", "doc", "start"))
+            gram, doc, start = (t.column(c).to_numpy() for c in ("gram", "doc", "start"))
             bodies = t.column("body").to_pylist()
-            edges = np.append(_runs(gram, i, j), len(gram))
+            edges = np.append(_runs(gram), len(gram))
             lo, hi, of = [], [], []
             s = 0
             while s < len(edges) - 1:
@@ -326,20 +350,107 @@ def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
                     lo.append(first)
                     hi.append(last + length)
                 s = e
-            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc", "lo", "hi"])
+            return _stretches(of, lo, hi)
 
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            gram, i, j = (held.column(c).to_numpy() for c in ("gram", "i", "j"))
-            last = int(_runs(gram, i, j)[-1]) if len(gram) else 0
+            gram = held.column("gram").to_numpy()
+            last = int(_runs(gram)[-1]) if len(gram) else 0
             if last >= 2 * ROWS:
                 yield out(held.slice(0, last).combine_chunks())
                 held = held.slice(last).combine_chunks()
         if held is not None and held.num_rows:
             yield out(held)
 
-    return dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(sort, "doc long, lo long, hi long")
+    sorted_ = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "doc long, lo long, hi long")
+    return sorted_.unionByName(_dealt(contexts.where("many").select("doc", "start", "body"), length))
+
+
+def _stretches(doc: Sequence[int], lo: Sequence[int], hi: Sequence[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc", "lo", "hi"])
+
+
+def _dealt(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, lo, hi): the repeated windows of contexts of very common grams.
+
+    All digits of a window make one name of 128 bits, and equal names meet: that is one row for each window and not
+    one for each pair of contexts. Windows that repeat among the contexts that a task has at hand send one row.
+    """
+    names = ["a", "b", "doc", "at"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, ROWS):
+                part = whole.slice(s, ROWS)
+                bodies = part.column("body").to_pylist()
+                size = np.array([len(x) for x in bodies], dtype=np.int64)
+                n = np.maximum(size - length + 1, 0)
+                row = np.repeat(np.arange(len(size)), n)
+                if not len(row):
+                    continue
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = (np.cumsum(size) - size)[row] + inside
+                hashes = _Hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8))
+                half = hashes.of(at, at + length // 2)
+                a = hashes.of(at, at + length).view(np.int64)
+                b = _mix(half * np.uint64(_B) + hashes.of(at + length // 2, at + length)).view(np.int64)
+                doc, place = part.column("doc").to_numpy()[row], part.column("start").to_numpy()[row] + inside
+                order = np.lexsort((place, doc, b, a))
+                order = order[_runs(a[order], b[order], doc[order], place[order])]
+                a, b, doc, place = a[order], b[order], doc[order], place[order]
+                new = _runs(a, b)
+                count = np.diff(np.append(new, len(a)))
+                twice = np.repeat(count > 1, count)
+                #: A window found here already says so by a row without a place.
+                sent = [np.concatenate([x[~twice], x[new[count > 1]]]) for x in (a, b, doc, place)]
+                sent[3][len(sent[3]) - int((count > 1).sum()) :] = -1
+                yield pa.RecordBatch.from_arrays([*map(pa.array, sent), pa.nulls(len(sent[0]), pa.int64())], names=[*names, "lo"])
+                seen = np.lexsort((place[twice], doc[twice]))
+                doc, place = doc[twice][seen], place[twice][seen]
+                if len(doc):
+                    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) > 1)) + 1
+                    lo, hi = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(doc) - 1]])]
+                    nil = np.zeros(len(lo), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(nil), pa.array(nil), pa.array(doc[np.concatenate([[0], cut])]), pa.array(hi + length), pa.array(lo)], names=[*names, "lo"])
+
+    found = written(contexts.mapInArrow(windows, "a long, b long, doc long, at long, lo long"), "windows")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        over: tuple[int, int] | None = None  # a window known to repeat, with more rows than are held
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            a, b, doc, at = cols
+            fresh = (at < 0) | np.isin(np.arange(len(a)), _runs(a, b, doc, at))
+            new = _runs(a, b)
+            #: A row without a place stands for two places at least.
+            weight = np.add.reduceat(np.where(at < 0, 2, fresh.astype(np.int64)), new) if len(a) else new
+            many = np.repeat(weight > 1, np.diff(np.append(new, len(a)))) & (at >= 0) & fresh
+            return _stretches(doc[many], at[many], at[many] + length)
+
+        for x in batches:
+            cols = [x.column(c).to_numpy() for c in names]
+            if over is not None and len(cols[0]):
+                n = int(np.argmax((cols[0] != over[0]) | (cols[1] != over[1]))) if ((cols[0] != over[0]) | (cols[1] != over[1])).any() else len(cols[0])
+                own = cols[3][:n] >= 0
+                yield _stretches(cols[2][:n][own], cols[3][:n][own], cols[3][:n][own] + length)
+                cols, over = [c[n:] for c in cols], over if n == len(cols[0]) else None
+            held = cols if held is None else [np.concatenate(y) for y in zip(held, cols, strict=True)]
+            if len(held[0]) >= HELD:
+                last = int(_runs(held[0], held[1])[-1])
+                if last:
+                    yield out([c[:last] for c in held])
+                    held = [c[last:] for c in held]
+                if len(held[0]) >= HELD and len(_runs(held[2], held[3])) > 1:
+                    over = (int(held[0][0]), int(held[1][0]))
+                    yield out(held)
+                    held = None
+        if held is not None and len(held[0]):
+            yield out(held)
+
+    met = found.where("lo IS NULL").select(*names).repartition("a", "b").sortWithinPartitions(*names).mapInArrow(meet, "doc long, lo long, hi long")
+    return met.unionByName(found.where("lo IS NOT NULL").select("doc", "lo", F.col("at").alias("hi")))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:

@@ -137,7 +137,6 @@ def test_flac(docs):
         body = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         r = got[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]))
-    assert by_id(flac.round_trip(docs(AWKWARD))) == got
     blocks = [r for r in flac.pcm_blocks(df).collect() if r["doc_id"] == 6]
     assert [r["sample_offset"] for r in sorted(blocks, key=lambda r: r["sample_offset"])] == [i * flac.BLOCK for i in range(len(blocks))]
     assert flac.stored(docs([])).count() == 0
