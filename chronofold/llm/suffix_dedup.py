@@ -497,3 +497,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     found = repeated_spans(docs, key, text, length)
     return found.mapInArrow(strip, "doc long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary").withColumnRenamed("doc", key)
+
+
+ORACLE = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2 * 1199) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 1000)) AS j FROM b)),
+w AS (SELECT doc_id, j + i AS i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, j, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM c)),
+hit AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY doc_id, run),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+f AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+      string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM q JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN f USING (doc_id)
+"""
