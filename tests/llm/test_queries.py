@@ -32,8 +32,8 @@ def corpus():
         text = say(lang, rnd.randint(15, 160))
         if i % 7 == 0:
             text += f"\n{LINE}\n" + say(lang, 20)
-        if i % 10 == 0:
-            text += " vile nasty filth" * 12
+        if i % 5 == 0:
+            text += " vile nasty filth" * 6
         if i % 9 == 0:
             text += f" token = {''.join(rnd.choices('0123456789abcdef', k=32))} and order {rnd.randrange(10**15, 10**16)} was sent"
         if i % 8 == 0:
@@ -85,7 +85,7 @@ def test_op1(run, corpus):
     total = sum(r["tokens"] for r in got)
     # No text is labelled as low, so only the others can be told apart.
     assert mass["toxic"] / total == pytest.approx(0.05, abs=0.01)
-    assert all(r["p_toxic"] > 0.5 for r in got if r["doc_id"] >= 100 and r["doc_id"] < 300 and r["doc_id"] % 10 == 0)
+    assert all(r["p_toxic"] > 0.5 for r in got if r["doc_id"] >= 100 and r["doc_id"] < 220 and r["doc_id"] % 5 == 0)
     assert all(abs(r["copies"] - r["rate"]) < 1 and r["rate"] >= 0 for r in got)
 
 
@@ -184,7 +184,7 @@ def test_op9(run, corpus):
     got = {r["doc_id"]: r for r in run("op9_langid")}
     assert len(got) == len(corpus)
     held = [d for d, _, _ in corpus if zlib.crc32(str(d).encode()) % 3 == 1]
-    assert [d for d, r in got.items() if r["held_out"]].sort() == held.sort()
+    assert sorted(d for d, r in got.items() if r["held_out"]) == sorted(held)
     truth = {d: "en" if d % 2 else "de" for d, _, _ in corpus if 100 <= d < 220}
     assert sum(got[d]["lang_pred"] == truth[d] for d in truth) >= 0.95 * len(truth)
     for d, t, _ in corpus:
