@@ -90,8 +90,8 @@ def _rate(history: list[list[float]], least: float, most: float, start: Column)
 def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, least: float = 0.0, most: float = math.inf, steps: int | None = None, tolerance: float = 1e-3, reached: list[tuple[float, float]] | None = None) -> DataFrame:
     """`soft` with the column rate. targets: tokens by domain, or weights: their shares of all tokens.
 
-    Steps go on until all relative errors are within `tolerance`, or the greatest falls by less than a thousandth of
-    itself in a step, as where no rates match the targets. `steps` bounds their number. Tokens (reached, target) of each
+    Steps go on until all relative errors are within `tolerance`, or each changes by less than a thousandth of itself
+    in a step, as where no rates match the targets. `steps` bounds their number. Tokens (reached, target) of each
     domain are added to `reached`, and a warning tells of targets not met.
     """
     d = len(targets or weights or [])
@@ -110,7 +110,7 @@ def fit_rates(soft: DataFrame, targets: list[float] | None = None, weights: list
             now = [x or 0.0 for x in rated.agg(*(F.sum(rate * x) for x in own)).first()]
             error = [(a - b) / s for a, b, s in zip(now, goal, scale, strict=True)]
             worst = max(abs(e) for e in error)
-            stuck = last is not None and max(abs(e - h) for e, h in zip(error, last, strict=True)) <= 1e-3 * worst
+            stuck = last is not None and all(abs(e - h) <= 1e-3 * max(abs(e), tolerance) for e, h in zip(error, last, strict=True))
             if worst <= tolerance or stuck or done == steps:
                 break
             #: Each column of scaled memberships sums to one, so the curvature is one at most and a full step is safe.

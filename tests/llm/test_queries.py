@@ -26,7 +26,8 @@ def corpus():
     """(doc_id, text, lang) rows: awkward ones, two languages, copies, near copies, shared lines, toxic and secret ones."""
     rnd = random.Random(11)
     say = lambda lang, n: " ".join(rnd.choice(WORDS[lang]) for _ in range(n))
-    rows = [(d, t, "en") for d, t in AWKWARD if d is not None]
+    # One text of unknown words must not hold most of all tokens, or no rates meet the targets.
+    rows = [(d, say("en", 5000) if d == 6 else t, "en") for d, t in AWKWARD if d is not None]
     for i in range(100, 220):
         lang = "en" if i % 2 else "de"
         text = say(lang, rnd.randint(15, 160))
@@ -34,6 +35,8 @@ def corpus():
             text += f"\n{LINE}\n" + say(lang, 20)
         if i % 5 == 0:
             text += " vile nasty filth" * 6
+        if i % 11 == 1:
+            text += " click subscribe bonus" * 6
         if i % 9 == 0:
             text += f" token = {''.join(rnd.choices('0123456789abcdef', k=32))} and order {rnd.randrange(10**15, 10**16)} was sent"
         if i % 8 == 0:
@@ -50,7 +53,7 @@ def corpus():
 def sf_dir(shared, corpus, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     shared.createDataFrame([(d, t, lang, f"s{d % 3}", len(t or "")) for d, t, lang in corpus], DOCS).repartition(3).write.parquet(f"{path}/documents.parquet")
-    labelled = [(d, int("filth" not in (t or "")), int("filth" in (t or ""))) for d, t, _ in corpus if d >= 100 and d % 3]
+    labelled = [(d, int("bonus" not in (t or "")), int("filth" in (t or ""))) for d, t, _ in corpus if d >= 100 and d % 3]
     shared.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
@@ -83,8 +86,7 @@ def test_op1(run, corpus):
     assert {r["doc_id"]: r["tokens"] for r in got} == {d: count(t) for d, t, _ in corpus}
     mass = {k: sum(r["rate"] * r["tokens"] * r[f"p_{k}"] for r in got) for k in queries.DOMAINS}
     total = sum(r["tokens"] for r in got)
-    # No text is labelled as low, so only the others can be told apart.
-    assert mass["toxic"] / total == pytest.approx(0.05, abs=0.01)
+    assert {k: m / total for k, m in mass.items()} == pytest.approx(queries.TARGET_WEIGHTS, abs=0.005)
     assert all(r["p_toxic"] > 0.5 for r in got if r["doc_id"] >= 100 and r["doc_id"] < 220 and r["doc_id"] % 5 == 0)
     assert all(abs(r["copies"] - r["rate"]) < 1 and r["rate"] >= 0 for r in got)
 
