@@ -22,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import SPACE_CLASS, fresh, least_hashes
+from chronofold.llm.common import SPACE_CLASS, fresh, least_hashes, written
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 RATIOS = {
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     """Rules from labelled (key, good) rows; good is a boolean."""
     sample = least_hashes(labelled.where(F.col("good").isNotNull()).select(F.col(key).alias("k"), "good"), sample_rows, "k", "good")
     seen = docs.select(F.col(key).alias("own"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("own") == F.col("k")).select("k", "good", "t")
-    passed = statistics(seen, "t").where(~base_failed()).select("k", "good", *(F.round(_feature(f), 6).alias(f) for f in FEATURES))
+    # Written, or else the filter on the statistics would be moved before the join, to all texts.
+    passed = statistics(written(seen, "labelled"), "t").where(~base_failed()).select("k", "good", *(F.round(_feature(f), 6).alias(f) for f in FEATURES))
     rows = passed.orderBy(F.xxhash64("k"), "good", *FEATURES).limit(sample_rows).collect()
     values = [({f: float(r[f]) for f in FEATURES}, r["good"]) for r in rows]
     return learn([v for v, good in values if not good], [v for v, good in values if good])

@@ -41,7 +41,7 @@ MANY = 8
 #: Contexts of a gram that are sorted in one task; the windows of grams with more are dealt out one by one.
 ROWS = 2000
 #: Rows of one gram or window that a task holds before it lets all of them go on.
-HELD = 500_000
+HELD = 200_000
 #: Bytes of text that a task looks at together.
 CHUNK = 16_000_000
 #: Bytes of a digit: as many as make one number.
@@ -193,28 +193,35 @@ def repeated(bodies: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.
     row = np.repeat(np.arange(len(size)), windows)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[row] + inside
-    of = group[row].astype(np.int64)
     place = start[row] + inside
-    live = np.arange(len(row))
+    live, of = np.arange(len(row)), group[row]
     for digit in range(0, length, _DIGIT):
         # The last digit may begin within the one before: that orders and tells apart just as well.
         key = digits[at[live] + min(digit, length - _DIGIT)]
-        order = np.lexsort((key, of[live]))
-        live, key = live[order], key[order]
-        new = _runs(of[live], key)
+        mixed = (of[1:] == of[:-1]) & (key[1:] != key[:-1])
+        if digit and not mixed.any():
+            continue
+        #: Only groups that the digit splits have to be sorted by it.
+        split = np.zeros(int(of[-1]) + 1, dtype=bool)
+        split[of[1:][mixed]] = True
+        rows = np.flatnonzero(split[of])
+        order = rows[np.lexsort((key[rows], of[rows]))]
+        live[rows], key[rows] = live[order], key[order]
+        new = _runs(of, key)
         count = np.diff(np.append(new, len(live)))
         keep = np.repeat(count > 1, count)
         #: A group's name is its rank among the groups so far: groups stay in the order of their bytes.
-        of[live] = np.repeat(np.arange(len(new)), count)
-        live = live[keep]
+        live, of = live[keep], np.repeat(np.arange(len(new)), count)[keep]
         if not len(live):
             return []
     # One place may be seen from several rows; it is no repeat of itself.
-    order = live[np.lexsort((place[live], doc[row[live]], of[live]))]
-    fresh = _runs(of[order], doc[row[order]], place[order])
-    number = np.diff(np.append(_runs(of[order][fresh]), len(fresh)))
-    many = np.repeat(number > 1, number)
-    hit = np.sort(live[np.isin(of[live], of[order][fresh][many])])
+    order = np.lexsort((place[live], doc[row[live]], of))
+    live, of = live[order], of[order]
+    fresh = np.zeros(len(live), dtype=bool)
+    fresh[_runs(of, doc[row[live]], place[live])] = True
+    new = _runs(of)
+    many = np.repeat(np.add.reduceat(fresh.astype(np.int64), new) > 1, np.diff(np.append(new, len(of))))
+    hit = np.sort(live[many])
     if not len(hit):
         return []
     r, s = row[hit], place[hit]
@@ -341,8 +348,8 @@ def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
             lo, hi, of = [], [], []
             s = 0
             while s < len(edges) - 1:
-                # Whole groups, as many as make about a million windows.
-                e = max(s + 1, int(np.searchsorted(edges, edges[s] + 4 * ROWS, side="right")) - 1)
+                # Whole groups, as many as make some hundred thousand windows.
+                e = max(s + 1, int(np.searchsorted(edges, edges[s] + ROWS, side="right")) - 1)
                 a, b = int(edges[s]), int(edges[e])
                 group = np.repeat(np.arange(e - s), np.diff(edges[s : e + 1]))
                 for row, first, last in repeated(bodies[a:b], group, doc[a:b], start[a:b], length):
