@@ -30,7 +30,9 @@ BLOCK = 4608
 #: Samples that are coded at once.
 BATCH = 4_000_000
 #: Frames that are written at once; their samples' places take the most memory.
-WRITE = 256
+WRITE = 16
+#: Frames that are read at once.
+READ = 2048
 #: Codes of block sizes that the header names itself.
 _SIZE_CODES = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5, 256: 8, 512: 9, 1024: 10, 2048: 11, 4096: 12, 8192: 13, 16384: 14, 32768: 15}
 _SIZES = {v: k for k, v in _SIZE_CODES.items()}
@@ -468,13 +470,15 @@ def _restore(res: np.ndarray, size: np.ndarray, linear: np.ndarray, order: np.nd
         res[:, lanes] = x
     lanes = np.flatnonzero(linear)
     if len(lanes):
-        x = res[:, lanes].astype(np.int64)
-        top = int(order[lanes].max())
-        for i in range(int(order[lanes].min()), int(size[lanes].max())):
-            guess = np.zeros(len(lanes), dtype=np.int64)
-            for j in range(min(top, i)):
-                guess += factors[j, lanes] * x[i - 1 - j]
-            x[i] += np.where(i >= order[lanes], guess >> shift[lanes], 0)
+        # Samples of 8 bits by at most 32 factors of 15 bits stay within 32 bits.
+        x, own, least, by = res[:, lanes], factors[:, lanes].astype(np.int32), order[lanes], shift[lanes].astype(np.int32)
+        top, alike = int(least.max()), int(least.min())
+        for i in range(alike, int(size[lanes].max())):
+            guess = own[0] * x[i - 1]
+            for j in range(1, min(top, i)):
+                guess += own[j] * x[i - 1 - j]
+            guess >>= by
+            x[i] += guess if i >= top else np.where(i >= least, guess, 0)
         res[:, lanes] = x
 
 
@@ -511,8 +515,8 @@ def _decode(files: list[bytes]) -> list[list[tuple[int, bytes]]]:
         at += len(f)
     data = np.frombuffer(b"".join(files), dtype=np.uint8)
     blocks: list[list[tuple[int, bytes]]] = [[] for _ in files]
-    for lo in range(0, len(frames), 2048):
-        part = frames[lo : lo + 2048]
+    for lo in range(0, len(frames), READ):
+        part = frames[lo : lo + READ]
         base, b = part[0].start, part[-1].end
         body = np.array([f.body for f in part], dtype=np.int64) - base
         size = np.array([f.size for f in part], dtype=np.int64)

@@ -40,7 +40,9 @@ GRAM = 64
 MANY = 8
 #: Contexts of a gram that are sorted in one task; the windows of grams with more are dealt out one by one.
 ROWS = 2000
-#: Rows of one gram or window that a task holds before it lets all of them go on.
+#: Windows of very common grams that meet in one task, about.
+PART = 1 << 18
+#: Rows of one gram that a task holds before it lets all of them go on.
 HELD = 200_000
 #: Bytes of text that a task looks at together.
 CHUNK = 16_000_000
@@ -381,16 +383,17 @@ def _stretches(doc: Sequence[int], lo: Sequence[int], hi: Sequence[int]) -> pa.R
 def _dealt(contexts: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi): the repeated windows of contexts of very common grams.
 
-    All digits of a window make one name of 128 bits, and equal names meet: that is one row for each window and not
-    one for each pair of contexts. Windows that repeat among the contexts that a task has at hand send one row.
+    All digits of a window make one name of 128 bits, and names meet by ranges of their hash: the work is in proportion
+    to the windows and not to the pairs of contexts. Windows that repeat among the contexts that a task has at hand
+    send their name once; names of one range travel together.
     """
-    names = ["a", "b", "doc", "at"]
+    parts = max(1, -(-contexts.count() * (length - GRAM + 1) // PART))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, ROWS):
-                part = whole.slice(s, ROWS)
-                bodies = part.column("body").to_pylist()
+                chunk = whole.slice(s, ROWS)
+                bodies = chunk.column("body").to_pylist()
                 size = np.array([len(x) for x in bodies], dtype=np.int64)
                 n = np.maximum(size - length + 1, 0)
                 row = np.repeat(np.arange(len(size)), n)
@@ -399,65 +402,61 @@ def _dealt(contexts: DataFrame, length: int) -> DataFrame:
                 inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = (np.cumsum(size) - size)[row] + inside
                 hashes = _Hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8))
-                half = hashes.of(at, at + length // 2)
-                a = hashes.of(at, at + length).view(np.int64)
-                b = _mix(half * np.uint64(_B) + hashes.of(at + length // 2, at + length)).view(np.int64)
-                doc, place = part.column("doc").to_numpy()[row], part.column("start").to_numpy()[row] + inside
+                a = hashes.of(at, at + length)
+                b = _mix(hashes.of(at, at + length // 2) * np.uint64(_B) + hashes.of(at + length // 2, at + length))
+                doc, place = chunk.column("doc").to_numpy()[row], chunk.column("start").to_numpy()[row] + inside
                 order = np.lexsort((place, doc, b, a))
                 order = order[_runs(a[order], b[order], doc[order], place[order])]
                 a, b, doc, place = a[order], b[order], doc[order], place[order]
                 new = _runs(a, b)
                 count = np.diff(np.append(new, len(a)))
                 twice = np.repeat(count > 1, count)
-                #: A window found here already says so by a row without a place.
-                sent = [np.concatenate([x[~twice], x[new[count > 1]]]) for x in (a, b, doc, place)]
-                sent[3][len(sent[3]) - int((count > 1).sum()) :] = -1
-                yield pa.RecordBatch.from_arrays([*map(pa.array, sent), pa.nulls(len(sent[0]), pa.int64())], names=[*names, "lo"])
-                seen = np.lexsort((place[twice], doc[twice]))
-                doc, place = doc[twice][seen], place[twice][seen]
+                # A window found here already says so by a row without a place.
+                sent = np.concatenate([np.flatnonzero(~twice), new[count > 1]])
+                cols = np.stack([a[sent].view(np.int64), b[sent].view(np.int64), doc[sent], np.where(twice[sent], -1, place[sent])], axis=1)
+                part = (a[sent] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cols, part = cols[order], part[order]
+                edge = np.append(_runs(part), len(part))
+                packed = [cols[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(packed, pa.binary()), *[pa.nulls(len(packed), pa.int64())] * 3], names=["part", "names", "doc", "lo", "hi"])
+                order = np.lexsort((place[twice], doc[twice]))
+                doc, place = doc[twice][order], place[twice][order]
                 if len(doc):
                     cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) > 1)) + 1
-                    lo, hi = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(doc) - 1]])]
-                    nil = np.zeros(len(lo), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(nil), pa.array(nil), pa.array(doc[np.concatenate([[0], cut])]), pa.array(hi + length), pa.array(lo)], names=[*names, "lo"])
+                    first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(doc) - 1]])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary()), pa.array(doc[first]), pa.array(place[first]), pa.array(place[last] + length)], names=["part", "names", "doc", "lo", "hi"])
 
-    found = written(contexts.mapInArrow(windows, "a long, b long, doc long, at long, lo long"), "windows")
+    found = written(contexts.mapInArrow(windows, "part long, names binary, doc long, lo long, hi long"), "windows")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        over: tuple[int, int] | None = None  # a window known to repeat, with more rows than are held
+        held: list[bytes] = []
+        of: int | None = None
 
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b, doc, at = cols
-            fresh = (at < 0) | np.isin(np.arange(len(a)), _runs(a, b, doc, at))
+        def out() -> pa.RecordBatch:
+            a, b, doc, at = np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 4).T
+            held.clear()
+            order = np.lexsort((at, doc, b, a))
+            a, b, doc, at = a[order], b[order], doc[order], at[order]
+            fresh = at < 0
+            fresh[_runs(a, b, doc, at)] = True
             new = _runs(a, b)
-            #: A row without a place stands for two places at least.
-            weight = np.add.reduceat(np.where(at < 0, 2, fresh.astype(np.int64)), new) if len(a) else new
+            # A row without a place stands for two places at least.
+            weight = np.add.reduceat(np.where(at < 0, 2, fresh.astype(np.int64)), new)
             many = np.repeat(weight > 1, np.diff(np.append(new, len(a)))) & (at >= 0) & fresh
             return _stretches(doc[many], at[many], at[many] + length)
 
         for x in batches:
-            cols = [x.column(c).to_numpy() for c in names]
-            if over is not None and len(cols[0]):
-                n = int(np.argmax((cols[0] != over[0]) | (cols[1] != over[1]))) if ((cols[0] != over[0]) | (cols[1] != over[1])).any() else len(cols[0])
-                own = cols[3][:n] >= 0
-                yield _stretches(cols[2][:n][own], cols[3][:n][own], cols[3][:n][own] + length)
-                cols, over = [c[n:] for c in cols], over if n == len(cols[0]) else None
-            held = cols if held is None else [np.concatenate(y) for y in zip(held, cols, strict=True)]
-            if len(held[0]) >= HELD:
-                last = int(_runs(held[0], held[1])[-1])
-                if last:
-                    yield out([c[:last] for c in held])
-                    held = [c[last:] for c in held]
-                if len(held[0]) >= HELD and len(_runs(held[2], held[3])) > 1:
-                    over = (int(held[0][0]), int(held[1][0]))
-                    yield out(held)
-                    held = None
-        if held is not None and len(held[0]):
-            yield out(held)
+            for part, names in zip(x.column("part").to_pylist(), x.column("names"), strict=True):
+                if part != of and held:
+                    yield out()
+                of = part
+                held.append(names.as_py())
+        if held:
+            yield out()
 
-    met = found.where("lo IS NULL").select(*names).repartition("a", "b").sortWithinPartitions(*names).mapInArrow(meet, "doc long, lo long, hi long")
-    return met.unionByName(found.where("lo IS NOT NULL").select("doc", "lo", F.col("at").alias("hi")))
+    met = found.where("part IS NOT NULL").select("part", "names").repartition("part").sortWithinPartitions("part").mapInArrow(meet, "doc long, lo long, hi long")
+    return met.unionByName(found.where("part IS NULL").select("doc", "lo", "hi"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
