@@ -1,32 +1,61 @@
 """Folds of ordered logs whose next step depends on the last one's result.
 
-Windows can't express these, so each log is folded by one Python function on Arrow batches. A fold
-reads its rows in order and keeps only its own small state; the rows of one log are sorted before it.
+Windows can't express these, so each log is folded by one Python function over Arrow batches. A fold
+reads its rows in order, a batch at a time, and keeps only its own state; Spark sorts the rows before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Row = tuple
 Fold = Callable[[Iterator], Iterator[Row]]
 HOUR = 3_600_000_000
+#: Rows of a batch that a fold sends.
+BATCH = 10_000
 
 
 def fold(rows: DataFrame, by: Sequence[str], order: Sequence[str], step: Fold, schema: str) -> DataFrame:
-    """`step` over the rows of each key, in order; it yields rows of `schema` without the key."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pd.DataFrame([(*key, *r) for r in step(pdf.itertuples(index=False))], columns=names)
+    """`step` over the rows of each key, in order; it yields rows of `schema` without the key.
 
-    return rows.groupBy(*by).applyInPandas(one, schema)
+    Rows are sorted by Spark, which spills, and read batch by batch: a task holds a batch and the state of one fold.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    keys = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[Row]:
+            for b in batches:
+                record = namedtuple("Record", b.schema.names)
+                yield from map(record, *(c.to_pylist() for c in b.columns))
+
+        out: list[Row] = []
+        for key, group in groupby(records(), key=lambda r: r[:keys]):
+            for r in step(group):
+                out.append((*key, *r))
+                if len(out) >= BATCH:
+                    yield batch(out)
+                    out = []
+            for _ in group:  # a step may stop early
+                pass
+        yield batch(out)
+
+    def batch(out: list[Row]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    rest = [c for c in rows.columns if c not in by]
+    sorted_ = rows.select(*by, *rest).repartition(*by).sortWithinPartitions(*by, *order)
+    return sorted_.mapInArrow(run, schema)
 
 
 def split_arcs(arcs: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -67,11 +67,11 @@ def fsm_flag_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops(spark, sf_dir).select("event_id", ((hit - F.col("us")) / 1e6).alias("wait_s"))
 
 
-@query("timeline_align", f"WITH {E}, o AS (SELECT user_id, k % 6 + 1 AS state, max(value) AS seen FROM e WHERE event_type = 'click' AND k < 40 GROUP BY 1, 2), x AS (SELECT user_id, s.state, s.dur FROM (SELECT DISTINCT user_id FROM e) u, (VALUES (1, 10.0), (2, 5.0), (3, 7.5), (4, 2.5), (5, 4.0), (6, 3.0)) s(state, dur)), l AS (SELECT user_id, max(state) AS reached FROM o GROUP BY 1) SELECT x.user_id, x.state, round(CASE WHEN o.seen IS NOT NULL THEN o.seen WHEN x.state < coalesce(l.reached, 0) THEN 0 ELSE CAST(x.dur AS DOUBLE) END, 4) AS dur_s FROM x LEFT JOIN o ON x.user_id = o.user_id AND x.state = o.state LEFT JOIN l ON x.user_id = l.user_id")
+@query("timeline_align", f"WITH {E}, o AS (SELECT user_id, k % 6 + 1 AS state, max(value) AS seen FROM e WHERE event_type = 'click' GROUP BY 1, 2), x AS (SELECT user_id, s.state, s.dur FROM (SELECT DISTINCT user_id FROM e) u, (VALUES (1, 10.0), (2, 5.0), (3, 7.5), (4, 2.5), (5, 4.0), (6, 3.0)) s(state, dur)), l AS (SELECT user_id, max(state) AS reached FROM o GROUP BY 1) SELECT x.user_id, x.state, round(CASE WHEN o.seen IS NOT NULL THEN o.seen WHEN x.state < coalesce(l.reached, 0) THEN 0 ELSE CAST(x.dur AS DOUBLE) END, 4) AS dur_s FROM x LEFT JOIN o ON x.user_id = o.user_id AND x.state = o.state LEFT JOIN l ON x.user_id = l.user_id")
 def timeline_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An expected chain with the observed lengths; skipped states before the last one seen take no time."""
     e = ops(spark, sf_dir)
-    seen = of_type(e, "click").where("k < 40").groupBy("user_id", (F.col("k") % 6 + 1).alias("state")).agg(F.max("value").alias("seen"))
+    seen = of_type(e, "click").groupBy("user_id", (F.col("k") % 6 + 1).alias("state")).agg(F.max("value").alias("seen"))
     chain = F.array(*(F.struct(F.lit(s).cast("long").alias("state"), F.lit(d).alias("dur")) for s, d in ((1, 10.0), (2, 5.0), (3, 7.5), (4, 2.5), (5, 4.0), (6, 3.0))))
     expected = e.select("user_id").distinct().select("user_id", F.explode(chain).alias("s")).select("user_id", "s.state", "s.dur")
     last = seen.groupBy("user_id").agg(F.max("state").alias("reached"))
@@ -101,38 +101,20 @@ def plan_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alive_cross",
-    f"""WITH {E}, {S}, a AS (SELECT event_id AS action, us FROM e WHERE event_type = 'purchase' AND k = 7)
+    f"""WITH {E}, {S}, a AS (SELECT event_id AS action, us FROM e WHERE event_type = 'purchase')
     SELECT a.action, count(*) AS n_alive, min(s.user_id) AS lowest FROM a JOIN s ON a.us BETWEEN s.start_us AND s.end_us AND s.slot = 0 GROUP BY 1""",
 )
 def alive_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each action with k = 7 with all that are there at its time: points and intervals meet by buckets of time."""
-    e = ops(spark, sf_dir)
-    a = of_type(e, "purchase").where("k = 7").select(F.col("event_id").alias("action"), "us")
-    s = statuses(e).where("slot = 0").select("user_id", "start_us", "end_us")
-    return T.interval_join(a, s, [], "us", "start_us", "end_us", 2 * DAY).groupBy("action").agg(F.count("*").alias("n_alive"), F.min("user_id").alias("lowest"))
-
-
-@query("alive_cross_all")
-def alive_cross_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `alive_cross`, whose SQL keeps to purchases with k = 7, for every purchase."""
+    """Each action with all that are there at its time, counted by starts and ends and not by pairs."""
     e = ops(spark, sf_dir)
     a = of_type(e, "purchase").select(F.col("event_id").alias("action"), "us")
     s = statuses(e).where("slot = 0").select("user_id", "start_us", "end_us")
     return T.covering(a, s, "action", "us", "start_us", "end_us", "user_id").select("action", F.col("n").alias("n_alive"), "lowest")
 
 
-@query("nearest_peer", f"WITH {P} SELECT a.vec_id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))), 6) + 0.0 AS distance FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id AND floor(a.vec_id / 50) = floor(b.vec_id / 50) GROUP BY 1")
+@query("nearest_peer", f"WITH {P} SELECT a.vec_id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))), 6) + 0.0 AS distance FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
 def nearest_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the nearest of the same kind that is there at the same time, here in the same fifty."""
-    p = points(spark, sf_dir).withColumn("there", F.floor(F.col("vec_id") / 50))
-    o = p.select("label", "there", F.col("vec_id").alias("other"), F.col("x").alias("ox"), F.col("z").alias("oz"))
-    d = G.length(G.sub(xz(), (F.col("ox"), F.col("oz"))))
-    return p.join(o, ["label", "there"]).where("vec_id <> other").groupBy("vec_id").agg(_r(F.min(d), "distance"))
-
-
-@query("nearest_peer_all")
-def nearest_peer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `nearest_peer`, whose SQL keeps to blocks of fifty ids, among all of the same kind."""
+    """Distance to the nearest of the same kind, by cells in growing rings."""
     return analysis.nearest_alike(points(spark, sf_dir), "vec_id", "label", "x", "z").select("vec_id", _r(F.col("distance"), "distance"))
 
 
@@ -198,13 +180,13 @@ def knockback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tether_break",
     f"""WITH {E}, {S}, v AS (SELECT user_id, us, value FROM e WHERE event_type = 'view')
-    SELECT s.event_id, a.value AS at_start, b.value AS at_end, round(b.value - a.value, 4) + 0.0 AS change FROM s ASOF LEFT JOIN v a ON s.user_id = a.user_id AND s.start_us >= a.us ASOF LEFT JOIN v b ON s.user_id = b.user_id AND s.end_us >= b.us WHERE s.slot = 1""",
+    SELECT s.event_id, a.value AS at_start, b.value AS at_end, round(b.value - a.value, 4) + 0.0 AS change FROM s ASOF LEFT JOIN v a ON s.user_id = a.user_id AND s.start_us >= a.us ASOF LEFT JOIN v b ON s.user_id = b.user_id AND s.end_us >= b.us""",
 )
 def tether_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A measure at both ends of an interval."""
     e = ops(spark, sf_dir)
     v = lambda n: of_type(e, "view").select("user_id", "event_id", F.col("us"), F.col("value").alias(n))
-    s = statuses(e).where("slot = 1").select("user_id", F.col("event_id").alias("tether"), F.col("start_us").alias("us"), "end_us")
+    s = statuses(e).select("user_id", F.col("event_id").alias("tether"), F.col("start_us").alias("us"), "end_us")
     a = T.as_of(s, v("at_start"), ["user_id"], "us", ["at_start"], "event_id").drop("us").withColumnRenamed("end_us", "us")
     b = T.as_of(a, v("at_end"), ["user_id"], "us", ["at_end"], "event_id")
     return b.select(F.col("tether").alias("event_id"), "at_start", "at_end", (F.round(F.col("at_end") - F.col("at_start"), 4) + F.lit(0.0)).alias("change"))
@@ -218,7 +200,7 @@ def position_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "arc_union",
-    f"""WITH {P}, a AS (SELECT label, atan2(x, z) - 0.05 AS lo, atan2(x, z) + 0.05 AS hi FROM p WHERE vec_id % 20 = 0),
+    f"""WITH {P}, a AS (SELECT label, atan2(x, z) - 0.002 AS lo, atan2(x, z) + 0.002 AS hi FROM p),
     s AS (SELECT label, greatest(lo, -pi()) AS lo, least(hi, pi()) AS hi FROM a UNION ALL SELECT label, lo + 2 * pi(), pi() FROM a WHERE lo < -pi() UNION ALL SELECT label, -pi(), hi - 2 * pi() FROM a WHERE hi > pi()),
     m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY label ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s),
     n AS (SELECT *, sum(new) OVER (PARTITION BY label ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
@@ -226,14 +208,14 @@ def position_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def arc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forbidden arcs merged; those across the end of the circle are split there."""
-    a = points(spark, sf_dir).where("vec_id % 20 = 0").select("label", (G.to_angle(xz()) - 0.05).alias("lo"), (G.to_angle(xz()) + 0.05).alias("hi"))
+    a = points(spark, sf_dir).select("label", (G.to_angle(xz()) - 0.002).alias("lo"), (G.to_angle(xz()) + 0.002).alias("hi"))
     s = fsm.split_arcs(a, "lo", "hi")
     return T.interval_union(s, ["label"], "lo", "hi").select("label", _r(F.col("lo"), "lo"), _r(F.col("hi"), "hi"))
 
 
-@query("arc_union_all")
-def arc_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `arc_union`, whose SQL keeps to one row in twenty, for all rows: forbidden arcs, allowed ones with a cushion, and
+@query("arc_allowed")
+def arc_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden arcs, allowed ones with a cushion, and
     for each row the next allowed one in both directions from where (u, v) points. All arcs of a label together are
     one radian long, so that they never fill the circle."""
     p = points(spark, sf_dir)

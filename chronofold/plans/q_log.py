@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.codec import from_hex
 from chronofold.functions.time import micros
+from chronofold.operators import replay
 from chronofold.plans.fixtures import DAY, E, of_type, ops
 from chronofold.plans.registry import query
 from chronofold.sources import oplog
@@ -99,3 +100,37 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ops(spark, sf_dir).withColumn("log", F.col("user_id") % 3)
     return oplog.pseudonyms(e, ["log"], "user_id", "us", "event_id").select("event_id", "pseudonym")
+
+
+_RECORDS = {"signup": "ACT+", "view": "HP", "click": "STA+", "purchase": "STA-", "error": "ACT-"}
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as records of one log, written as text and read again."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    own, slot, value = F.hex("user_id"), F.col("k") % 4, F.format_string("%.3f", F.col("value"))
+    tag, fields = F.lit(None).cast("string"), F.lit("")
+    told = {"signup": [own, F.hex("k"), "0", "0", "name", "0", "0001"], "view": [own, F.floor("value").cast("string"), "100"], "click": [own, slot.cast("string"), F.concat("k", F.lit(" name")), "1F", value, own], "purchase": [own, slot.cast("string")], "error": [own]}
+    for kind, parts in told.items():
+        tag = F.when(F.col("event_type") == kind, _RECORDS[kind]).otherwise(tag)
+        fields = F.when(F.col("event_type") == kind, F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise(fields)
+    lines = oplog.emit(e, F.col("ts"), tag, [fields]).select(F.lit("log").alias("replay_id"), F.col("event_id").alias("op_seq"), "line")
+    return oplog.parse(lines)
+
+
+@query(
+    "replay_statuses",
+    f"""WITH {E}, w AS (SELECT event_id, user_id, event_type, us, k, round(value, 3) AS remaining, CASE WHEN event_type IN ('click', 'purchase') THEN lead(us) OVER (PARTITION BY user_id, k % 4, event_type IN ('click', 'purchase') ORDER BY us, event_id) END AS nxt,
+    min(CASE WHEN event_type = 'error' THEN us END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone, (SELECT max(us) FROM e) AS over FROM e)
+    SELECT event_id, user_id AS instance, k % 4 AS slot, k AS status, CAST(31 AS BIGINT) AS extra, remaining AS remaining_s, us AS start_us, least(coalesce(nxt, over), coalesce(gone, over)) AS end_us FROM w WHERE event_type = 'click'""",
+)
+def replay_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status intervals from the typed records of a log: closed by the next write to a slot, or by the end of the entity."""
+    s = replay.statuses(_records(spark, sf_dir))
+    return s.select(F.col("op_seq").alias("event_id"), F.col("instance").cast("long").alias("instance"), "slot", "status", "extra", "remaining_s", "start_us", "end_us")
+
+
+@query("replay_hp", f"WITH {E} SELECT user_id AS instance, us AS ts_us, CAST(floor(value) AS BIGINT) AS hp, CAST(100 AS BIGINT) AS max_hp FROM e WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, us ORDER BY event_id DESC) = 1")
+def replay_hp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = replay.hp_history(_records(spark, sf_dir))
+    return h.select(F.col("instance").cast("long").alias("instance"), "ts_us", "hp", "max_hp")

@@ -189,9 +189,9 @@ def count_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops(spark, sf_dir).groupBy("user_id").agg(F.count_if(c).alias("n_match"), F.count_if(~c).alias("n_mismatch"))
 
 
-@query("cast_count", f"WITH {E} SELECT user_id, count(*) AS n_casts FROM e WHERE event_type = 'click' AND k % 5 = 0 GROUP BY 1")
+@query("cast_count", f"WITH {E} SELECT user_id, k % 5 AS action, count(*) AS n_casts FROM e WHERE event_type = 'click' GROUP BY 1, 2")
 def cast_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of_type(ops(spark, sf_dir), "click").where("k % 5 = 0").groupBy("user_id").agg(F.count("*").alias("n_casts"))
+    return of_type(ops(spark, sf_dir), "click").groupBy("user_id", (F.col("k") % 5).alias("action")).agg(F.count("*").alias("n_casts"))
 
 
 @query("mask_agg", f"WITH {E}, m AS (SELECT user_id, bit_or(CAST(1 AS BIGINT) << (k % 60)::INT) AS m FROM e GROUP BY 1) SELECT user_id, m, bit_count(m) AS n_set, CAST(log2(m & -m) AS BIGINT) AS lowest, CAST(floor(log2(m)) AS BIGINT) AS highest FROM m")
@@ -241,10 +241,10 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
 
 
-@query("set_except", f"WITH {E} SELECT DISTINCT k FROM e WHERE event_type = 'view' AND k % 3 = 0 EXCEPT SELECT k FROM e WHERE event_type = 'error' AND k % 2 = 0")
+@query("set_except", f"WITH {E} SELECT DISTINCT user_id, k FROM e WHERE event_type = 'view' EXCEPT SELECT user_id, k FROM e WHERE event_type = 'error'")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ops(spark, sf_dir)
-    return of_type(e, "view").where("k % 3 = 0").select("k").distinct().subtract(of_type(e, "error").where("k % 2 = 0").select("k"))
+    return of_type(e, "view").select("user_id", "k").subtract(of_type(e, "error").select("user_id", "k"))
 
 
 @query("confirm_match", "SELECT o.o_orderkey, l.l_linenumber, (epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 1e6 AS delay_s FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o.o_orderkey, l.l_linenumber ORDER BY l.l_shipdate, l.l_partkey, l.l_suppkey) = 1")

@@ -13,12 +13,16 @@ class UnknownTag(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(replay_id, op_seq, line) of all logs below `path`, in the order of each file.
+    """(replay_id, op_seq, line) of all logs below `path`; op_seq grows in the order of each file.
 
-    A log is one file; a file is not split, since records only have their place for an order.
+    A log is one file, of any size. It is read in splits: a line's number is that of its split, by which megabyte
+    it begins in, and its own in the task that reads it. Splits below a megabyte, which no default gives, would not do.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_name").alias("replay_id"), F.posexplode(F.split("value", "\r?\n")).alias("op_seq", "line"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
+    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    seq = F.shiftleft(split, 33).bitwiseOR(own)
+    return text.select(F.col("_metadata.file_name").alias("replay_id"), seq.alias("op_seq"), F.rtrim("value", F.lit("\r")).alias("line"))
 
 
 def parse(lines: DataFrame, line: str = "line", known: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -72,4 +76,6 @@ def pseudonyms(rows: DataFrame, by: list[str], name: str, ts: str, seq: str) ->
     """pseudonym: `Player N`, numbered by first appearance within each log."""
     first = rows.groupBy(*by, name).agg(F.min(F.struct(ts, seq)).alias("_first"))
     numbered = first.withColumn("pseudonym", F.concat(F.lit("Player "), F.row_number().over(Window.partitionBy(*by).orderBy("_first")).cast("string"))).drop("_first")
-    return rows.join(numbered, [*by, name])
+    other = numbered.select(*(F.col(c).alias(f"_{c}") for c in (*by, name)), "pseudonym")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, name)]
+    return rows.join(other, same).drop(*(f"_{c}" for c in (*by, name)))

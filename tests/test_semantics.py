@@ -130,7 +130,7 @@ def test_alive_cross_of_every_action(spark):
         alive = [u for s, t, u in spans if s <= r["us"] <= t]
         if alive:
             want[r["event_id"]] = (len(alive), min(alive))
-    got = {r["action"]: (r["n_alive"], r["lowest"]) for r in queries()["alive_cross_all"](spark, sf).collect()}
+    got = {r["action"]: (r["n_alive"], r["lowest"]) for r in queries()["alive_cross"](spark, sf).collect()}
     assert got == want and len(got) > 50
 
 
@@ -157,7 +157,7 @@ def test_nearest_peer_among_all(spark):
 
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = [tuple(r) for r in points(spark, sf).select("vec_id", "label", "x", "z").collect()]
-    got = {r["vec_id"]: r["distance"] for r in queries()["nearest_peer_all"](spark, sf).collect()}
+    got = {r["vec_id"]: r["distance"] for r in queries()["nearest_peer"](spark, sf).collect()}
     want = brute(rows)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
     odd = [(i, 1, i * 0.001, (i * i % 7) * 0.001) for i in range(60)] + [(100, 1, 1e6, 3.0), (101, 1, 1e6, 9.0), (102, 1, -5e5, 0.0), (103, 2, 0.0, 0.0), (104, 3, 1.0, 1.0), (105, 3, 1.0, 1.0), (106, 3, 4.0, 5.0)]
@@ -180,7 +180,7 @@ def test_arcs_allowed_and_next(spark):
     got = {r.id: [round(x, 6) for x in (*r.ccw, *r.cw)] for r in fsm.next_allowed(spark.createDataFrame([(i, *a) for i, a in asked.items()], "id long, label long, angle double"), forbidden.drop("cushion"), "label", "angle", "lo", "hi").collect()}
     left, right = [round(1 - 2 * pi, 6), -1.0], [1.0, round(2 * pi - 1, 6)]
     assert got == {0: [-3.0, -1.0] * 2, 1: [0.0, 0.05, -3.0, -1.0], 2: [-3.0, -1.0, 0.5, 3.0], 3: [-3.0, -1.0, 0.5, 3.0], 4: right + left, 5: left * 2, 6: right * 2}
-    rows = queries()["arc_union_all"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
+    rows = queries()["arc_allowed"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
     n = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet").count()
     assert {k: sum(r.kind == k for r in rows) for k in ("next_ccw", "next_cw")} == {"next_ccw": n, "next_cw": n}
     assert all(r.lo < r.hi for r in rows) and {r.kind for r in rows} == {"forbidden", "allowed", "next_ccw", "next_cw"}
