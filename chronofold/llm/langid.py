@@ -21,6 +21,7 @@ other columns pass through unchanged, and columns named like the results are rep
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -219,18 +220,24 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         names=["lang", "h", "size", "at", "n"],
                     )
 
-    found = {(r["lang"], r["h"], r["size"]): r for r in sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").collect()}
-    rows = [found[k] for k in sorted(found)]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {(r["lang"], r["h"], r["size"]): (r["at"], r["n"]) for b in batches for r in b.to_pylist()}
+        rows = sorted(found)
 
-    def counts(size: int) -> tuple[np.ndarray, list[str]]:
-        own = [r for r in rows if r["size"] == size]
-        out = np.zeros((len(own), DIMS), dtype=np.float32)
-        for i, r in enumerate(own):
-            out[i, np.frombuffer(r["at"], dtype=np.int16)] = np.frombuffer(r["n"], dtype=np.float32)
-        return out, [r["lang"] for r in own]
+        def counts(size: int) -> tuple[np.ndarray, list[str]]:
+            own = [k for k in rows if k[2] == size]
+            out = np.zeros((len(own), DIMS), dtype=np.float32)
+            for i, k in enumerate(own):
+                at, n = found[k]
+                out[i, np.frombuffer(at, dtype=np.int16)] = np.frombuffer(n, dtype=np.float32)
+            return out, [k[0] for k in own]
 
-    prefixes = ((n, *x) for n in LENGTHS if (x := counts(n))[1])
-    return fit_vectors(*counts(0), prefixes=prefixes)
+        prefixes = ((n, *x) for n in LENGTHS if (x := counts(n))[1])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_vectors(*counts(0), prefixes=prefixes))], pa.binary())], names=["model"])
+
+    #: The sample is bounded, so one task trains on it; the driver gets the model alone.
+    vectors_ = sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary")
+    return pickle.loads(vectors_.repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def held_out(key: str = "doc_id") -> Column:
