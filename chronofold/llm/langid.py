@@ -166,10 +166,13 @@ def fit_vectors(counts: np.ndarray, langs: list[str], per_language_centroids: in
     v, of = _weighted(counts, idf), np.array(langs)
     each = {lang: _kmeans(v[of == lang], per_language_centroids) for lang in sorted(set(langs))}
     lengths, radii = [], []
-    for n, x, x_langs in [*prefixes] or [(0, counts, langs)]:
+    #: Prefixes of one length at a time, so that no more than their vectors are held.
+    for n, x, x_langs in prefixes:
         x, x_of = _weighted(x, idf), np.array(x_langs)
         lengths.append(n)
         radii.append([r for lang, c in each.items() for r in _radii(x, x_of == lang, c)])
+    if not lengths:
+        lengths, radii = [0], [[r for lang, c in each.items() for r in _radii(v, of == lang, c)]]
     #: Without own texts of a length, that of the next shorter ones holds.
     radius = np.array(radii).T
     for k in range(1, len(lengths)):
