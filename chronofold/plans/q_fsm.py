@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import geometry as G
 from chronofold.operators import analysis, fsm
 from chronofold.operators import temporal as T
+from chronofold.plans import fold_sql
 from chronofold.plans.fixtures import DAY, E, HOUR, S, of_type, ops, statuses
 from chronofold.plans.q_functions import P, _r, points, uv, xz
 from chronofold.plans.registry import query
@@ -234,47 +235,47 @@ def arc_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- folds whose next step needs the last one's result --------------------------------------------
 
 
-@query("ema")
+@query("ema", fold_sql.EMA)
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "value"), ["user_id"], ["us", "event_id"], fsm.moving_average, "user_id long, event_id long, average double")
 
 
-@query("cdc_dedup")
+@query("cdc_dedup", fold_sql.CDC)
 def cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "value"), ["user_id"], ["us", "event_id"], fsm.changes_beyond, "user_id long, event_id long, value double")
 
 
-@query("dedup_keys")
+@query("dedup_keys", fold_sql.NAMES)
 def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.split(F.lower("p_name"), " ")[0].alias("name"), "p_partkey")
     return fsm.fold(p, ["brand"], ["p_partkey"], fsm.distinct_names, "brand string, p_partkey long, unique_name string")
 
 
-@query("request_match")
+@query("request_match", fold_sql.REQUESTS)
 def request_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "event_type", "k"), ["user_id"], ["us", "event_id"], fsm.match_requests, "user_id long, request long, response long, outcome string")
 
 
-@query("protocol_check")
+@query("protocol_check", fold_sql.PROTOCOL)
 def protocol_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "event_type", "k"), ["user_id"], ["us", "event_id"], fsm.check_protocol, "user_id long, event_id long, warning string")
 
 
-@query("cooldown_sim")
+@query("cooldown_sim", fold_sql.CHARGES)
 def cooldown_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(of_type(ops(spark, sf_dir), "click").select("user_id", "event_id", "us"), ["user_id"], ["us", "event_id"], fsm.simulate_charges, "user_id long, event_id long, charges double, deficit_s double")
 
 
-@query("fsm_run")
+@query("fsm_run", fold_sql.MACHINE)
 def fsm_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "event_type"), ["user_id"], ["us", "event_id"], fsm.run_machine, "user_id long, us long, from_state string, to_state string, cause string")
 
 
-@query("encounter_sessions")
+@query("encounter_sessions", fold_sql.SESSIONS)
 def encounter_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(ops(spark, sf_dir).select("user_id", "event_id", "us", "event_type", "k"), ["user_id"], ["us", "event_id"], fsm.sessions, "user_id long, session long, start_us long, end_us long, n_phases long, n_members long")
 
 
-@query("hull")
+@query("hull", fold_sql.HULL)
 def hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(points(spark, sf_dir).select("label", "vec_id", "x", "z"), ["label"], ["vec_id"], fsm.thinned_hull, "label int, place long, x double, z double")
