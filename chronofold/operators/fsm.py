@@ -214,6 +214,28 @@ def run_machine(rows: Iterator) -> Iterator[Row]:
             state, since = following, r.us
 
 
+def pick_in_time(rows: Iterator, at_once: float = 0.05) -> Iterator[Row]:
+    """The entry of a queue to start next, with the time at which it has to; rows come by falling priority, then by expiry.
+
+    An entry that can start at once and may is taken. One that can start only later is kept as the best so far, and
+    what follows it has to be over by its start. The last one kept is taken if it may start then. Entries of negative
+    priority are never taken, nor those whose cast is longer than what is allowed.
+    """
+    best, deadline = None, math.inf
+    for r in rows:
+        if r.priority < 0:
+            break
+        if r.cast > r.longest or r.delay + r.duration > deadline:
+            continue
+        if r.delay > at_once:
+            best, deadline = r, r.delay
+        elif r.usable:
+            best = r
+            break
+    if best is not None and best.usable:
+        yield best.entry, max(0.0, best.delay)
+
+
 def sessions(rows: Iterator) -> Iterator[Row]:
     """Sessions from a signup to the next error or the end; clicks are phases, members are the k seen meanwhile."""
     number, start, last, phases, members = 0, None, None, 0, set()

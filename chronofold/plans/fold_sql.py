@@ -96,3 +96,15 @@ h AS (
       OR (c.x - h.corner.x) * (d.z - h.corner.z) - (c.z - h.corner.z) * (d.x - h.corner.x) = 0 AND (d.x - h.corner.x) ** 2 + (d.z - h.corner.z) ** 2 > (c.x - h.corner.x) ** 2 + (c.z - h.corner.z) ** 2))) = 0)[1] AS corner
     FROM h JOIN thin USING (label)) WHERE corner IS NOT NULL AND corner <> first)
 SELECT label, place, round(corner.x, 6) AS x, round(corner.z, 6) AS z FROM h"""
+
+PICK = """WITH RECURSIVE r AS MATERIALIZED (
+  SELECT l_orderkey AS queue, l_partkey AS entry, l_quantity - 5 AS priority, l_discount AS delay, l_tax AS duration, l_extendedprice AS cast_s, l_returnflag <> 'R' AS usable,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_shipdate, l_partkey, l_suppkey) AS i FROM lineitem),
+f AS (
+  SELECT queue, 0::BIGINT AS i, NULL::BIGINT AS entry, NULL::DOUBLE AS start_s, false AS usable, 'infinity'::DOUBLE AS deadline, false AS done FROM r WHERE i = 1
+  UNION ALL SELECT queue, i, CASE WHEN later OR taken THEN entry ELSE best END, CASE WHEN later OR taken THEN delay ELSE start_s END, CASE WHEN later OR taken THEN usable ELSE best_usable END,
+    CASE WHEN later THEN delay ELSE deadline END, taken OR priority < 0
+  FROM (SELECT r.*, f.entry AS best, f.start_s, f.usable AS best_usable, f.deadline, r.priority >= 0 AND r.cast_s <= 60000 AND r.delay + r.duration <= f.deadline AS fits,
+      fits AND r.delay > 0.05::DOUBLE AS later, fits AND NOT later AND r.usable AS taken
+    FROM f JOIN r ON r.queue = f.queue AND r.i = f.i + 1 WHERE NOT f.done))
+SELECT queue, arg_max(entry, i) AS entry, arg_max(start_s, i) AS start_s FROM (SELECT *, max(i) OVER (PARTITION BY queue) AS top FROM f) WHERE i = top AND entry IS NOT NULL AND usable GROUP BY queue"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import geometry as G
+from chronofold.functions.time import micros
 from chronofold.operators import analysis, fsm
 from chronofold.operators import temporal as T
 from chronofold.plans import fold_sql
@@ -279,3 +280,13 @@ def encounter_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hull", fold_sql.HULL)
 def hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.fold(points(spark, sf_dir).select("label", "vec_id", "x", "z"), ["label"], ["vec_id"], fsm.thinned_hull, "label int, place long, x double, z double")
+
+
+@query("priority_pick", fold_sql.PICK)
+def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as queues, their lines as entries: what each order would start next."""
+    entries = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("queue"), F.col("l_partkey").alias("entry"), (F.col("l_quantity") - 5).alias("priority"), (-F.col("l_quantity")).alias("behind"), micros("l_shipdate").alias("expire"),
+        "l_suppkey", F.col("l_discount").alias("delay"), F.col("l_tax").alias("duration"), F.col("l_extendedprice").alias("cast"), F.lit(60000.0).alias("longest"), (F.col("l_returnflag") != "R").alias("usable"),
+    )
+    return fsm.fold(entries, ["queue"], ["behind", "expire", "entry", "l_suppkey"], fsm.pick_in_time, "queue long, entry long, start_s double")

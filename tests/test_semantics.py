@@ -117,6 +117,30 @@ def test_folds():
     assert {(x, z) for _, x, z in fsm.thinned_hull(iter(square))} == {(0, 0), (0, 2), (2, 0), (2, 2)}
 
 
+def test_pick_in_time():
+    """What is kept for later sets a deadline; what can start at once and fits is taken; conditions count last for what waits."""
+    entry = lambda i, p, delay, duration=0.0, usable=True, cast=0.0: R(entry=i, priority=p, delay=delay, duration=duration, usable=usable, cast=cast, longest=2.0)
+    pick = lambda *rows: list(fsm.pick_in_time(iter(rows)))
+    assert pick(entry(1, 9, 0.0), entry(2, 8, 0.0)) == [(1, 0.0)]
+    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.0, 0.6)) == [(2, 0.0)]
+    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.0, 1.1)) == [(1, 1.0)]
+    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.5, 0.4), entry(3, 7, 0.0, 0.6)) == [(2, 0.5)]
+    assert pick(entry(1, 9, 1.0, usable=False), entry(2, 8, 0.0, 2.0)) == []
+    assert pick(entry(1, 9, 0.0, usable=False), entry(2, 8, 0.0, cast=3.0), entry(3, 7, 0.0)) == [(3, 0.0)]
+    assert pick(entry(1, -1, 0.0)) == pick() == []
+
+
+def test_folds_without_windows():
+    """Averages move by the share of a day; answers are held against the queue; sessions end with an error."""
+    h = fsm.HOUR
+    assert list(fsm.moving_average(iter([R(event_id=i, us=t * h, value=v) for i, (t, v) in enumerate([(0, 10.0), (12, 20.0), (60, 0.0)])]))) == [(0, 10.0), (1, 15.0), (2, 0.0)]
+    q = lambda i, e, k: R(event_id=i, us=i, event_type=e, k=k)
+    asked = [q(1, "click", 1), q(2, "click", 2), q(3, "click", 1), q(4, "purchase", 2), q(5, "purchase", 2), q(6, "purchase", 9), q(7, "purchase", 1)]
+    assert list(fsm.check_protocol(iter(asked))) == [(3, "repeated request"), (4, "overtakes 1"), (5, "answered twice"), (6, "unexpected answer"), (3, "never answered")]
+    log = [q(1, "click", 1), q(2, "signup", 1), q(3, "click", 2), q(4, "signup", 2), q(5, "error", 3), q(6, "error", 4), q(7, "signup", 5), q(8, "view", 5)]
+    assert list(fsm.sessions(iter(log))) == [(1, 2, 5, 1, 3), (2, 7, 8, 0, 1)]
+
+
 def test_alive_cross_of_every_action(spark):
     """Every purchase has its row, not those with one k alone; equal to pairs of all with all."""
     from chronofold.plans.fixtures import of_type, ops, statuses
