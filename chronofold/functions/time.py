@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def micros(ts: Column | str) -> Column:
     return ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + (F.extract(F.lit("SECOND"), i) * 1_000_000).cast("long")
 
 
+def instant(us: int) -> Column:
+    """The timestamp at so many microseconds: a literal, which scans can compare with their statistics."""
+    return F.lit((datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(" ")).cast("timestamp_ntz")
+
+
 def seconds(later: Column, earlier: Column) -> Column:
     """Difference of two columns of microseconds in seconds."""
     return (later - earlier) / F.lit(1e6)

@@ -25,10 +25,14 @@ def profile(rows: DataFrame, by: Sequence[str], sets: Mapping[str, Column] = {},
 
 
 def transition_outliers(transitions: DataFrame) -> DataFrame:
-    """Instances that last unlike the others of their transition: further than one sample deviation from the mean."""
-    w = Window.partitionBy("from_state", "to_state")
-    scored = transitions.withColumn("avg_s", F.avg("dur").over(w)).withColumn("sd_s", F.stddev_samp("dur").over(w))
-    return scored.where(F.abs(F.col("dur") - F.col("avg_s")) > F.col("sd_s"))
+    """Instances that last unlike the others of their transition: further than one sample deviation from the mean.
+
+    Means and deviations are aggregated first and joined to the instances, so no task has to hold a transition's rows;
+    where they are few, which is checked by their size, they are broadcast.
+    """
+    usual = transitions.groupBy(F.col("from_state").alias("_from"), F.col("to_state").alias("_to")).agg(F.avg("dur").alias("avg_s"), F.stddev_samp("dur").alias("sd_s"))
+    same = F.col("from_state").eqNullSafe(F.col("_from")) & F.col("to_state").eqNullSafe(F.col("_to"))
+    return transitions.join(usual, same).where(F.abs(F.col("dur") - F.col("avg_s")) > F.col("sd_s")).drop("_from", "_to")
 
 
 def histogram(rows: DataFrame, by: Sequence[str], value: Column, scale: float = 1000.0) -> DataFrame:

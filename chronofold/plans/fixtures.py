@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.functions.time import micros
+from chronofold.functions.time import instant, micros
 from chronofold.sources.tables import table
 
 #: The same reading of `events` in DuckDB, for the oracles.
@@ -18,9 +18,14 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
 
-def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, user_id, event_type, value, us, k)."""
+def ops(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(event_id, user_id, event_type, value, us, k); of the times from `first` to `last` alone, which the scan then skips by."""
     e = table(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp_ntz")
+    if first is not None:
+        e = e.where(at >= instant(first))
+    if last is not None:
+        e = e.where(at <= instant(last))
     return e.select("event_id", "user_id", "event_type", "value", micros("ts").alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
@@ -28,6 +33,12 @@ def of_type(e: DataFrame, *types: str) -> DataFrame:
     return e.where(F.col("event_type").isin(*types))
 
 
+def log_bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Times of the first and the last operation, from one column; zeros where there is none."""
+    found = table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(micros("a"), micros("b")).first()
+    return found[0] or 0, found[1] or 0
+
+
 def log_end(e: DataFrame) -> int:
     """Time of the last operation: one number."""
     return e.agg(F.max("us")).first()[0] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronofold.functions.codec import from_hex
 from chronofold.functions.time import micros
 from chronofold.operators import replay
-from chronofold.plans.fixtures import DAY, E, of_type, ops
+from chronofold.plans.fixtures import DAY, E, log_bounds, of_type, ops
 from chronofold.plans.registry import query
 from chronofold.sources import oplog
 from chronofold.sources.tables import table
@@ -77,9 +77,8 @@ def log_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("log_isolate", f"WITH {E}, b AS (SELECT min(us) + 864000000000 AS lo, min(us) + 2592000000000 AS hi FROM e), m AS (SELECT DISTINCT user_id FROM e, b WHERE event_type = 'purchase' AND us BETWEEN lo AND hi) SELECT event_id, e.user_id FROM e, b WHERE us BETWEEN lo AND hi AND (event_type = 'error' OR user_id IN (SELECT user_id FROM m))")
 def log_isolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a stretch of time: what concerns its members, and what concerns all."""
-    e = ops(spark, sf_dir)
-    low = e.agg(F.min("us")).first()[0] or 0
-    part = e.where(F.col("us").between(low + 10 * DAY, low + 30 * DAY))
+    low, _ = log_bounds(spark, sf_dir)
+    part = ops(spark, sf_dir, low + 10 * DAY, low + 30 * DAY)
     members = of_type(part, "purchase").select("user_id").distinct()
     own = part.where("event_type <> 'error'").join(members, "user_id", "left_semi")
     return own.select("event_id", "user_id").unionByName(of_type(part, "error").select("event_id", "user_id"))
@@ -90,9 +89,8 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest operations that lead to the state at one moment, in order."""
     from chronofold.operators.temporal import state_at
 
-    e = ops(spark, sf_dir)
-    low, high = e.agg(F.min("us"), F.max("us")).first()
-    s = state_at(e, ["user_id", "event_type"], "us", "event_id", F.lit(((low or 0) + (high or 0)) // 2), ["event_id", "us", "value"])
+    at = sum(log_bounds(spark, sf_dir)) // 2
+    s = state_at(ops(spark, sf_dir, last=at), ["user_id", "event_type"], "us", "event_id", F.lit(at), ["event_id", "us", "value"])
     return s.withColumn("op_seq", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).cast("long"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronofold.functions.time import micros
 from chronofold.operators import analysis
 from chronofold.operators import profiles as P
-from chronofold.plans.fixtures import DAY, E, HOUR, S, of_type, ops, statuses
+from chronofold.plans.fixtures import DAY, E, HOUR, S, log_bounds, of_type, ops, statuses
 from chronofold.plans.registry import query
 from chronofold.sources.tables import table
 
@@ -102,11 +102,13 @@ def mapeffect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("director", f"WITH {E} SELECT k % 16 AS update_id, count(*) AS n, array_to_string(list(event_id ORDER BY us, event_id)[1:5], ',') AS first_events FROM e WHERE event_type = 'error' GROUP BY 1")
 def director(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates by id with the first five, which a rank picks before they are gathered."""
-    e = of_type(ops(spark, sf_dir), "error").withColumn("update_id", F.col("k") % 16)
-    ranked = e.withColumn("n", F.count("*").over(Window.partitionBy("update_id"))).withColumn("r", F.row_number().over(Window.partitionBy("update_id").orderBy("us", "event_id"))).where("r <= 5")
+    """Updates by id with the first five: each task ranks its own before the shuffle, so that five of an id travel from it."""
+    e = of_type(ops(spark, sf_dir), "error").select((F.col("k") % 16).alias("update_id"), "us", "event_id")
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("update_id").orderBy("us", "event_id"))).where("r <= 5")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("event_id").cast("string").alias("e")))), lambda x: x["e"])
-    return ranked.groupBy("update_id").agg(F.max("n").alias("n"), F.array_join(texts, ",").alias("first_events"))
+    first = ranked.groupBy(F.col("update_id").alias("own")).agg(F.array_join(texts, ",").alias("first_events"))
+    counts = e.groupBy("update_id").agg(F.count("*").alias("n"))
+    return counts.join(first, F.col("update_id").eqNullSafe(F.col("own"))).select("update_id", "n", "first_events")
 
 
 #: An order's lines as the effects of an action on its targets.
@@ -298,10 +300,8 @@ def pending_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cooldown_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least time until an ability is ready again; a reset forgets earlier uses."""
-    e = ops(spark, sf_dir)
-    low, high = e.agg(F.min("us"), F.max("us")).first()
-    at = ((low or 0) + (high or 0)) // 2
-    past = e.where(F.col("us") <= at)
+    at = sum(log_bounds(spark, sf_dir)) // 2
+    past = ops(spark, sf_dir, last=at)
     reset = of_type(past, "signup").groupBy("user_id").agg(F.max("us").alias("reset_us"))
     used = of_type(past, "click").join(reset, "user_id", "left").where(F.col("us") > F.coalesce("reset_us", F.lit(-1))).groupBy("user_id", (F.col("k") % 3).alias("ability")).agg(F.max("us").alias("used_us"))
     ready = F.col("used_us") + F.when(F.col("ability") == 0, 120).otherwise(30) * F.lit(HOUR) - at

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.time import clamp, micros, seconds
 from chronofold.operators import temporal as T
-from chronofold.plans.fixtures import DAY, E, HOUR, S, log_end, of_type, ops, statuses
+from chronofold.plans.fixtures import DAY, E, HOUR, S, log_bounds, log_end, of_type, ops, statuses
 from chronofold.plans.registry import query
 from chronofold.sources.tables import table
 
@@ -213,9 +213,8 @@ def reorder_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, event_type, value, us, k FROM e, t WHERE us <= moment QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY us DESC, event_id DESC) = 1""",
 )
 def state_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ops(spark, sf_dir)
-    low, high = e.agg(F.min("us"), F.max("us")).first()
-    return T.state_at(e, ["user_id", "event_type"], "us", "event_id", F.lit(((low or 0) + (high or 0)) // 2), ["value", "us", "k"])
+    at = sum(log_bounds(spark, sf_dir)) // 2
+    return T.state_at(ops(spark, sf_dir, last=at), ["user_id", "event_type"], "us", "event_id", F.lit(at), ["value", "us", "k"])
 
 
 @query("tick_batches", f"WITH {E} SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY us // {DAY}) AS tick, count(*) OVER (PARTITION BY user_id, us // {DAY}) AS n_in_tick FROM e")
@@ -268,6 +267,5 @@ def ts_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ts_clamp", f"WITH {E}, b AS (SELECT min(us) + 864000000000 AS lo, min(us) + 1728000000000 AS hi FROM e) SELECT event_id, greatest(lo, least(hi, us)) AS clamped_us FROM e, b")
 def ts_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ops(spark, sf_dir)
-    low = e.agg(F.min("us")).first()[0] or 0
-    return e.select("event_id", clamp(F.col("us"), F.lit(low + 10 * DAY), F.lit(low + 20 * DAY)).alias("clamped_us"))
+    low, _ = log_bounds(spark, sf_dir)
+    return ops(spark, sf_dir).select("event_id", clamp(F.col("us"), F.lit(low + 10 * DAY), F.lit(low + 20 * DAY)).alias("clamped_us"))
