@@ -182,6 +182,56 @@ def check_protocol(rows: Iterator) -> Iterator[Row]:
         yield q.event_id, "never answered"
 
 
+def audit_requests(rows: Iterator, late_us: int = 48 * HOUR) -> Iterator[Row]:
+    """What is odd about requests, their answers and rejections, and the casts between them.
+
+    Rows have kind (ask, answer, reject, start, stop or reset), seq and action; a rejection without seq is found by
+    its action, the end of a cast by what was cast. Whatever settles a request settles those before it as well, and
+    all of them where it fits none. A request also settles the first one where that one's cast goes on.
+    """
+    queue: list = []
+    casting = None
+    for r in rows:
+        odd: list[str] = []
+        if r.kind in ("answer", "reject") or r.kind == "stop" and casting is not None:
+            if r.kind == "stop":
+                fits = [q.action == casting for q in queue]
+            else:
+                fits = [q.seq == r.seq if r.seq else q.action == r.action for q in queue]
+            n = fits.index(True) if True in fits else None
+            if n is None:
+                odd.append(f"{r.kind} of none")
+            elif n:
+                odd.append(f"{r.kind} out of order")
+            elif r.kind == "reject":
+                odd.append("reject" if (queue[0].seq, queue[0].action) == (r.seq, r.action) else "reject of another")
+            elif r.kind == "answer" and queue[0].action != r.action:
+                odd.append("answer to another")
+            elif r.kind == "answer" and r.us - queue[0].us >= late_us:
+                odd.append("answer too late")
+            del queue[: len(queue) if n is None else n + 1]
+            casting = None
+        elif r.kind == "ask":
+            if queue and queue[0].action == casting:
+                del queue[0]
+                casting = None
+            if queue:
+                odd.append(f"ask while {len(queue)} wait")
+            queue.append(r)
+        elif r.kind == "start":
+            if not queue:
+                odd.append("start of none")
+            elif queue[0].action != r.action:
+                odd.append("start of another")
+            if casting is not None:
+                odd.append("start during a cast")
+            casting = r.action
+        elif r.kind == "reset":
+            queue, casting = [], None
+        if odd:
+            yield r.event_id, ", ".join(odd)
+
+
 def simulate_charges(rows: Iterator, charges: int = 3, recharge_us: int = 8 * HOUR) -> Iterator[Row]:
     """Charges left after each use; a use without one counts as a deficit of the time that was missing."""
     left, last = float(charges), None

@@ -108,3 +108,24 @@ f AS (
       fits AND r.delay > 0.05::DOUBLE AS later, fits AND NOT later AND r.usable AS taken
     FROM f JOIN r ON r.queue = f.queue AND r.i = f.i + 1 WHERE NOT f.done))
 SELECT queue, arg_max(entry, i) AS entry, arg_max(start_s, i) AS start_s FROM (SELECT *, max(i) OVER (PARTITION BY queue) AS top FROM f) WHERE i = top AND entry IS NOT NULL AND usable GROUP BY queue"""
+
+AUDIT = f"""WITH RECURSIVE {E}, o AS (
+  SELECT user_id, event_id, us, k % 8 AS seq, (k // 8) % 4 AS action,
+    CASE event_type WHEN 'click' THEN 'ask' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reset' WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN 'start' ELSE 'stop' END END AS kind FROM e),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM o WHERE kind <> 'answer' OR seq <> 0),
+f AS (
+  SELECT user_id, 0::BIGINT AS i, []::STRUCT(seq BIGINT, action BIGINT, us BIGINT)[] AS queue, NULL::BIGINT AS casting, NULL::BIGINT AS event_id, NULL::VARCHAR AS warning FROM r WHERE i = 1
+  UNION ALL SELECT user_id, i,
+    CASE WHEN kind = 'reset' THEN [] WHEN kind = 'ask' THEN list_append(queue, {{'seq': seq, 'action': action, 'us': us}}) WHEN NOT settles THEN queue WHEN place = 0 THEN [] ELSE queue[place + 1:] END,
+    CASE WHEN kind = 'start' THEN action WHEN kind = 'ask' AND NOT early THEN casting END, event_id,
+    CASE
+      WHEN settles AND place = 0 THEN concat(kind, ' of none') WHEN settles AND place > 1 THEN concat(kind, ' out of order')
+      WHEN kind = 'reject' THEN CASE WHEN queue[1].seq = seq AND queue[1].action = action THEN 'reject' ELSE 'reject of another' END
+      WHEN kind = 'answer' AND queue[1].action <> action THEN 'answer to another' WHEN kind = 'answer' AND us - queue[1].us >= {48 * HOUR} THEN 'answer too late'
+      WHEN kind = 'ask' AND len(queue) > 0 THEN concat('ask while ', len(queue), ' wait')
+      WHEN kind = 'start' THEN nullif(concat_ws(', ', CASE WHEN len(queue) = 0 THEN 'start of none' WHEN queue[1].action <> action THEN 'start of another' END, CASE WHEN casting IS NOT NULL THEN 'start during a cast' END), '') END
+  FROM (SELECT r.*, f.casting, coalesce(r.kind = 'ask' AND f.queue[1].action = f.casting, false) AS early, CASE WHEN early THEN f.queue[2:] ELSE f.queue END AS queue,
+      r.kind IN ('answer', 'reject') OR r.kind = 'stop' AND f.casting IS NOT NULL AS settles,
+      coalesce(CASE WHEN r.kind = 'stop' THEN list_position(list_transform(f.queue, lambda q: q.action), f.casting)
+        WHEN r.seq <> 0 THEN list_position(list_transform(f.queue, lambda q: q.seq), r.seq) ELSE list_position(list_transform(f.queue, lambda q: q.action), r.action) END, 0) AS place {_NEXT}))
+SELECT user_id, event_id, warning FROM f WHERE warning IS NOT NULL"""

@@ -290,3 +290,14 @@ def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", F.col("l_discount").alias("delay"), F.col("l_tax").alias("duration"), F.col("l_extendedprice").alias("cast"), F.lit(60000.0).alias("longest"), (F.col("l_returnflag") != "R").alias("usable"),
     )
     return fsm.fold(entries, ["queue"], ["behind", "expire", "entry", "l_suppkey"], fsm.pick_in_time, "queue long, entry long, start_s double")
+
+
+@query("request_audit", fold_sql.AUDIT)
+def request_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks ask, purchases answer, errors reject, views start or stop casts; a signup is another player."""
+    e, k = ops(spark, sf_dir), F.col("k")
+    view = F.when(k % 2 == 0, "start").otherwise("stop")
+    kind = F.when(F.col("event_type") == "view", view).otherwise(F.element_at(F.create_map(*(F.lit(x) for x in ("click", "ask", "purchase", "answer", "error", "reject", "signup", "reset"))), F.col("event_type")))
+    rows = e.select("user_id", "event_id", "us", kind.alias("kind"), (k % 8).alias("seq"), F.call_function("div", k, F.lit(8)).alias("rest")).where("kind <> 'answer' OR seq <> 0")
+    rows = rows.withColumn("action", F.col("rest") % 4).drop("rest")
+    return fsm.fold(rows, ["user_id"], ["us", "event_id"], fsm.audit_requests, "user_id long, event_id long, warning string")

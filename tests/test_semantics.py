@@ -141,6 +141,22 @@ def test_folds_without_windows():
     assert list(fsm.sessions(iter(log))) == [(1, 2, 5, 1, 3), (2, 7, 8, 0, 1)]
 
 
+def test_request_audit():
+    """Rejections by sequence or by action, answers out of order, late or to another, casts with and without requests."""
+    row = lambda i, kind, seq=0, action=0, us=0: R(event_id=i, kind=kind, seq=seq, action=action, us=us)
+    audit = lambda *rows: [w for _, w in fsm.audit_requests(iter(rows))]
+    ask = row(1, "ask", 3, 7)
+    assert audit(ask, row(2, "answer", 3, 7)) == []
+    assert audit(ask, row(2, "answer", 3, 8)) == ["answer to another"]
+    assert audit(ask, row(2, "answer", 3, 7, us=48 * fsm.HOUR)) == ["answer too late"]
+    assert audit(ask, row(2, "ask", 4, 8), row(3, "answer", 4, 8), row(4, "answer", 3, 7)) == ["ask while 1 wait", "answer out of order", "answer of none"]
+    assert audit(ask, row(2, "reject", 3, 7), ask, row(3, "reject", 0, 7), ask, row(4, "reject", 5, 7), row(5, "answer", 3, 7)) == ["reject", "reject of another", "reject of none", "answer of none"]
+    assert audit(row(1, "start", 0, 7), row(2, "start", 0, 7), row(3, "stop")) == ["start of none", "start of none, start during a cast", "stop of none"]
+    assert audit(ask, row(2, "start", 0, 8), row(3, "reset"), row(4, "stop")) == ["start of another"]
+    assert audit(ask, row(2, "start", 0, 7), row(3, "ask", 4, 8), row(4, "answer", 4, 8)) == []
+    assert audit(ask, row(2, "start", 0, 7), row(3, "stop"), row(4, "answer", 3, 7)) == ["answer of none"]
+
+
 def test_alive_cross_of_every_action(spark):
     """Every purchase has its row, not those with one k alone; equal to pairs of all with all."""
     from chronofold.plans.fixtures import of_type, ops, statuses
