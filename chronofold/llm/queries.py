@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, secrets, suffix_dedup
+from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, secrets, suffix_dedup, token_files
 from chronofold.llm.common import documents, labels, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +93,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return files.rows().select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard, "op11_token_files": op11_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
