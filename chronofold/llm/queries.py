@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, ranked_search, secrets, suffix_dedup, token_files
+from chronofold.llm import flac, jaccard, langid, line_dedup, mixing, packing, pii, quality, ranked_search, secrets, spelling, suffix_dedup, token_files
 from chronofold.llm.common import documents, labels, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +103,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(documents(spark, sf_dir), items)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard, "op11_token_files": op11_token_files, "op12_ranked_search": op12_ranked_search}
+    return {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_flac": op7_flac, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_jaccard": op10_jaccard, "op11_token_files": op11_token_files, "op12_ranked_search": op12_ranked_search, "op13_spelling": op13_spelling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op10_jaccard": jaccard.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op10_jaccard": jaccard.ORACLE, "op12_ranked_search": ranked_search.ORACLE, "op13_spelling": spelling.ORACLE}
