@@ -31,6 +31,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ class _Shard:
 
     def rows(self, name: int, docs: int, words: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """The shard's documents, then its terms' trees."""
-        order = pa.compute.sort_indices(pa.array(self.keys, kind), null_placement="at_start").to_numpy()
+        order = pc.sort_indices(pa.array(self.keys, kind), null_placement="at_start").to_numpy()
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         keys = pa.array(self.keys, kind).take(pa.array(order))
@@ -225,9 +226,9 @@ class Index:
         key_type = self.table.schema["key"].dataType.simpleString()
 
         def searched(rows: pa.Table) -> pa.Table:
-            of_docs = pa.compute.is_null(rows.column("term"))
+            of_docs = pc.is_null(rows.column("term"))
             docs = rows.filter(of_docs).sort_by("nth")
-            trees = rows.filter(pa.compute.invert(of_docs))
+            trees = rows.filter(pc.invert(of_docs))
             q, place, score = [], [], []
             if trees.num_rows:
                 levels, number = _levels(trees), {w: i for i, w in enumerate(trees.column("term").to_pylist())}
