@@ -31,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -49,14 +50,55 @@ _HEAD = struct.Struct("<6sH32s")
 _FOOT = struct.Struct("<QQ6s")
 #: Files are made larger, rather than more of them, beyond this.
 MOST_FILES = 100_000
-_MEMO_MOST = 600_000
+_MEMO_MOST = 800_000
 #: A space where the tokenizer always begins a new piece: all but one within a run of white space.
 _BREAK = re.compile(r"(?<=\S) | (?=\S)")
+#: Letters that every version of Unicode has, signs behind them, a line break, and letters again: a piece each.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)")
 _encoders: dict[str, Encoder] = {}
 
 
+class Chunks(dict):
+    """Serialised ids by chunk: what stands before, between or after the spaces of a text, `space` being the one in front of it.
+
+    Chunks of plain words are cut into the tokenizer's pieces here, and its merges are applied to each; all others go to the tokenizer whole.
+    """
+
+    def __init__(self, tokenizer, width: int, space: str, inner: Chunks | None):
+        self._encode, self._merge, self._kind, self._space = tokenizer.encode, tokenizer.model.tokenize, {2: "H", 4: "I"}[width], space
+        #: Pieces without a space in front.
+        self._inner = self if inner is None else inner
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in printable)
+        self._letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self._front = "".join(self._letters[b] for b in space.encode())
+
+    def _merged(self, spelled: str) -> bytes:
+        return array(self._kind, [t.id for t in self._merge(self._front + spelled)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            found = self._merged(chunk)
+        elif plain := _PLAIN.fullmatch(chunk):
+            word, signs, line, more = plain.groups()
+            if word == chunk:
+                found = self._merged("".join([self._letters[b] for b in word.encode()]))
+            else:
+                found = self[word]
+                for piece in (signs, line, more):
+                    if piece:
+                        found += self._inner[piece]
+        else:
+            found = array(self._kind, self._encode(self._space + chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) < 64:
+            if len(self) > _MEMO_MOST:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
-    """Ids of a tokenizer file whose pieces begin at spaces, with the ids of chunks between spaces remembered."""
+    """Ids of a tokenizer file of byte-level merges, with those of chunks between spaces remembered."""
 
     def __init__(self, path: str):
         import os
@@ -64,30 +106,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Serialised ids of each text."""
-        if len(self._memo) > _MEMO_MOST:
-            self._memo.clear()
-        memo, kind = self._memo, f"<u{self.width}"
-        cut = []
-        for t in texts:
-            first, *more = _BREAK.split(t)
-            cut.append([first, *(" " + c for c in more)] if first else [" " + c for c in more])
-        new = list({c for chunks in cut for c in chunks if c not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, dtype=kind).tobytes()
-        out = [b"".join([memo[c] for c in chunks]) for chunks in cut]
-        for c in new:
-            if len(c) > 64:
-                del memo[c]
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._first = Chunks(tokenizer, self.width, "", None)
+        self._later = Chunks(tokenizer, self.width, " ", self._first)
+
+    def encode(self, text: str) -> bytes:
+        """Serialised ids of a text."""
+        first, *later = _BREAK.split(text)
+        return (self._first[first] if first else b"") + b"".join(map(self._later.__getitem__, later))
 
 
 def encoder(path: str) -> Encoder:
@@ -97,12 +125,11 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoded(texts: pa.Array, tokenizer: str, end_id: int) -> Iterator[bytes]:
-    """Serialised ids and end id of each text, a few texts at a time."""
+    """Serialised ids and end id of each text."""
     enc = encoder(tokenizer)
     tail = np.array([end_id], dtype=f"<u{enc.width}").tobytes()
-    for at in range(0, len(texts), 256):
-        for ids in enc.encode([t or "" for t in texts[at : at + 256].to_pylist()]):
-            yield ids + tail
+    for t in texts:
+        yield enc.encode(t.as_py() or "") + tail
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, size: int, sample_rows: int) -> bytes:
