@@ -42,7 +42,7 @@ from chronofold.llm.common import discard, fresh, written
 SPANS = (4096, 256, 16, 1)
 DOCS, FAN = SPANS[0], SPANS[0] // SPANS[1]
 #: A shard is closed once it has so many occurrences of terms.
-OCCURRENCES = 1 << 21
+OCCURRENCES = 1 << 20
 BLOCK_TERMS = 1 << 18
 _PIECE = 1 << 22
 #: Bytes of UTF-8: those of terms, A-Z lower-cased; a space for all others.

@@ -50,14 +50,19 @@ _HEAD = struct.Struct("<6sH32s")
 _FOOT = struct.Struct("<QQ6s")
 #: Files are made larger, rather than more of them, beyond this.
 MOST_FILES = 100_000
-_MEMO_MOST = 800_000
+#: Chunks of one generation; those of the last one are kept besides.
+_MEMO_MOST = 300_000
 #: A space where the tokenizer always begins a new piece: all but one within a run of white space.
 _BREAK = re.compile(r"(?<=\S) | (?=\S)")
-#: Letters that every version of Unicode has, signs behind them, a line break, and letters again: a piece each.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)")
+#: Letters that every version of Unicode has, signs behind them, a line break, letters and signs again: a piece each.
+_PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)""")
 _encoders: dict[str, Encoder] = {}
 
 
+class _White(KeyError):
+    """A chunk is empty or begins with white space: what stands before it decides whether it is a chunk."""
+
+
 class Chunks(dict):
     """Serialised ids by chunk: what stands before, between or after the spaces of a text, `space` being the one in front of it.
 
@@ -70,32 +75,42 @@ class Chunks(dict):
         self._inner = self if inner is None else inner
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in printable)
-        self._letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self._front = "".join(self._letters[b] for b in space.encode())
+        #: The merges' letter for each byte.
+        self._letters = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self._before: dict[str, bytes] = {}
+        self._front = space.translate(self._letters)
 
     def _merged(self, spelled: str) -> bytes:
         return array(self._kind, [t.id for t in self._merge(self._front + spelled)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            found = self._merged(chunk)
-        elif plain := _PLAIN.fullmatch(chunk):
-            word, signs, line, more = plain.groups()
-            if word == chunk:
-                found = self._merged("".join([self._letters[b] for b in word.encode()]))
-            else:
-                found = self[word]
-                for piece in (signs, line, more):
-                    if piece:
-                        found += self._inner[piece]
-        else:
-            found = array(self._kind, self._encode(self._space + chunk, add_special_tokens=False).ids).tobytes()
+        found = self._before.get(chunk)
+        if found is None:
+            if not chunk or chunk[0].isspace():
+                raise _White
+            found = self.ids(chunk)
         if len(chunk) < 64:
             if len(self) > _MEMO_MOST:
+                self._before = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
+    def ids(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._merged(chunk)
+        plain = _PLAIN.fullmatch(chunk)
+        if not plain:
+            return array(self._kind, self._encode(self._space + chunk, add_special_tokens=False).ids).tobytes()
+        word, *rest = plain.groups()
+        if word == chunk:
+            return self._merged(word.encode().decode("latin-1").translate(self._letters))
+        found = self[word]
+        for piece in rest:
+            if piece:
+                found += self._inner.ids(piece) if piece == "\n" else self._inner[piece]
+        return found
+
 
 class Encoder:
     """Ids of a tokenizer file of byte-level merges, with those of chunks between spaces remembered."""
@@ -114,8 +129,12 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Serialised ids of a text."""
-        first, *later = _BREAK.split(text)
-        return (self._first[first] if first else b"") + b"".join(map(self._later.__getitem__, later))
+        first, *later = text.split(" ")
+        try:
+            return (self._first[first] if first else b"") + b"".join(map(self._later.__getitem__, later))
+        except _White:
+            first, *later = _BREAK.split(text)
+            return (self._first.ids(first) if first else b"") + b"".join([self._later.ids(c) if not c or c[0].isspace() else self._later[c] for c in later])
 
 
 def encoder(path: str) -> Encoder:
