@@ -21,6 +21,12 @@ def instant(us: int) -> Column:
     return F.lit((datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(" ")).cast("timestamp_ntz")
 
 
+def moment(us: Column) -> Column:
+    """The timestamp without time zone at so many microseconds."""
+    part = (us * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), part)
+
+
 def seconds(later: Column, earlier: Column) -> Column:
     """Difference of two columns of microseconds in seconds."""
     return (later - earlier) / F.lit(1e6)

@@ -1,28 +1,143 @@
-"""Operation logs as text: one record per line, `timestamp|TAG |field|field...`."""
+"""Operation logs: as text, one record per line, `timestamp|TAG |field|field...`, or binary; read, sorted out and written."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.time import micros
+from chronofold.functions.time import micros, moment
+from chronofold.sources import binary
+from chronofold.sources.records import KNOWN, LATEST, OLDEST, grammars, upgraded, with_version
 
 
 class UnknownTag(ValueError):
     """A record has a tag that the reader doesn't know."""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(replay_id, op_seq, line) of all logs below `path`; op_seq grows in the order of each file.
+def read_lines(spark: SparkSession, path: str, logs: list[str] | None = None) -> DataFrame:
+    """(replay_id, op_seq, line) of all logs below the folder `path`, or of `logs` there; op_seq grows in the order of each file.
 
-    A log is one file, of any size. It is read in splits: a line's number is that of its split, by which megabyte
-    it begins in, and its own in the task that reads it. Splits below a megabyte, which no default gives, would not do.
+    replay_id is the log's path below the folder. A log is one file, of any size. It is read in splits: a line's number is that
+    of its split, by which megabyte it begins in, and its own in the task that reads it. Splits below a megabyte, which no
+    default gives, would not do.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
+    if logs == []:
+        return spark.createDataFrame([], "replay_id string, op_seq long, line string")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path if logs is None else logs)
     split = F.shiftright(F.col("_metadata.file_block_start"), 20)
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     seq = F.shiftleft(split, 33).bitwiseOR(own)
-    return text.select(F.col("_metadata.file_name").alias("replay_id"), seq.alias("op_seq"), F.rtrim("value", F.lit("\r")).alias("line"))
+    return text.select(_below(spark, path).alias("replay_id"), seq.alias("op_seq"), F.rtrim("value", F.lit("\r")).alias("line"))
+
+
+def _below(spark: SparkSession, path: str) -> Column:
+    """The path of a row's file below the folder; its name, where `path` is the file."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(root) and files.getFileStatus(root).isFile():
+        return F.col("_metadata.file_name")
+    folder = root.toUri().getPath().rstrip("/") + "/"
+    # File names come as parts of a URI.
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.substr(whole, F.locate(folder, whole) + len(folder))
+
+
+def text_logs(spark: SparkSession, path: str) -> list[str]:
+    """The logs below a folder that are text: those that begin with the name of no other form. Their names go to the driver."""
+
+    def text_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not binary.is_binary(u) for u in b.column("uri").to_pylist()], pa.bool_()))
+
+    found = [(uri,) for uri, _, _ in binary.log_files(path)]
+    if not found:
+        return []
+    return [r["uri"] for r in spark.createDataFrame(found, "uri string").repartition(min(len(found), 200)).mapInArrow(text_only, "uri string").collect()]
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(replay_id, op_seq, ts_us, version, tag, fields, error) of all logs below a folder, text and binary, each known by how it begins.
+
+    A row with an error has no tag: its log, a binary one, can't be read on from there.
+    """
+    binary.register(spark)
+    lines = with_version(parse(read_lines(spark, path, text_logs(spark, path))))
+    told = lines.select("replay_id", "op_seq", "ts_us", "version", "tag", "fields", F.lit(None).cast("string").alias("error"))
+    return told.unionByName(spark.read.format("binary_log").load(path))
+
+
+def sorted_out(records: DataFrame, whole_logs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): records that can be used, and the others with their `problem`.
+
+    A problem is an error of the reader, a log without a version or of one that is too old, an unknown tag, a time or fields that can't be
+    read, or an entity that is made while it is there. It condemns its whole log, or its record alone; other logs
+    are not touched. Records that are condemned with their log have no problem of their own.
+    """
+    spark = records.sparkSession
+    known = records if "version" in records.columns else with_version(records)
+    if "error" not in known.columns:
+        known = known.withColumn("error", F.lit(None).cast("string"))
+    table = F.broadcast(spark.createDataFrame(grammars(), "g_tag string, g_first int, g_last int, g_expression string"))
+    of = F.least("version", F.lit(LATEST)).between(F.col("g_first"), F.col("g_last")) & (F.col("tag") == F.col("g_tag"))
+    checked = known.join(table, of, "left")
+    entity = F.lower(F.split_part(F.get("fields", F.lit(0)), F.lit("/"), F.lit(1)))
+    lives = known.where("tag in ('ACT+', 'ACT-')").withColumn("_entity", F.ltrim(entity, F.lit("0")))
+    before = F.lag("tag").over(Window.partitionBy("replay_id", "_entity").orderBy("op_seq"))
+    twice = lives.withColumn("_before", before).where("tag = 'ACT+' and _before = 'ACT+'").select("replay_id", "op_seq", F.lit(True).alias("_twice"))
+    problem = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("version").isNull(), "no version")
+        .when(F.col("version") < OLDEST, "version is too old")
+        .when(~F.coalesce(F.col("tag").isin(*KNOWN), F.lit(False)), "unknown tag")
+        .when(F.col("ts_us").isNull(), "no time")
+        .when(~F.coalesce(F.regexp_like(F.array_join("fields", "|", ""), F.col("g_expression")), F.lit(False)), "fields are not as they should be")
+        .when(F.col("_twice"), "made while it is there")
+    )
+    told = checked.join(twice, ["replay_id", "op_seq"], "left").withColumn("problem", problem).drop("g_tag", "g_first", "g_last", "g_expression", "_twice")
+    good = F.col("problem").isNull()
+    if whole_logs:
+        broken = told.where(~good).select("replay_id").distinct()
+        return told.join(broken, "replay_id", "left_anti").drop("problem", "error"), told.join(broken, "replay_id", "left_semi").drop("error")
+    return told.where(good).drop("problem", "error"), told.where(~good).drop("error")
+
+
+def frames(records: DataFrame) -> DataFrame:
+    """(replay_id, op_seq, ts_us): where frames begin. Logs below version 5 have no frames of their own: one begins wherever time goes on."""
+    own = records.where("tag = 'FRAM'").select("replay_id", "op_seq", "ts_us")
+    log = Window.partitionBy("replay_id").orderBy("op_seq").rowsBetween(Window.unboundedPreceding, -1)
+    old = records.where("version < 5 and tag <> 'VER '").withColumn("_before", F.max("ts_us").over(log))
+    new = old.where("tag <> 'FRAM' and (_before is null or ts_us > _before)")
+    return own.unionByName(new.select("replay_id", "op_seq", "ts_us"))
+
+
+def write_logs(records: DataFrame, path: str, form: str = "binary") -> None:
+    """Write each log to a file of its own below the folder `path`, in the latest version; form is binary or text.
+
+    replay_id is the file's path there. A log is sorted and written by one task. Binary logs keep the time of frames alone.
+    """
+    binary.register(records.sparkSession)
+    now = upgraded(records if "version" in records.columns else with_version(records))
+    fields = F.when(F.col("tag") == "VER ", F.concat(F.array(F.lit(str(LATEST))), F.slice("fields", 2, 2))).otherwise(F.col("fields"))
+    told = now.select("replay_id", "op_seq", "ts_us", "tag", fields.alias("fields"))
+    told = told.withColumn("line", line(F.col("ts_us"), F.col("tag"), F.col("fields")) if form == "text" else F.lit(None).cast("string"))
+    dealt = told.repartition("replay_id").sortWithinPartitions("replay_id", "op_seq")
+    dealt.write.format("binary_log").option("form", form).mode("append").save(path)
+
+
+def convert(spark: SparkSession, source: str, target: str, form: str) -> DataFrame:
+    """Write the logs below `source` that can be read below `target`, in another form; the records of the others, with their problems."""
+    good, bad = sorted_out(read_records(spark, source))
+    write_logs(good, target, form)
+    return bad
+
+
+def line(ts_us: Column, tag: Column, fields: Column) -> Column:
+    """A record as text; a seventh fractional digit is written as 0."""
+    stamp = F.concat(F.date_format(moment(ts_us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+    return F.concat_ws("|", stamp, tag, fields)
 
 
 def parse(lines: DataFrame, line: str = "line", known: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
