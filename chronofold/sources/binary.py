@@ -14,6 +14,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -36,6 +37,15 @@ _KIND_OF = {v: k for k, v in ACTION_KINDS.items()}
 _ZERO_IF_CUT = {"f32", "f64", "i32", "u32", "x32", "u64", "x64"}
 
 
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path, and the path there; names may hold any character, as Hadoop's may."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if path.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), path
+    return pyarrow.fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
 class Broken(ValueError):
     """The log can't be read on."""
 
@@ -272,7 +282,7 @@ class Encoder:
 
 def records_of(uri: str, name: str, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The records of one log. Where it can't be read on, the last row has an `error` and no tag."""
-    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    files, path = _store(uri)
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
@@ -295,7 +305,7 @@ def records_of(uri: str, name: str, rows: int = 4096) -> Iterator[pa.RecordBatch
 
 def log_files(path: str) -> list[tuple[str, str, int]]:
     """(URI, name below the folder, bytes) of all logs below a folder, or of one file."""
-    files, root = pyarrow.fs.FileSystem.from_uri(path)
+    files, root = _store(path)
     scheme = path[: path.index("://") + 3] if "://" in path else "file://" if path.startswith("/") else path.partition(":")[0] + "://"
     info = files.get_file_info(root)
     if info.type == pyarrow.fs.FileType.File:
@@ -306,7 +316,7 @@ def log_files(path: str) -> list[tuple[str, str, int]]:
 
 
 def is_binary(uri: str) -> bool:
-    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    files, path = _store(uri)
     with files.open_input_stream(path, buffer_size=0) as stream:
         return stream.read(4) in (RAW, COMPRESSED)
 
@@ -351,7 +361,7 @@ class LogWriter(DataSourceArrowWriter):
         self._path, self._binary, self._job = path.rstrip("/"), binary, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        files, root = pyarrow.fs.FileSystem.from_uri(self._path)
+        files, root = _store(self._path)
         logs: list[tuple[str, str]] = []
         name, out, encoder = None, None, Encoder()
         for b in batches:
@@ -372,14 +382,14 @@ class LogWriter(DataSourceArrowWriter):
         return _Written(logs)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        files, root = pyarrow.fs.FileSystem.from_uri(self._path)
+        files, root = _store(self._path)
         for place, final in (x for m in messages if m for x in m.logs):
             files.create_dir(posixpath.dirname(final), recursive=True)
             files.move(place, final)
         self._clear(files, root)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._clear(*pyarrow.fs.FileSystem.from_uri(self._path))
+        self._clear(*_store(self._path))
 
     def _clear(self, files, root: str) -> None:
         staged = f"{root}/_staged-{self._job}"

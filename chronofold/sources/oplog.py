@@ -127,6 +127,15 @@ def write_logs(records: DataFrame, path: str, form: str = "binary") -> None:
     dealt.write.format("binary_log").option("form", form).mode("append").save(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write (replay_id, op_seq, line) as text, each log to a file of its own below the folder `path`."""
+    binary.register(lines.sparkSession)
+    none = {"ts_us": "long", "tag": "string", "fields": "array<string>"}
+    told = lines.select("replay_id", "op_seq", "line").withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    dealt = told.repartition("replay_id").sortWithinPartitions("replay_id", "op_seq")
+    dealt.write.format("binary_log").option("form", "text").mode("append").save(path)
+
+
 def convert(spark: SparkSession, source: str, target: str, form: str) -> DataFrame:
     """Write the logs below `source` that can be read below `target`, in another form; the records of the others, with their problems."""
     good, bad = sorted_out(read_records(spark, source))
