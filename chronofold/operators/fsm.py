@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -89,23 +89,32 @@ def allowed_arcs(forbidden: DataFrame, by: str, lo: str, hi: str, cushion: str)
 
 
 def next_allowed(directions: DataFrame, forbidden: DataFrame, by: str, angle: str, lo: str, hi: str) -> DataFrame:
-    """`directions` with the bounds of the allowed arc that holds each, or else of the next one with growing angles (ccw)
-    and with falling ones (cw). Where the circle's end lies in a forbidden arc, the next arc is beyond it."""
-    from chronofold.operators.temporal import as_of
-
-    bounds = lambda a, b: F.struct(a.alias(lo), b.alias(hi))
-    l, h, before, after = F.col(lo), F.col(hi), F.col("_before"), F.col("_after")
-    g = _gaps(forbidden, by, lo, hi)
-    ends = g.groupBy(by).agg(F.min_by(F.struct(lo, hi, "_before", "_after"), "_place").alias("_first"), F.max_by(F.struct(lo, hi, "_before"), "_place").alias("_last"), F.max("_of").alias("_arcs"))
-    known = g.select(by, l.alias(angle), F.struct(lo, hi, "_before", "_after", "_place", "_of").alias("_at"))
-    found = as_of(directions, known, [by], angle, ["_at"]).join(ends, by)
-    at, first, last, many = F.col("_at"), F.col("_first"), F.col("_last"), F.col("_arcs") > 1
-    inside = at.isNotNull() & (F.col(angle) <= at[hi])
-    free = F.when(at.isNull(), bounds(first["_before"], first[lo])).otherwise(bounds(at[hi], at["_after"]))
-    wraps = lambda place: many & (at["_place"] == place)
-    ccw = F.when(inside & wraps(at["_of"]) & (at[hi] >= at["_after"]), bounds(first[hi], first["_after"])).otherwise(free)
-    cw = F.when(inside & wraps(F.lit(1)) & (at["_before"] >= at[lo]), bounds(last["_before"], last[lo])).when(inside, bounds(at["_before"], at[lo])).otherwise(free)
-    return found.select(*directions.columns, ccw.alias("ccw"), cw.alias("cw"))
+    """`directions`, from -pi to pi, with the bounds of the allowed arc that holds each, or else of the next one with growing angles
+    (ccw) and with falling ones (cw).
+
+    The circle is unrolled three times, so that arcs across its end are whole and every direction has neighbours on both
+    sides; an arc that is found a turn away is named where it meets the circle. Where nothing is forbidden the whole circle is allowed, where
+    all is, none.
+    """
+    from chronofold.operators.temporal import as_of, interval_union
+
+    pi, turn = F.lit(math.pi), F.lit(2 * math.pi)
+    turns = F.explode(F.array(*(F.lit(float(i)) for i in (-1, 0, 1)))).alias("_turn")
+    unrolled = forbidden.select(by, lo, hi, turns).select(by, (F.col(lo) + F.col("_turn") * turn).alias(lo), (F.col(hi) + F.col("_turn") * turn).alias(hi))
+    line = Window.partitionBy(by).orderBy(lo)
+    arcs = interval_union(unrolled, [by], lo, hi).select(by, F.col(lo).alias(angle), F.struct(F.col(hi).alias("end"), F.lag(hi).over(line).alias("before"), F.col(lo).alias("start"), F.lead(lo).over(line).alias("after")).alias("_arc"))
+    found = as_of(directions, arcs, [by], angle, ["_arc"])
+    arc = F.col("_arc")
+    inside = F.col(angle) <= arc["end"]
+
+    def gap(a: Column, b: Column) -> Column:
+        shift = F.when(a >= pi, -turn).when(b <= -pi, turn).otherwise(F.lit(0.0))
+        free = F.when(a.isNotNull() & b.isNotNull(), F.struct((a + shift).alias(lo), (b + shift).alias(hi)))
+        return F.when(arc.isNull(), F.struct((-pi).alias(lo), pi.alias(hi))).otherwise(free)
+
+    ahead = gap(arc["end"], arc["after"])
+    behind = F.when(inside, gap(arc["before"], arc["start"])).otherwise(ahead)
+    return found.select(*directions.columns, ahead.alias("ccw"), behind.alias("cw"))
 
 
 def moving_average(rows: Iterator) -> Iterator[Row]:
@@ -264,26 +273,29 @@ def run_machine(rows: Iterator) -> Iterator[Row]:
             state, since = following, r.us
 
 
-def pick_in_time(rows: Iterator, at_once: float = 0.05) -> Iterator[Row]:
-    """The entry of a queue to start next, with the time at which it has to; rows come by falling priority, then by expiry.
+def nested(rows: Iterator) -> Iterator[Row]:
+    """(entry, place, wait, ready) of the rows that are over by the bound, which each of them that waits brings forward to its own start."""
+    bound = math.inf
+    for place, r in enumerate(rows):
+        if r.delay + r.duration <= bound:
+            yield r.entry, place, r.delay, r.usable
+            bound = min(bound, r.delay if r.waits else math.inf)
+
 
-    An entry that can start at once and may is taken. One that can start only later is kept as the best so far, and
-    what follows it has to be over by its start. The last one kept is taken if it may start then. Entries of negative
-    priority are never taken, nor those whose cast is longer than what is allowed.
+def pick_in_time(entries: DataFrame, queue: str, order: list[str], at_once: float = 0.05) -> DataFrame:
+    """(queue, entry, start_s): what each queue starts next, and in how many seconds.
+
+    entries: `entry`, `priority`, `delay` until it can start, `duration`, `cast` and the `longest` allowed, and whether it is `usable`, in the given
+    order of preference. Negative priorities and casts that are too long don't count. Whatever waits sets a bound to what is
+    less preferred. Of the rest the first usable one that can start at once is taken; if there is none, the last one that waits, if it is usable.
     """
-    best, deadline = None, math.inf
-    for r in rows:
-        if r.priority < 0:
-            break
-        if r.cast > r.longest or r.delay + r.duration > deadline:
-            continue
-        if r.delay > at_once:
-            best, deadline = r, r.delay
-        elif r.usable:
-            best = r
-            break
-    if best is not None and best.usable:
-        yield best.entry, max(0.0, best.delay)
+    counted = entries.where("priority >= 0 and cast <= longest").withColumn("waits", F.col("delay") > at_once)
+    types = {c: entries.schema[c].dataType.simpleString() for c in (queue, "entry")}
+    fit = fold(counted, [queue], order, nested, f"{queue} {types[queue]}, entry {types['entry']}, place long, wait double, ready boolean")
+    now, row = F.col("wait") <= at_once, F.struct("entry", "wait", "ready")
+    best = fit.groupBy(queue).agg(F.min_by(F.when(now & F.col("ready"), row), F.when(now & F.col("ready"), F.col("place"))).alias("first"), F.max_by(F.when(~now, row), F.when(~now, F.col("place"))).alias("last"))
+    chosen = best.select(queue, F.coalesce("first", "last").alias("best")).where("best.ready")
+    return chosen.select(queue, "best.entry", F.greatest(F.lit(0.0), F.col("best.wait")).alias("start_s"))
 
 
 def sessions(rows: Iterator) -> Iterator[Row]:

@@ -289,7 +289,7 @@ def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("queue"), F.col("l_partkey").alias("entry"), (F.col("l_quantity") - 5).alias("priority"), (-F.col("l_quantity")).alias("behind"), micros("l_shipdate").alias("expire"),
         "l_suppkey", F.col("l_discount").alias("delay"), F.col("l_tax").alias("duration"), F.col("l_extendedprice").alias("cast"), F.lit(60000.0).alias("longest"), (F.col("l_returnflag") != "R").alias("usable"),
     )
-    return fsm.fold(entries, ["queue"], ["behind", "expire", "entry", "l_suppkey"], fsm.pick_in_time, "queue long, entry long, start_s double")
+    return fsm.pick_in_time(entries, "queue", ["behind", "expire", "entry", "l_suppkey"])
 
 
 @query("request_audit", fold_sql.AUDIT)

@@ -117,17 +117,24 @@ def test_folds():
     assert {(x, z) for _, x, z in fsm.thinned_hull(iter(square))} == {(0, 0), (0, 2), (2, 0), (2, 2)}
 
 
-def test_pick_in_time():
-    """What is kept for later sets a deadline; what can start at once and fits is taken; conditions count last for what waits."""
-    entry = lambda i, p, delay, duration=0.0, usable=True, cast=0.0: R(entry=i, priority=p, delay=delay, duration=duration, usable=usable, cast=cast, longest=2.0)
-    pick = lambda *rows: list(fsm.pick_in_time(iter(rows)))
-    assert pick(entry(1, 9, 0.0), entry(2, 8, 0.0)) == [(1, 0.0)]
-    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.0, 0.6)) == [(2, 0.0)]
-    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.0, 1.1)) == [(1, 1.0)]
-    assert pick(entry(1, 9, 1.0), entry(2, 8, 0.5, 0.4), entry(3, 7, 0.0, 0.6)) == [(2, 0.5)]
-    assert pick(entry(1, 9, 1.0, usable=False), entry(2, 8, 0.0, 2.0)) == []
-    assert pick(entry(1, 9, 0.0, usable=False), entry(2, 8, 0.0, cast=3.0), entry(3, 7, 0.0)) == [(3, 0.0)]
-    assert pick(entry(1, -1, 0.0)) == pick() == []
+def test_pick_in_time(spark):
+    """What is kept for later sets a bound; what can start at once and fits is taken; conditions count last for what waits."""
+    entry = lambda i, p, delay, duration=0.0, usable=True, cast=0.0: (i, float(p), delay, duration, usable, cast, 2.0)
+    cases = [
+        ([entry(1, 9, 0.0), entry(2, 8, 0.0)], (1, 0.0)),
+        ([entry(1, 9, 1.0), entry(2, 8, 0.0, 0.6)], (2, 0.0)),
+        ([entry(1, 9, 1.0), entry(2, 8, 0.0, 1.1)], (1, 1.0)),
+        ([entry(1, 9, 1.0), entry(2, 8, 0.5, 0.4), entry(3, 7, 0.0, 0.6)], (2, 0.5)),
+        ([entry(1, 9, 1.0, usable=False), entry(2, 8, 0.0, 2.0)], None),
+        ([entry(1, 9, 0.0, usable=False), entry(2, 8, 0.0, cast=3.0), entry(3, 7, 0.0)], (3, 0.0)),
+        ([entry(1, 9, 1.0), entry(2, 8, 0.5, 0.9), entry(3, 7, 0.0, 0.8)], (3, 0.0)),
+        ([entry(1, 9, 2.0), entry(2, 8, 1.0, 0.5, usable=False)], None),
+        ([entry(1, -1, 0.0)], None),
+    ]
+    rows = [(q, -e[1], *e) for q, (entries, _) in enumerate(cases) for e in entries]
+    df = spark.createDataFrame(rows, "queue long, behind double, entry long, priority double, delay double, duration double, usable boolean, cast double, longest double")
+    got = {r.queue: (r.entry, r.start_s) for r in fsm.pick_in_time(df, "queue", ["behind"]).collect()}
+    assert got == {q: want for q, (_, want) in enumerate(cases) if want}
 
 
 def test_folds_without_windows():
@@ -220,6 +227,8 @@ def test_arcs_allowed_and_next(spark):
     got = {r.id: [round(x, 6) for x in (*r.ccw, *r.cw)] for r in fsm.next_allowed(spark.createDataFrame([(i, *a) for i, a in asked.items()], "id long, label long, angle double"), forbidden.drop("cushion"), "label", "angle", "lo", "hi").collect()}
     left, right = [round(1 - 2 * pi, 6), -1.0], [1.0, round(2 * pi - 1, 6)]
     assert got == {0: [-3.0, -1.0] * 2, 1: [0.0, 0.05, -3.0, -1.0], 2: [-3.0, -1.0, 0.5, 3.0], 3: [-3.0, -1.0, 0.5, 3.0], 4: right + left, 5: left * 2, 6: right * 2}
+    free = fsm.next_allowed(spark.createDataFrame([(9, 3, 0.5), (8, 4, 0.5)], "id long, label long, angle double"), spark.createDataFrame([(4, -pi, pi)], "label long, lo double, hi double"), "label", "angle", "lo", "hi")
+    assert {r.id: (r.ccw and tuple(r.ccw), r.cw and tuple(r.cw)) for r in free.collect()} == {9: ((-pi, pi), (-pi, pi)), 8: (None, None)}
     rows = queries()["arc_allowed"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
     n = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet").count()
     assert {k: sum(r.kind == k for r in rows) for k in ("next_ccw", "next_cw")} == {"next_ccw": n, "next_cw": n}
