@@ -146,3 +146,49 @@ def covering(points: DataFrame, intervals: DataFrame, key: str, ts: str, start:
     p = points.select(key, F.col(ts).alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level"))
     p = p.select(key, "_level", F.call_function("shiftright", F.col("_t"), level).alias("_piece"))
     return p.join(held, ["_level", "_piece"]).groupBy(key).agg(F.sum("_n").alias("n"), F.min("_v").alias("lowest"))
+
+
+def fifo_match(rows: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, values: Sequence[str], name: str) -> DataFrame:
+    """The opening rows, each with `values` of the row that closes it as the struct `name`, NULL where none does.
+
+    Within a key, each other row closes the first open one; where none is open it closes nothing. Openings and closings that count are numbered
+    alike, so the numbers are joined: a closing that meets nothing open is one that takes the balance of both to a new low.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.withColumn("_open", opens).withColumn("_balance", F.sum(F.when(F.col("_open"), 1).otherwise(-1)).over(w))
+    low = F.greatest(-F.min("_balance").over(w), F.lit(0))
+    told = marked.withColumn("_idle", low).withColumn("_opened", F.count_if("_open").over(w)).withColumn("_closed", F.count_if(~F.col("_open")).over(w) - F.col("_idle"))
+    # A closing that counts has a number of its own; an idle one shares the number of the last that counted, and comes after it.
+    closing = told.where(~F.col("_open")).groupBy(*by, F.col("_closed").alias("_opened")).agg(F.min_by(F.struct(*values), F.struct(*order)).alias(name)).where("_opened > 0")
+    return told.where("_open").drop("_open", "_balance", "_idle", "_closed").join(closing, [*by, "_opened"], "left").drop("_opened")
+
+
+def snapshots(changes: DataFrame, by: Sequence[str], ts: str, seq: str, values: Sequence[str], every: int, until: int, closed: Column | None = None) -> DataFrame:
+    """(by, snapshot, values): the state of each key at the moments 0, every, 2 * every ... up to `until`, as far as it has one.
+
+    changes: one row for each new state of a key; where `closed` is true the key has none from there on. The last state within a period
+    is an aggregation; it is dealt to the snapshots up to the next period that has one, so a snapshot is as large as the state is.
+    """
+    period = F.call_function("div", F.col(ts) + F.lit(every - 1), F.lit(every))
+    shut = F.lit(False) if closed is None else closed
+    last = changes.withColumn("_shut", shut).groupBy(*by, period.alias("_p")).agg(F.max_by(F.struct("_shut", *values), F.struct(ts, seq)).alias("_v"))
+    after = F.coalesce(F.lead("_p").over(Window.partitionBy(*by).orderBy("_p")), F.lit(until // every + 1)) - 1
+    spread = last.withColumn("_to", F.least(after, F.lit(until // every))).where(~F.col("_v._shut") & (F.col("_p") <= F.col("_to")))
+    return spread.select(*by, F.explode(F.sequence("_p", "_to")).alias("snapshot"), *(F.col("_v")[v].alias(v) for v in values))
+
+
+def states_at(moments: DataFrame, moment: str, held: DataFrame, changes: DataFrame, by: Sequence[str], ts: str, seq: str, values: Sequence[str], every: int, closed: Column | None = None) -> DataFrame:
+    """(moment, by, values): the state of all keys at each of many moments: that of the last snapshot, and the changes since.
+
+    `held` are the `snapshots` of `changes`, kept as a table. A moment reads one snapshot and less than one period of changes,
+    found by the period's number, not the whole log. The latest state by key is an aggregation over both.
+    """
+    shut = F.lit(False) if closed is None else closed
+    asked = moments.select(F.col(moment).alias("_at"), F.call_function("div", F.col(moment), F.lit(every)).alias("_p"))
+    none = F.lit(None).cast("long")
+    base = asked.join(held.withColumnRenamed("snapshot", "_p"), "_p").select("_at", *by, F.lit(False).alias("_shut"), F.struct(none.alias("t"), none.alias("s")).alias("_order"), *values)
+    tail = changes.withColumn("_shut", shut).withColumn("_p", F.call_function("div", F.col(ts), F.lit(every)))
+    # What changes at the very moment of a snapshot is in it already; to take it again does no harm.
+    since = asked.join(tail, "_p").where(F.col(ts) <= F.col("_at")).select("_at", *by, "_shut", F.struct(F.col(ts).cast("long").alias("t"), F.col(seq).cast("long").alias("s")).alias("_order"), *values)
+    best = base.unionByName(since).groupBy("_at", *by).agg(F.max_by(F.struct("_shut", *values), "_order").alias("_v"))
+    return best.where(~F.col("_v._shut")).select(F.col("_at").alias(moment), *by, *(F.col("_v")[v].alias(v) for v in values))

@@ -116,3 +116,34 @@ def test_a_fold_keeps_order_and_keys_apart(spark):
     rows = spark.createDataFrame([(u, t, float(t * 30)) for u in range(20) for t in reversed(range(40))], "u int, event_id long, value double")
     got = fsm.fold(rows, ["u"], ["event_id"], fsm.changes_beyond, "u int, event_id long, value double").collect()
     assert sorted(got) == [(u, t, t * 30.0) for u in range(20) for t in range(40)]
+
+
+def test_tables_of_one_pass(spark, log, tmp_path):
+    """Each table is what the plain functions give, from one shuffle of the records."""
+    r = log([
+        (0, "ZONE|1|1"), (0, make(10, 1)), (1, "STA+|A|0|5|0|1|B"), (3, "STA+|A|0|5|0|1|B"), (4, "STA+|A|1|6|0|1|B"), (5, "CST+|A|Spell 1|B|0/0/0|0/9|False|0"), (5, "HP  |A|90|200"), (5, "HP  |A|80|200"), (6, "COM+|A"), (6, "NAME|A|other|0"), (7, "ACT-|A"),
+        (7, "DIRU|1|2|3|4|5|6"), (8, "STA+|C|0|5|0|1|B"), (8, make(10, 1)), (9, "ACT-|A"), (9, "ZONE|2|2"), (9, make(10, 1)), (9, "STA+|D|0|5|0|1|B"), (10, "STA-|D|0"), (11, "TETH|C|3|D"), (12, "TETH|C|0|0"), (12, "DIE+|A"), (13, "UMRK|end"),
+    ])
+    t = replay.Tables.write(r, str(tmp_path / "tables"))
+    ids = lambda df: df.withColumn("instance", F.col("instance").cast("int"))
+    assert at(t.read("status"), "instance", "slot", "start_us", "end_us") == at(replay.statuses(r), "instance", "slot", "start_us", "end_us")
+    assert at(t.read("cast"), "instance", "start_us", "end_us") == at(replay.casts(r), "instance", "start_us", "end_us")
+    assert at(t.read("tether"), "instance", "start_us", "end_us") == at(replay.tethers(r), "instance", "start_us", "end_us")
+    assert at(t.read("life"), "instance", "epoch", "start_us", "end_us") == at(replay.existence(r), "instance", "epoch", "start_us", "end_us") == [(10, 1, 0, 7), (10, 1, 8, 9), (10, 2, 9, 13)]
+    assert at(t.read("points").where("hp <> 100"), "start_us", "end_us", "hp") == [(5, 7, 80)]
+    assert at(t.read("name"), "epoch", "start_us", "end_us", "name") == [(1, 0, 6, "some name"), (1, 6, 7, "other"), (1, 8, 9, "some name"), (2, 9, 13, "some name")]
+    assert at(t.read("dead"), "instance", "start_us", "on") == [(10, 12, True)]
+    assert at(t.read("combat"), "start_us", "end_us") == [(6, 7)]
+    assert at(t.read("targetable"), "start_us", "end_us", "on") == [(0, 7, True), (8, 9, True), (9, 13, True)]
+    assert [int(x.update) for x in t.read("director").collect()] == [2] and t.read("zone").count() == 2 and ids(t.read("action")).count() == 0
+    plan = replay.build(r)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(replay_id#") <= 4
+
+
+def test_client_actions(log):
+    ask = lambda seq, lock="0.1", cast="0/0", what="Spell 1": f"CLAR|{what}|B|0/0/0|{seq}|{lock}|{cast}|0/0"
+    r = log([
+        (0, "PAR |0|1|A|False"), (1, ask(1)), (2, ask(2, "0.4")), (3, ask(3, "0.1", "0.5/2.5")), (4, "CLRJ|Spell 1|2|0/0|579"), (5, "CST!|A|Spell 1|B|0|8|0/0/0|7|1|0"), (5, "CST!|C|Spell 1|B|0|8|0/0/0|7|3|0"), (6, "CLRJ|Spell 1|0|0/0|579"), (7, "CLRJ|Spell 1|9|0/0|1"), (8, ask(4, what="Item 5")),
+    ])
+    got = {x.sequence: tuple(None if v is None else v / 1e6 - T0 for v in (x.requested_us, x.rejected_us, x.action_us)) for x in replay.client_actions(r).collect()}
+    assert {k: tuple(None if v is None else round(v, 3) for v in x) for k, x in got.items()} == {1: (1, None, 5), 2: (1.9, 4, None), 3: (2.5, 6, None), 4: (8, None, None)}

@@ -233,3 +233,46 @@ def test_arcs_allowed_and_next(spark):
     n = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet").count()
     assert {k: sum(r.kind == k for r in rows) for k in ("next_ccw", "next_cw")} == {"next_ccw": n, "next_cw": n}
     assert all(r.lo < r.hi for r in rows) and {r.kind for r in rows} == {"forbidden", "allowed", "next_ccw", "next_cw"}
+
+
+def test_first_open_is_closed_first(spark):
+    import random
+
+    from chronofold.operators.temporal import fifo_match
+
+    rnd = random.Random(4)
+    rows = [(k, i, rnd.random() < 0.5) for k in range(30) for i in range(rnd.randint(0, 40))]
+    want = {}
+    for k in range(30):
+        queue = []
+        for _, i, opens in (r for r in rows if r[0] == k):
+            if opens:
+                want[k, i] = None
+                queue.append(i)
+            elif queue:
+                want[k, queue.pop(0)] = i
+    df = spark.createDataFrame(rows, "k int, i int, o boolean")
+    got = {(r.k, r.i): r.by and r.by.i for r in fifo_match(df, ["k"], ["i"], F.col("o"), ["i"], "by").collect()}
+    assert got == want
+
+
+def test_states_at_many_moments(spark):
+    """Snapshots and the changes since give what all changes up to the moment give."""
+    import random
+
+    from chronofold.operators.temporal import snapshots, states_at
+
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(12), rnd.randrange(1000), i, rnd.randrange(100), rnd.random() < 0.2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t long, i long, v int, gone boolean")
+    asked = [0, 1, 99, 100, 101, 500, 777, 999, 1500]
+    want = set()
+    for m in asked:
+        for k in range(12):
+            last = max((r for r in rows if r[0] == k and r[1] <= m), key=lambda r: (r[1], r[2]), default=None)
+            if last and not last[4]:
+                want.add((m, k, last[3]))
+    for every in (1, 100, 10_000):
+        held = snapshots(df, ["k"], "t", "i", ["v"], every, 1600, F.col("gone"))
+        got = states_at(spark.createDataFrame([(m,) for m in asked], "m long"), "m", held, df, ["k"], "t", "i", ["v"], every, F.col("gone"))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want), every
