@@ -362,6 +362,67 @@ def test_mixing_rare_domain(shared):
     assert all(abs(a - b) <= 0.11 for a, b in reached)
 
 
+def _nnls(a, goal, scale, rounds=400_000):
+    """Nonnegative least squares of (a @ x - goal) / scale by plain projected gradient steps."""
+    import numpy as np
+
+    m, b = a / scale[:, None], goal / scale
+    x, step = np.ones(a.shape[1]), 1 / np.linalg.norm(m, 2) ** 2
+    for _ in range(rounds):
+        new = np.maximum(x - step * (m.T @ (m @ x - b)), 0)
+        if np.abs(new - x).max() < 1e-13:
+            break
+        x = new
+    return x
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.02, 0.05, 0.4])
+def test_mixing_of_soft_posteriors_meets_targets(shared, spread):
+    """Targets that rates can meet are met, however alike the posteriors are."""
+    import random
+    import warnings
+
+    rnd = random.Random(7)
+    rows = []
+    for i in range(60):
+        p = 0.5 + rnd.uniform(-spread, spread)
+        rows.append((i, rnd.randint(10, 300), [p, 1 - p]))
+    wanted = [rnd.uniform(0.2, 3.0) for _ in rows]
+    goal = [sum(t * p[k] * r for (_, t, p), r in zip(rows, wanted, strict=True)) for k in (0, 1)]
+    soft = shared.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rates = by_id(mixing.fit_rates(soft, targets=goal))
+    got = [sum(t * p[k] * rates[i]["rate"] for i, t, p in rows) for k in (0, 1)]
+    assert got == pytest.approx(goal, rel=2e-3) and min(r["rate"] for r in rates.values()) >= 0
+
+
+def test_mixing_two_documents(shared):
+    soft = shared.createDataFrame([(1, 100, [0.51, 0.49]), (2, 100, [0.49, 0.51])], "doc_id long, tokens long, posterior array<double>")
+    rates = by_id(mixing.fit_rates(soft, targets=[100.5, 99.5], tolerance=1e-5))
+    assert (rates[1]["rate"], rates[2]["rate"]) == (pytest.approx(1.25, abs=1e-3), pytest.approx(0.75, abs=1e-3))
+
+
+def test_mixing_out_of_reach_is_least_squares(shared):
+    """Where no rates meet the targets the totals are those of brute-force least squares, and that is told."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(10, 200), [p := rnd.uniform(0.55, 0.9), q := rnd.uniform(0.0, 0.1), 1 - p - q]) for i in range(40)]
+    soft = shared.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
+    a = np.array([[t * p[k] for _, t, p in rows] for k in range(3)])
+    goal = np.array([500.0, 3000.0, 900.0])
+    reached = []
+    with pytest.warns(UserWarning, match="no rates meet them"):
+        mixing.fit_rates(soft, targets=goal.tolist(), reached=reached).count()
+    scale = a.sum(axis=1)
+    best = a @ _nnls(a, goal, scale)
+    error = lambda x: float((((x - goal) / scale) ** 2).sum())
+    assert error(np.array([x for x, _ in reached])) <= error(best) * 1.001
+
+
 def test_pii_discovers_groups_and_written_out_addresses(docs):
     """Numbers with blanks and addresses with (at) are candidates; their parts are not listed besides."""
     known = [(i, f"text dialling +1 212 555 01{i:02d} please {i}") for i in range(20)] + [(100 + i, f"text writing a{i}@b{i}.org soon {i}") for i in range(20)]
