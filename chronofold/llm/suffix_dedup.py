@@ -15,8 +15,9 @@ Equal contexts are merged before they are shuffled, and a gram with many context
 on from there at once. Of a gram with more than ROWS contexts in all, the windows are dealt out by all
 digits at once; so no gram is gathered in one task, and no pairs of contexts are formed.
 
-Offsets are bytes of the UTF-8 form. Grams and contexts are told apart by 64 bits each, windows of very
-common grams by 128 bits, all others byte by byte.
+Offsets are bytes of the UTF-8 form. Equal grams only propose; contexts that are settled are told apart by 64 bits of sums
+over words with numbers drawn for the job, windows of very common grams by polynomials at drawn places modulo four primes (124 bits),
+all others byte by byte. So two that differ are taken for one with a probability of 2^-64, or (200 / 2^31)^4, whatever their bytes.
 
 Defined results: a null text is empty. Rows that share a key are one document: their repeats within
 one another don't count, and what is removed from one is from all. A null key counts as a key of its
@@ -25,6 +26,7 @@ own. Texts below `length` bytes stay whole. Empty tables give no rows; extra col
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -84,8 +86,58 @@ class _Hashes:
         m = len(self._sums) - n
         return _mix((self._sums[n:] - self._sums[:m]) * self._down[:m])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self._sums[end] - self._sums[start]) * self._down[start])
+
+#: Primes below 2^31: sums of products of two remainders fit into 64 bits.
+_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+
+
+class _Names:
+    """Names of 124 bits for stretches of bytes: polynomials by four primes, at places that are drawn for the job.
+
+    Two different stretches of n bytes share a name with a probability of (n / 2^31)^4 at most, whatever their bytes.
+    """
+
+    def __init__(self, raw: np.ndarray, seed: int):
+        bases = np.random.default_rng(seed).integers(1 << 20, min(_PRIMES), len(_PRIMES)).tolist()
+        self._sums, self._shift = [], []
+        for p, base in zip(_PRIMES, bases, strict=True):
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self._powers(base, p, len(raw)) % np.uint64(p), out=sums[1:])
+            self._sums.append(sums)
+            self._shift.append(self._powers(pow(base, -1, p), p, len(raw) + 1))
+
+    @staticmethod
+    def _powers(base: int, p: int, n: int) -> np.ndarray:
+        power = np.ones(1, dtype=np.uint64)
+        while len(power) < n:
+            power = np.concatenate([power, power * np.uint64(int(power[-1]) * base % p) % np.uint64(p)])
+        return power[:n]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers for each stretch, all of which are of one length."""
+        h = [(s[end] - s[start]) % np.uint64(p) * shift[start] % np.uint64(p) for p, s, shift in zip(_PRIMES, self._sums, self._shift, strict=True)]
+        return h[0] << np.uint64(32) | h[1], h[2] << np.uint64(32) | h[3]
+
+
+def context_names(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A name of 64 bits for what each gram sees and where in it the gram lies.
+
+    Two sums of 32-bit words, each word by a number drawn for its place: two that differ share a name with a probability of 2^-64, whatever
+    their bytes.
+    """
+    width = -(-(2 * length - GRAM + 8) // 4)
+    keys = np.random.default_rng(seed).integers(0, _MASK, (2, width + 1), dtype=np.uint64, endpoint=True)
+    padded = np.concatenate([raw, np.zeros(4 * width, dtype=np.uint8)])
+    seen = np.lib.stride_tricks.sliding_window_view(padded, 4 * (width - 2))
+    out = np.empty(len(lo), dtype=np.uint64)
+    column = np.arange(4 * (width - 2))
+    for s in range(0, len(lo), 1 << 12):
+        a, b = lo[s : s + (1 << 12)], hi[s : s + (1 << 12)]
+        body = np.where(column < (b - a)[:, None], seen[a], np.uint8(0))
+        words = np.concatenate([np.ascontiguousarray(body).view("<u4"), (b - a).astype("<u4")[:, None], (at[s : s + (1 << 12)] - a).astype("<u4")[:, None]], axis=1).astype(np.uint64)
+        high = [((words * k[1:]).sum(axis=1, dtype=np.uint64) + k[0]) >> np.uint64(32) for k in keys]
+        out[s : s + (1 << 12)] = high[0] << np.uint64(32) | high[1]
+    return out
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -97,11 +149,10 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, _Hashes]:
+def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, gram hash) of grams such that each window holds one of those with the least hash in it."""
-    hashes = _Hashes(raw)
     span = length - GRAM + 1
-    h = hashes.all(GRAM)
+    h = _Hashes(raw).all(GRAM)
     least = _slide(h, span, np.minimum)
     # A gram is chosen if it is the least of some window that holds it; windows end at the text's edges.
     edge = np.zeros(span - 1, dtype=np.uint64)
@@ -117,7 +168,7 @@ def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, _Hash
         first = ~joined | np.concatenate([[True], cell[1:] != cell[:-1]])
         last = np.concatenate([~joined[1:], [True]])
         at, g = at[first | last], g[first | last]
-    return at, g.view(np.int64), hashes
+    return at, g.view(np.int64)
 
 
 def _contexts(at: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +283,7 @@ def repeated(bodies: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.
     return list(zip(r[lo].tolist(), s[lo].tolist(), s[hi].tolist(), strict=True))
 
 
-def _flagged(docs: DataFrame, length: int) -> DataFrame:
+def _flagged(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """(doc, pos, gram, kind): settled grams and those that go on."""
     names = ["gram", "ctx", "doc", "pos", "kind"]
 
@@ -254,9 +305,9 @@ def _flagged(docs: DataFrame, length: int) -> DataFrame:
                 body = text.as_py() or b""
                 if len(body) < length:
                     continue
-                at, gram, hashes = anchors(np.frombuffer(body, dtype=np.uint8), length)
+                at, gram = anchors(np.frombuffer(body, dtype=np.uint8), length)
                 lo, hi = _contexts(at, len(body), length)
-                ctx = (hashes.of(lo, hi) ^ ((at - lo).astype(np.uint64) << np.uint64(48))).view(np.int64)
+                ctx = context_names(np.frombuffer(body, dtype=np.uint8), lo, hi, at, length, seed).view(np.int64)
                 held.append((np.full(len(at), key, dtype=np.int64), at, gram, ctx))
                 size += len(body)
                 if size >= CHUNK:
@@ -317,7 +368,7 @@ def _unpacked(body: bytes | None) -> bytes:
     return zlib.decompress(body) if body else b""
 
 
-def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
+def _compared(packed: DataFrame, need: DataFrame, length: int, seed: int) -> DataFrame:
     """(doc, lo, hi): stretches covered by repeated windows of the contexts that went on."""
     sizes = need.groupBy("gram").agg(F.count("*").alias("n"))
     told = join_on_hot(need, sizes, ["gram"], "n", need.count())
@@ -373,14 +424,14 @@ def _compared(packed: DataFrame, need: DataFrame, length: int) -> DataFrame:
             yield out(held)
 
     sorted_ = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "doc long, lo long, hi long")
-    return sorted_.unionByName(_dealt(contexts.where("many").select("doc", "start", "body"), length))
+    return sorted_.unionByName(_dealt(contexts.where("many").select("doc", "start", "body"), length, seed))
 
 
 def _stretches(doc: Sequence[int], lo: Sequence[int], hi: Sequence[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc", "lo", "hi"])
 
 
-def _dealt(contexts: DataFrame, length: int) -> DataFrame:
+def _dealt(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     """(doc, lo, hi): the repeated windows of contexts of very common grams.
 
     All digits of a window make one name of 128 bits, and names meet by ranges of their hash: the work is in proportion
@@ -401,9 +452,7 @@ def _dealt(contexts: DataFrame, length: int) -> DataFrame:
                     continue
                 inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = (np.cumsum(size) - size)[row] + inside
-                hashes = _Hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8))
-                a = hashes.of(at, at + length)
-                b = _mix(hashes.of(at, at + length // 2) * np.uint64(_B) + hashes.of(at + length // 2, at + length))
+                a, b = _Names(np.frombuffer(b"".join(bodies), dtype=np.uint8), seed).of(at, at + length)
                 doc, place = chunk.column("doc").to_numpy()[row], chunk.column("start").to_numpy()[row] + inside
                 order = np.lexsort((place, doc, b, a))
                 order = order[_runs(a[order], b[order], doc[order], place[order])]
@@ -414,7 +463,7 @@ def _dealt(contexts: DataFrame, length: int) -> DataFrame:
                 # A window found here already says so by a row without a place.
                 sent = np.concatenate([np.flatnonzero(~twice), new[count > 1]])
                 cols = np.stack([a[sent].view(np.int64), b[sent].view(np.int64), doc[sent], np.where(twice[sent], -1, place[sent])], axis=1)
-                part = (a[sent] % np.uint64(parts)).astype(np.int64)
+                part = (_mix(a[sent]) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cols, part = cols[order], part[order]
                 edge = np.append(_runs(part), len(part))
@@ -465,9 +514,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     The key is an integer.
     """
     slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), F.col(text).alias("text"))
-    flagged = _flagged(slim, length)
+    seed = secrets.randbits(62)  # drawn for the job, so that no text is made to collide
+    flagged = _flagged(slim, length, seed)
     packed = slim.mapInArrow(_packed, "doc long, body binary")
-    compared = _compared(packed, flagged.where(F.col("kind") == _NEED).select("doc", "pos", "gram"), length)
+    compared = _compared(packed, flagged.where(F.col("kind") == _NEED).select("doc", "pos", "gram"), length, seed)
     settled = flagged.where(F.col("kind") == _FULL).select("doc", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi"))
     spans = settled.unionByName(compared).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return packed.join(spans, "doc", "left")

@@ -362,6 +362,35 @@ def test_mixing_rare_domain(shared):
     assert all(abs(a - b) <= 0.11 for a, b in reached)
 
 
+def test_suffix_dedup_of_colliding_bytes(docs, monkeypatch):
+    """Stretches that a polynomial modulo 2^64 takes for one are two; so are texts of two letters in the order that defeats any such base."""
+    head, tail = "".join(chr(97 + i * i % 23) for i in range(150)), "".join(chr(97 + i * i * i % 19) for i in range(150))
+    pair = [head + middle + tail for middle in ("POONONPNNRQSPRNNNNNN", "NNNRNSNNPNNNNNTONROP")]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(512))
+    rows = [(1, pair[0]), (2, pair[1]), (3, thue), (4, thue.translate(str.maketrans("ab", "ba"))), (5, thue[100:400])]
+    for limit in (2000, 0):
+        monkeypatch.setattr(suffix_dedup, "ROWS", max(limit, 1))
+        got = by_id(suffix_dedup.remove_repeats(docs(rows)))
+        want = brute.repeated_bytes(rows)
+        assert {d: [(s["lo"], s["hi"]) for s in r["spans"]] for d, r in got.items()} == {d: runs for d, (_, runs) in want.items()}
+
+
+def test_names_of_stretches():
+    """Equal stretches have one name wherever they are; others don't, and another draw gives other names."""
+    import numpy as np
+
+    raw = np.frombuffer(b"abcabd" * 400 + bytes(range(256)) * 4, dtype=np.uint8)
+    start = np.arange(len(raw) - 200)
+    a, b = suffix_dedup._Names(raw, 5).of(start, start + 200)
+    seen = {}
+    for i, name in zip(start.tolist(), zip(a.tolist(), b.tolist(), strict=True), strict=True):
+        seen.setdefault(raw[i : i + 200].tobytes(), set()).add(name)
+    assert all(len(n) == 1 for n in seen.values()) and len({next(iter(n)) for n in seen.values()}) == len(seen)
+    later = suffix_dedup._Names(raw[300:], 5).of(start[:-300], start[:-300] + 200)
+    assert (later[0] == a[300:]).all() and (later[1] == b[300:]).all()
+    assert (suffix_dedup._Names(raw, 6).of(start, start + 200)[0] != a).all()
+
+
 def _nnls(a, goal, scale, rounds=400_000):
     """Nonnegative least squares of (a @ x - goal) / scale by plain projected gradient steps."""
     import numpy as np
