@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.time import moment
-from chronofold.plans.fixtures import E, ops
+from chronofold.operators import replay
+from chronofold.operators.temporal import snapshots, states_at
+from chronofold.plans.fixtures import E, log_bounds, ops
 from chronofold.plans.registry import query
 from chronofold.sources import oplog
 from chronofold.sources.records import typed
@@ -187,3 +189,45 @@ def log_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = oplog.sorted_out(told, whole_logs=False)
     both = good.select("replay_id", F.lit(None).cast("string").alias("problem")).unionByName(bad.select("replay_id", "problem"))
     return both.groupBy(_user().alias("user_id"), "problem").agg(F.count("*").alias("n"))
+
+
+@query(
+    "replay_tables",
+    f"""WITH {E}, w AS (SELECT *, max(us) OVER (PARTITION BY user_id) AS over, CASE WHEN event_type IN ('click', 'purchase') THEN event_id % 2 END AS slot,
+        min(CASE WHEN event_type = 'error' THEN us END) OVER (PARTITION BY user_id, k ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone,
+        least(1, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id, k ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)) AS epoch FROM e),
+    c AS (SELECT *, 'status' AS channel, event_type = 'click' AS opens FROM w WHERE event_type IN ('click', 'purchase') UNION ALL SELECT *, 'life', event_type = 'signup' FROM w WHERE event_type IN ('signup', 'error') UNION ALL SELECT *, 'points', TRUE FROM w WHERE event_type IN ('signup', 'view')),
+    n AS (SELECT *, lead(us) OVER (PARTITION BY user_id, k, channel, slot ORDER BY us, event_id) AS next FROM c)
+    SELECT user_id, channel, k AS instance, slot, epoch, event_id, us AS start_us, coalesce(least(next, gone), over) AS end_us FROM n WHERE opens AND (channel <> 'points' OR next IS NULL OR next > us)""",
+)
+def replay_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lives, statuses and points of the entities of each log: three of the tables that one pass over its records writes."""
+    own, slot = F.hex("k"), (F.col("event_id") % 2).cast("string")
+    parts = _either(
+        {"signup": ["ACT+", own, *_exact()["signup"][2:]], "error": ["ACT-", own], "click": ["STA+", own, slot, _number(F.col("k")), "001F", "1.000", own], "purchase": ["STA-", own, slot], "view": ["HP  ", own, _number(F.col("value")), "900", "0", "0", "10000"]}
+    )
+    e = ops(spark, sf_dir)
+    told = e.select(_log_name().alias("replay_id"), F.col("event_id").alias("op_seq"), F.col("us").alias("ts_us"), F.element_at(parts, 1).alias("tag"), F.slice(parts, 2, 99).alias("fields"))
+    tables = replay.Tables.write(told, f"{scratch(spark, 'replay')}/tables")
+    out = None
+    for channel in ("life", "status", "points"):
+        part = tables.rows(channel).select(_user().alias("user_id"), F.lit(channel).alias("channel"), F.col("instance").cast("long").alias("instance"), F.col("slot").cast("long").alias("slot"), "epoch", F.col("op_seq").alias("event_id"), "start_us", "end_us")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "states_many",
+    f"""WITH {E}, b AS (SELECT min(us) AS lo, max(us) AS hi FROM e), m AS (SELECT lo + (hi - lo) // 20 * i AS moment FROM b, (SELECT unnest(range(21)) AS i))
+    SELECT moment, user_id, event_type, value FROM m JOIN e ON us <= moment QUALIFY row_number() OVER (PARTITION BY moment, user_id, event_type ORDER BY us DESC, event_id DESC) = 1""",
+)
+def states_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at 21 moments, from eight snapshots and the changes since each."""
+    low, high = log_bounds(spark, sf_dir)
+    every = max((high - low) // 7, 1)
+    e = ops(spark, sf_dir).withColumn("t", F.col("us") - low)
+    path = f"{scratch(spark, 'states')}/snapshots"
+    snapshots(e, ["user_id", "event_type"], "t", "event_id", ["value"], every, high - low).write.partitionBy("snapshot").parquet(path)
+    moments = spark.range(21).select((F.lit((high - low) // 20) * F.col("id")).alias("moment"))
+    found = states_at(moments, "moment", spark.read.parquet(path).withColumn("snapshot", F.col("snapshot").cast("long")), e, ["user_id", "event_type"], "t", "event_id", ["value"], every)
+    return found.withColumn("moment", F.col("moment") + low)
