@@ -44,3 +44,40 @@ def test_pending(spark, tmp_path):
         elif any(x["us"] > r["us"] + ttl for x in later):
             want.add((r["user_id"], r["event_id"], r["us"], r["us"] + ttl, False))
     assert set(map(tuple, got)) == want
+
+
+def test_statuses_end_by_themselves(spark, tmp_path):
+    """However the log is cut into files the stream gives what the whole table gives; entities that fall silent are no exception."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from chronofold.streaming import entities
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(300):
+        t = 1_700_000_000_000_000 + i * 700_000 + rnd.randrange(300_000)
+        who = rnd.randrange(6)
+        if who == 5 and i > 40:
+            continue
+        tag = rnd.choices(["STA+", "STA-", "ACT-"], [6, 2, 1])[0]
+        rows.append((f"log{who % 2}", who, t, i, tag, None if tag == "ACT-" else rnd.randrange(3), rnd.randrange(50) if tag == "STA+" else None, float(rnd.choice([0.5, 3.25, 9.0, 60.0])) if tag == "STA+" else None))
+    schema = "replay_id string, instance long, ts_us long, op_seq long, tag string, slot int, status long, remaining_s double"
+    src = tmp_path / "ops"
+    end = max(r[2] for r in rows) + 200_000_000
+    # The last file only moves the clock on: another log's entity is heard of much later.
+    parts = [rows[:90], rows[90:180], rows[180:], [("clock", 99, end, 10**6, "ACT-", None, None, None)], [("clock", 99, end + 1, 10**6 + 1, "ACT-", None, None, None)]]
+    for p in parts:
+        spark.createDataFrame(p, schema).withColumn("ts", F.timestamp_micros("ts_us")).coalesce(1).write.mode("append").parquet(str(src))
+    entities.use_state_store(spark)
+    try:
+        stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        q = entities.statuses(stream).writeStream.format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = {tuple(r) for r in spark.table("statuses").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {tuple(r) for r in entities.statuses_of(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and {h for *_, h in want} == {"expired", "replaced", "removed", "destroyed"}
+    assert any(r[1] == 5 and r[6] == "expired" for r in got)
