@@ -38,8 +38,6 @@ _VENDOR = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 #: A name and the value assigned to it, in quotes (closed or not) or up to white space, a comma or a semicolon.
 _ASSIGNED = re.compile(r"""(?<![\w.\-])([\w.\-]++)["'\]]?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]++)|'([^'\n]++)|([^\s"',;]++))""")
 _TELLING = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|account|auth|encryption|private|signing)[_.\-]?key")
-#: Letters of the longest word that is looked up in a value.
-_LONGEST = 12
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = np.full(128, 3, dtype=np.int8)
 _KINDS[ord("a") : ord("z") + 1] = 0
@@ -92,8 +90,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 
 def dictionary(docs: DataFrame, text: str = "text", least_share: float = 1e-5, least: int = 3) -> set[str]:
-    """The words of 3 to `_LONGEST` letters that make up a share of at least `least_share` of them in all texts."""
-    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, _LONGEST))
+    """The words of at least 3 letters that make up a share of at least `least_share` of them in all texts."""
+    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 3)
     counts = written(words.groupBy("w").count(), "dictionary")
     total = counts.agg(F.sum("count")).first()[0] or 0
     return {r["w"] for r in counts.where(F.col("count") >= max(least, least_share * total)).select("w").collect()}
@@ -104,17 +102,14 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def _covered(value: str, words: set[str], longest: int = _LONGEST) -> float:
-    """Share of the characters that dictionary words cover, longest first from the left."""
+def _covered(value: str, words: set[str], lengths: list[int]) -> float:
+    """Share of the characters that dictionary words cover, longest first from the left; `lengths` are those of the words, falling."""
     low, i, hit = value.lower(), 0, 0
     while i < len(low):
-        for n in range(min(longest, len(low) - i), 2, -1):
-            if low[i : i + n] in words:
-                hit += n
-                i += n
-                break
-        else:
-            i += 1
+        left = len(low) - i
+        n = next((n for n in lengths if n <= left and low[i : i + n] in words), 0)
+        hit += n
+        i += n or 1
     return hit / len(value)
 
 
@@ -189,6 +184,7 @@ class Model:
 
     def features(self, rows: list[dict]) -> np.ndarray:
         out = np.zeros((len(rows), len(FEATURES)))
+        lengths = sorted({len(w) for w in self.words}, reverse=True)
         for i, r in enumerate(rows):
             v = r["value"]
             kind = _KINDS[np.frombuffer(v.encode("ascii", "replace"), dtype=np.uint8) & 127]
@@ -200,7 +196,7 @@ class Model:
             out[i] = (
                 n, (kind == 0).sum() / n, (kind == 1).sum() / n, (kind == 2).sum() / n, turn.sum() / n,
                 np.isin(pair, (2, 8)).sum() / n, np.isin(pair, (6, 9)).sum() / n, runs.max() / n, len(set(v)) / n, _entropy(v),
-                float(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) is not None), _covered(v, self.words), float(r["before"][-1:] in ("=", ":")), self.before(name), self.after(r["after"]), self.path(r["path"]),
+                float(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) is not None), _covered(v, self.words, lengths), float(r["before"][-1:] in ("=", ":")), self.before(name), self.after(r["after"]), self.path(r["path"]),
             )
         return out
 

@@ -300,6 +300,17 @@ def test_secrets(docs):
     assert set(secrets.fit_rows([], [], set()).score([r.asDict() for r in found.limit(2).collect()])) == {0.5}
 
 
+def test_words_of_any_length_cover_values(docs):
+    """Long compounds are words of the dictionary like others."""
+    compound = "donaudampfschifffahrtsgesellschaft"
+    words = secrets.dictionary(docs([(i, f"die {compound} und das haus") for i in range(5)]))
+    assert words == {compound, "die", "und", "das", "haus"}
+    lengths = sorted({len(w) for w in words}, reverse=True)
+    assert secrets._covered(f"{compound}-9999", words, lengths) == len(compound) / (len(compound) + 5)
+    assert secrets._covered("HausUndX", words, lengths) == 7 / 8
+    assert secrets._covered("zzzz", set(), []) == 0
+
+
 def test_langid_rejects_unlearned(docs):
     """Texts of a Latin-script language left out of training, and gibberish, are rejected at any radius but a loose one."""
     import random
