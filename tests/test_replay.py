@@ -147,3 +147,30 @@ def test_client_actions(log):
     ])
     got = {x.sequence: tuple(None if v is None else v / 1e6 - T0 for v in (x.requested_us, x.rejected_us, x.action_us)) for x in replay.client_actions(r).collect()}
     assert {k: tuple(None if v is None else round(v, 3) for v in x) for k, x in got.items()} == {1: (1, None, 5), 2: (1.9, 4, None), 3: (2.5, 6, None), 4: (8, None, None)}
+
+
+def test_cones(spark, log, tmp_path):
+    """A player ahead, one to the left, one who is dead and one who is gone; an action with a cast, one without, one upon its source."""
+    from chronofold.operators import live
+
+    def place(i, x, z, deg=0, kind="0104"):
+        return f"ACT+|{i:X}|{i:X}|3|0|name|7|{kind}|WAR|90|{x}/0/{z}|{deg}|0.500|100|200|0|50|60|10000|True|False|0|0|0"
+
+    r = log([
+        (0, place(1, 0, 0, 90, "0205")), (0, place(2, 10, 0)), (0, place(3, 0, 10)), (0, place(4, 5, 5)), (0, place(5, 1, 1)), (0, place(6, 1, 1, 0, "0700")), (1, "DIE+|4"), (2, "ACT-|5"), (3, "MOVE|3|0/0/20|0"),
+        (4, "CST!|1|Spell 1|3|0|8|0/0/0|7|0|0|2!1"), (5, "CST+|1|Spell 2|3|0/0/10|0/2|False|0"), (6, "CST!|1|Spell 2|3|0|8|0/0/0|8|0|0"), (7, "CST!|1|Spell 3|1|0|8|0/0/0|9|0|0|3!1"),
+    ])
+    t = replay.Tables.write(r, str(tmp_path / "tables"))
+    got = {}
+    seqs = [x.op_seq for x in r.where("tag = 'CST!'").orderBy("op_seq").collect()]
+    for x in live.cones(t).collect():
+        got[seqs.index(x.op_seq), int(x.player), x.mode] = (x.angle if x.angle is None else round(x.angle, 6) + 0.0, round(x.range, 6), x.hit)
+    assert {k[1] for k in got} == {2, 3} and len(got) == 18
+    # The source looks along x; the place is that of the main target at (0, 20).
+    assert got[0, 2, "source"] == (0.0, 10.0, True) and got[0, 3, "source"] == (-90.0, 20.0, False)
+    assert got[0, 2, "toward"] == (90.0, 10.0, True) and got[0, 3, "toward"] == (0.0, 20.0, False)
+    assert got[0, 3, "target"] == (None, 0.0, False) and got[0, 2, "target"][1] == round(500**0.5, 6)
+    # The cast was at (0, 10) looking along z, and that is source and place.
+    assert got[1, 3, "source"] == (0.0, 10.0, False) and got[1, 3, "target"] == (0.0, 10.0, False) and got[1, 3, "toward"] == (None, 10.0, False)
+    # Upon itself: towards its first target.
+    assert got[2, 3, "toward"] == (0.0, 20.0, True)
