@@ -215,7 +215,29 @@ def arc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.interval_union(s, ["label"], "lo", "hi").select("label", _r(F.col("lo"), "lo"), _r(F.col("hi"), "hi"))
 
 
-@query("arc_allowed")
+_ISLANDS = """{0}_m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY label ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {1}),
+    {0} AS (SELECT label, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY label ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM {0}_m) GROUP BY label, island)"""
+
+
+@query(
+    "arc_allowed",
+    f"""WITH {P}, c AS (SELECT label, atan2(x, z) AS t, 0.5 / count(*) OVER (PARTITION BY label) AS half FROM p), a AS (SELECT label, t - half AS lo, t + half AS hi FROM c),
+    s AS (SELECT label, greatest(lo, -pi()) AS lo, least(hi, pi()) AS hi FROM a UNION ALL SELECT label, lo + 2 * pi(), pi() FROM a WHERE lo < -pi() UNION ALL SELECT label, -pi(), hi - 2 * pi() FROM a WHERE hi > pi()),
+    {_ISLANDS.format("f", "s")},
+    g AS (SELECT f.*, cushion, row_number() OVER w AS place, count(*) OVER (PARTITION BY f.label) AS many, coalesce(lag(hi) OVER w, max(hi) OVER (PARTITION BY f.label) - 2 * pi()) AS before, coalesce(lead(lo) OVER w, min(lo) OVER (PARTITION BY f.label) + 2 * pi()) AS after
+        FROM f JOIN (SELECT label, min(half) AS cushion FROM c GROUP BY label) USING (label) WINDOW w AS (PARTITION BY f.label ORDER BY lo)),
+    allowed AS (SELECT label, before + cushion AS lo, lo - cushion AS hi FROM g WHERE place > 1 OR lo > -pi() UNION ALL SELECT label, hi + cushion, after - cushion FROM g WHERE place = many AND hi < pi()),
+    u AS (SELECT label, lo + turn * 2 * pi() AS lo, hi + turn * 2 * pi() AS hi FROM f, (SELECT unnest([-1, 0, 1]) AS turn)),
+    {_ISLANDS.format("l", "u")},
+    n AS (SELECT *, lag(hi) OVER w AS before, lead(lo) OVER w AS after FROM l WINDOW w AS (PARTITION BY label ORDER BY lo)),
+    d AS (SELECT label, vec_id, atan2(u, v) AS angle FROM p),
+    j AS (SELECT d.label, vec_id, angle, n.lo AS b, n.hi AS e, before, after FROM d ASOF JOIN n ON d.label = n.label AND d.angle >= n.lo),
+    k AS (SELECT label, vec_id, 'next_ccw' AS kind, e AS lo, after AS hi FROM j UNION ALL SELECT label, vec_id, 'next_cw', CASE WHEN angle <= e THEN before ELSE e END, CASE WHEN angle <= e THEN b ELSE after END FROM j),
+    q AS (SELECT *, CASE WHEN lo >= pi() THEN -2 * pi() WHEN hi <= -pi() THEN 2 * pi() ELSE 0 END AS turn FROM k)
+    SELECT label, 'forbidden' AS kind, CAST(NULL AS BIGINT) AS vec_id, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi FROM f
+    UNION ALL SELECT label, 'allowed', NULL, round(lo, 6) + 0.0, round(hi, 6) + 0.0 FROM allowed WHERE lo < hi
+    UNION ALL SELECT label, kind, vec_id, round(lo + turn, 6) + 0.0, round(hi + turn, 6) + 0.0 FROM q""",
+)
 def arc_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forbidden arcs, allowed ones with a cushion, and
     for each row the next allowed one in both directions from where (u, v) points. All arcs of a label together are
