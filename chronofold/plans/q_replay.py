@@ -86,7 +86,11 @@ def _line(us: Column, parts: Column) -> Column:
 
 
 def _payloads(records: DataFrame) -> DataFrame:
-    """The typed records of five tags, a few fields of each."""
+    """The typed records of five tags, a few fields of each; the logs are read once."""
+    spark = records.sparkSession
+    path = f"{scratch(spark, 'records')}/all"
+    records.write.parquet(path)
+    records = spark.read.schema(records.schema).parquet(path)
     none = lambda t: F.lit(None).cast(t)
     id_ = F.col("instance").cast("long")
     of = {
