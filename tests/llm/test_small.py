@@ -471,3 +471,18 @@ def test_pii_discovers_groups_and_written_out_addresses(docs):
     for i, (a, m, _) in new.items():
         assert got[i]["spans"] == [{"kind": 3 if a == "dialling" else 0, "start": 6 + len(a), "end": 6 + len(a) + len(m)}], i
     assert got[60]["spans"] == [] and got[61]["spans"] == [] and got[62]["spans"] == []
+
+
+def test_jaccard_shuffles_packed_prefixes_and_no_texts(docs, monkeypatch):
+    """Prefixes go to slots many in a row, and texts stay where they are; hot n-grams, met in parts, change no result."""
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40 - i % 3)) + " the same few words for all of them") for i in range(60)] + [(100 + i, "the same few words for all of them") for i in range(5)]
+    want = brute.jaccard_components(rows)
+    seen, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (seen.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
+    for entries in (1 << 20, 2):
+        monkeypatch.setattr(jaccard, "ENTRIES", entries)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(rows)).collect()}
+        assert got == want
+    assert "RepartitionByExpression [slot" in seen["meetings"]
+    above = seen["links"][: seen["links"].index("Join Inner")]
+    assert above.count("MapInArrow") == 1, "sets are made before they are joined with their blocks"
