@@ -1,12 +1,14 @@
 """State graphs as rows: states with their durations, and their successors, of which a state may have several.
 
-Both operators go through the graph a step at a time: a step is one equi-join of the states that were reached with the edges, and one
-aggregation by state, so forks that meet again go on as one. Each step is written, which cuts its lineage. A path has no more
-states than its machine; a graph that goes on beyond that has a cycle.
+Both operators go through the graph a step at a time: a step is one aggregation by state of the rows that reached it, so forks that meet
+again go on as one, and one equi-join with the edges. The edges are dealt by state once, for all steps; a step shuffles only the rows
+of the one before. Each step is written, which cuts its lineage. A path has no more states than its machine; a graph that goes on
+beyond that has a cycle.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,22 @@ class Cycle(ValueError):
     """The states of a machine lead back to one of them."""
 
 
-def _steps(first: DataFrame, step, most: int) -> DataFrame:
-    """The rows of all steps, from `first` until there are none."""
+def _steps(first: DataFrame, edges: DataFrame, on: list[str], step, most: int) -> DataFrame:
+    """The rows of all steps, from `first` until there are none; step(rows, edges) gives those of the next."""
     spark = first.sparkSession
     path = scratch(spark, "steps")
-    now = first
-    for n in range(most + 1):
-        now.write.parquet(f"{path}/step={n}")
-        now = spark.read.schema(first.schema).parquet(f"{path}/step={n}")
-        if now.isEmpty():
-            return spark.read.schema(first.schema).parquet(path)
-        now = step(now)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = edges.repartition(parts, *on).sortWithinPartitions(*on).persist(StorageLevel.DISK_ONLY)
+    try:
+        now = first
+        for n in range(most + 1):
+            now.write.parquet(f"{path}/step={n}")
+            now = spark.read.schema(first.schema).parquet(f"{path}/step={n}")
+            if now.isEmpty():
+                return spark.read.schema(first.schema).parquet(path)
+            now = step(now, kept)
+    finally:
+        kept.unpersist()
     raise Cycle(f"a state is reached after {most} others of its machine")
 
 
@@ -45,11 +52,11 @@ def flattened(states: DataFrame, successors: DataFrame, machine: str = "machine"
     first = states.where("start").select(machine, state, F.lit(1).cast("long").alias("n_paths"), zero.alias("earliest"), zero.alias("latest"))
     told = [F.sum("n_paths").cast("long").alias("n_paths"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest")]
 
-    def step(now: DataFrame) -> DataFrame:
-        gone = now.join(went, [machine, state]).select(machine, F.col("next").alias(state), "n_paths", *((F.col(c) + F.col("duration")).cast(first.schema[c].dataType).alias(c) for c in ("earliest", "latest")))
-        return gone.groupBy(machine, state).agg(*told)
+    def step(now: DataFrame, went: DataFrame) -> DataFrame:
+        gone = now.groupBy(machine, state).agg(*told).join(went, [machine, state])
+        return gone.select(machine, F.col("next").alias(state), "n_paths", *((F.col(c) + F.col("duration")).cast(first.schema[c].dataType).alias(c) for c in ("earliest", "latest")))
 
-    return _steps(first.groupBy(machine, state).agg(*told), step, _most(states, machine)).groupBy(machine, state).agg(*told)
+    return _steps(first, went, [machine, state], step, _most(states, machine)).groupBy(machine, state).agg(*told)
 
 
 def time_to_flag(states: DataFrame, successors: DataFrame, machine: str = "machine", state: str = "state") -> DataFrame:
@@ -60,10 +67,11 @@ def time_to_flag(states: DataFrame, successors: DataFrame, machine: str = "machi
     first = states.where("flag").select(machine, state, F.lit(0).cast(states.schema["duration"].dataType).alias("left"))
     back = successors.join(states.where("not flag").select(machine, state, "duration"), [machine, state]).select(machine, F.col(state).alias("_from"), F.col("next").alias(state), "duration")
 
-    def step(now: DataFrame) -> DataFrame:
-        return now.join(back, [machine, state]).groupBy(machine, F.col("_from").alias(state)).agg(F.min(F.col("left") + F.col("duration")).cast(first.schema["left"].dataType).alias("left"))
+    def step(now: DataFrame, back: DataFrame) -> DataFrame:
+        gone = now.groupBy(machine, state).agg(F.min("left").alias("left")).join(back, [machine, state])
+        return gone.select(machine, F.col("_from").alias(state), (F.col("left") + F.col("duration")).cast(first.schema["left"].dataType).alias("left"))
 
-    return _steps(first, step, _most(states, machine)).groupBy(machine, state).agg(F.min("left").alias("left"))
+    return _steps(first, back, [machine, state], step, _most(states, machine)).groupBy(machine, state).agg(F.min("left").alias("left"))
 
 
 def aligned(states: DataFrame, successors: DataFrame, seen: DataFrame, machine: str = "machine", state: str = "state") -> DataFrame:

@@ -65,3 +65,22 @@ def test_cycles_are_told(spark):
 
 def test_nothing(spark):
     assert graphs.flattened(*(d.limit(0) for d in made(spark, {"a": {0: (1, True, [0])}}))).count() == 0
+
+
+def test_edges_are_dealt_once(spark, machines, monkeypatch):
+    """A step joins the rows before it with edges that lie where they were dealt to: it reads no file but theirs, and none are left behind."""
+    seen, real = [], graphs._steps
+
+    def spied(first, edges, on, step, most):
+        def told(now, kept):
+            out = step(now, kept)
+            seen.append((kept.storageLevel.useDisk, out._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation")))
+            return out
+
+        return real(first, edges, on, told, most)
+
+    monkeypatch.setattr(graphs, "_steps", spied)
+    graphs.flattened(*made(spark, machines)).collect()
+    graphs.time_to_flag(*made(spark, machines)).collect()
+    assert seen and set(seen) == {(True, 1)}
+    assert spark._jsc.getPersistentRDDs().size() == 0
