@@ -128,6 +128,8 @@ _OPENS = {
 _CLOSES = {"life": {"ACT-": None}, "status": {"STA-": 1}, "cast": {"CST-": None}, "combat": {"COM-": None, "DIE+": None}}
 #: Of several values at one time the last one counts.
 _HISTORIES = ("name", "targetable", "ally", "dead", "position", "points", "size", "animation", "event_state", "timeline")
+#: Records that a task of `build` is to have.
+PART_ROWS = 1 << 16
 #: Records of no entity, one table each.
 _OF_LOG = {"zone": "ZONE", "marker": "UMRK", "director": "DIRU", "map_effect": "ENVC", "message": "SLOG", "request": "CLAR", "reject": "CLRJ", "party": "PAR "}
 
@@ -161,9 +163,12 @@ def build(records: DataFrame) -> DataFrame:
     entity = _OF_LOG.values()
     first = F.split_part(F.get("fields", F.lit(0)), F.lit("/"), F.lit(1))
     id_ = F.when(~F.col("tag").isin(*entity), F.conv(first, 16, 10).try_cast("decimal(20,0)"))
-    rows = now.withColumn("marks", _marks()).where((F.size("marks") > 0) | (F.col("tag") == "ACT-"))
-    rows = rows.select("replay_id", "op_seq", "ts_us", "tag", "fields", "marks", id_.alias("instance"), F.when(id_.isNull(), F.col("op_seq")).alias("_place"))
-    rows = rows.join(heads, "replay_id").repartition("replay_id", "instance", "_place")
+    tags = {t for told in (*_OPENS.values(), *_CLOSES.values()) for t in told} | set(entity)
+    rows = now.where(F.col("tag").isin(*sorted(tags)))
+    # As many parts as the rows ask for: what a task sorts does not grow with the logs.
+    parts = max(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS + 1)
+    rows = rows.select("replay_id", "op_seq", "ts_us", "tag", "fields", id_.alias("instance"), F.when(id_.isNull(), F.col("op_seq")).alias("_place"))
+    rows = rows.join(heads, "replay_id").repartition(parts, "replay_id", "instance", "_place")
     own = Window.partitionBy("replay_id", "instance", "_place").orderBy(*_ORDER)
     past, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     born, gone = F.col("tag") == "ACT+", F.col("tag") == "ACT-"
@@ -173,7 +178,7 @@ def build(records: DataFrame) -> DataFrame:
     told = rows.withColumn("_before", before).withColumn("_left", left)
     told = told.withColumn("_new", born & (F.col("_before").isNull() | ~identity.eqNullSafe(F.col("_before")) | F.coalesce(moved, F.lit(False))))
     told = told.withColumn("epoch", F.count_if("_new").over(so_far)).withColumn("_gone", _later(F.when(gone, F.col("ts_us")), "replay_id", "instance", "_place"))
-    each = told.select("replay_id", "instance", "_place", "epoch", "op_seq", "ts_us", "tag", "fields", "log_end", "_gone", F.explode("marks").alias("mark")).select("*", "mark.*").drop("mark")
+    each = told.select("replay_id", "instance", "_place", "epoch", "op_seq", "ts_us", "tag", "fields", "log_end", "_gone", F.explode(_marks()).alias("mark")).select("*", "mark.*").drop("mark")
     slots = Window.partitionBy("replay_id", "instance", "_place", "channel", "slot").orderBy(*_ORDER)
     each = each.withColumn("_next", F.lead("ts_us").over(slots)).where("opens")
     lasting = ~F.col("channel").isin("action", "icon", "confirmation", *_OF_LOG)

@@ -174,3 +174,13 @@ def test_cones(spark, log, tmp_path):
     assert got[1, 3, "source"] == (0.0, 10.0, False) and got[1, 3, "target"] == (0.0, 10.0, False) and got[1, 3, "toward"] == (None, 10.0, False)
     # Upon itself: towards its first target.
     assert got[2, 3, "toward"] == (0.0, 20.0, True)
+
+
+def test_parts_grow_with_the_records(spark, monkeypatch):
+    """What a task sorts is bounded by the records of a part, not by the size of all logs."""
+    rows = [("log", i, i, "HP  ", [f"{i % 50:X}", str(i), "900", "0", "0", "10000"]) for i in range(400)]
+    records = spark.createDataFrame(rows, "replay_id string, op_seq long, ts_us long, tag string, fields array<string>")
+    monkeypatch.setattr(replay, "PART_ROWS", 20)
+    found = replay.build(records)
+    assert found.rdd.getNumPartitions() == 21
+    assert found.count() == 400
