@@ -11,7 +11,7 @@ from chronofold.operators import replay
 from chronofold.plans.fixtures import DAY, E, log_bounds, of_type, ops
 from chronofold.plans.registry import query
 from chronofold.sources import oplog
-from chronofold.sources.tables import table
+from chronofold.sources.tables import scratch, table
 
 _TAGS = {"signup": "ACT+", "view": "MOVE", "click": "CST!", "error": "ACT-", "purchase": "HP"}
 _SQL_TAG = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v:<4}'" for k, v in _TAGS.items()) + " END"
@@ -113,7 +113,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag = F.when(F.col("event_type") == kind, _RECORDS[kind]).otherwise(tag)
         fields = F.when(F.col("event_type") == kind, F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise(fields)
     lines = oplog.emit(e, F.col("ts"), tag, [fields]).select(F.lit("log").alias("replay_id"), F.col("event_id").alias("op_seq"), "line")
-    return oplog.parse(lines)
+    # Each table of a replay reads the records anew: they are made and parsed once.
+    records = oplog.parse(lines).drop("line")
+    path = f"{scratch(spark, 'records')}/all"
+    records.write.parquet(path)
+    return spark.read.schema(records.schema).parquet(path)
 
 
 @query(
