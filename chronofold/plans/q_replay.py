@@ -87,10 +87,7 @@ def _line(us: Column, parts: Column) -> Column:
 
 def _payloads(records: DataFrame) -> DataFrame:
     """The typed records of five tags, a few fields of each; the logs are read once."""
-    spark = records.sparkSession
-    path = f"{scratch(spark, 'records')}/all"
-    records.write.parquet(path)
-    records = spark.read.schema(records.schema).parquet(path)
+    records = oplog.saved(records, "records")
     none = lambda t: F.lit(None).cast(t)
     id_ = F.col("instance").cast("long")
     of = {
@@ -172,7 +169,7 @@ def log_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     oplog.convert(spark, text, raw, "binary")
     oplog.convert(spark, raw, back, "text")
     order = Window.partitionBy("replay_id").orderBy("op_seq")
-    return oplog.read_lines(spark, back).select(_user().alias("user_id"), F.row_number().over(order).cast("long").alias("line_no"), "line")
+    return oplog.read_text(spark, back).select(_user().alias("user_id"), F.row_number().over(order).cast("long").alias("line_no"), "line")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from chronofold.functions.time import micros, moment
 from chronofold.sources import binary
 from chronofold.sources.records import KNOWN, LATEST, OLDEST, grammars, upgraded, with_version
+from chronofold.sources.tables import scratch
 
 
 class UnknownTag(ValueError):
@@ -45,28 +47,50 @@ def _below(spark: SparkSession, path: str) -> Column:
     return F.substr(whole, F.locate(folder, whole) + len(folder))
 
 
-def text_logs(spark: SparkSession, path: str) -> list[str]:
-    """The logs below a folder that are text: those that begin with the name of no other form. Their names go to the driver."""
+def _long_text(spark: SparkSession, path: str) -> list[str]:
+    """The text logs below a folder that are too long for one task. Their names go to the driver."""
 
     def text_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([not binary.is_binary(u) for u in b.column("uri").to_pylist()], pa.bool_()))
 
-    found = [(uri,) for uri, _, _ in binary.log_files(path)]
+    found = [(uri,) for uri, _, n in binary.log_files(path) if n > binary.BinaryLogReader.TEXT_BYTES]
     if not found:
         return []
     return [r["uri"] for r in spark.createDataFrame(found, "uri string").repartition(min(len(found), 200)).mapInArrow(text_only, "uri string").collect()]
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(replay_id, op_seq, line) of the logs below a folder that are text; as `read_lines`, but many short logs go to one task."""
+    binary.register(spark)
+    short = spark.read.format("binary_log").option("lines", "true").load(path).where("line is not null").select("replay_id", "op_seq", "line")
+    long = _long_text(spark, path)
+    return short.unionByName(read_lines(spark, path, long)) if long else short
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(replay_id, op_seq, ts_us, version, tag, fields, error) of all logs below a folder, text and binary, each known by how it begins.
 
     A row with an error has no tag: its log, a binary one, can't be read on from there.
     """
     binary.register(spark)
-    lines = with_version(parse(read_lines(spark, path, text_logs(spark, path))))
-    told = lines.select("replay_id", "op_seq", "ts_us", "version", "tag", "fields", F.lit(None).cast("string").alias("error"))
-    return told.unionByName(spark.read.format("binary_log").load(path))
+    text = F.col("line").isNotNull()
+    rows = spark.read.format("binary_log").option("lines", "true").load(path).withColumn("_f", _split("line")).where(~text | _is_record("line"))
+    told = {c: F.when(text, v).otherwise(F.col(c)).alias(c) for c, v in _parsed().items()}
+    records = rows.select("replay_id", "op_seq", told["ts_us"], "version", told["tag"], told["fields"], "error")
+    long = _long_text(spark, path)
+    if not long:
+        return records
+    lines = with_version(parse(read_lines(spark, path, long)))
+    return records.unionByName(lines.select("replay_id", "op_seq", "ts_us", "version", "tag", "fields", F.lit(None).cast("string").alias("error")))
+
+
+def saved(records: DataFrame, name: str) -> DataFrame:
+    """`records`, written once for all that reads them."""
+    spark = records.sparkSession
+    path = f"{scratch(spark, name)}/all"
+    records.write.parquet(path)
+    return spark.read.schema(records.schema).parquet(path)
 
 
 def sorted_out(records: DataFrame, whole_logs: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -76,34 +100,43 @@ def sorted_out(records: DataFrame, whole_logs: bool = True) -> tuple[DataFrame,
     read, or an entity that is made while it is there. It condemns its whole log, or its record alone; other logs
     are not touched. Records that are condemned with their log have no problem of their own.
     """
-    spark = records.sparkSession
     known = records if "version" in records.columns else with_version(records)
     if "error" not in known.columns:
         known = known.withColumn("error", F.lit(None).cast("string"))
-    table = F.broadcast(spark.createDataFrame(grammars(), "g_tag string, g_first int, g_last int, g_expression string"))
-    of = F.least("version", F.lit(LATEST)).between(F.col("g_first"), F.col("g_last")) & (F.col("tag") == F.col("g_tag"))
-    checked = known.join(table, of, "left")
     entity = F.lower(F.split_part(F.get("fields", F.lit(0)), F.lit("/"), F.lit(1)))
     lives = known.where("tag in ('ACT+', 'ACT-')").withColumn("_entity", F.ltrim(entity, F.lit("0")))
     before = F.lag("tag").over(Window.partitionBy("replay_id", "_entity").orderBy("op_seq"))
     twice = lives.withColumn("_before", before).where("tag = 'ACT+' and _before = 'ACT+'").select("replay_id", "op_seq", F.lit(True).alias("_twice"))
-    problem = (
+    own = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("version").isNull(), "no version")
         .when(F.col("version") < OLDEST, "version is too old")
         .when(~F.coalesce(F.col("tag").isin(*KNOWN), F.lit(False)), "unknown tag")
         .when(F.col("ts_us").isNull(), "no time")
-        .when(~F.coalesce(F.regexp_like(F.array_join("fields", "|", ""), F.col("g_expression")), F.lit(False)), "fields are not as they should be")
-        .when(F.col("_twice"), "made while it is there")
+        .when(~_fits(), "fields are not as they should be")
     )
-    told = checked.join(twice, ["replay_id", "op_seq"], "left").withColumn("problem", problem).drop("g_tag", "g_first", "g_last", "g_expression", "_twice")
-    good = F.col("problem").isNull()
+    checked = known.withColumn("problem", own)
+    told = checked.join(twice, ["replay_id", "op_seq"], "left").withColumn("problem", F.coalesce("problem", F.when(F.col("_twice"), "made while it is there"))).drop("_twice")
     if whole_logs:
-        broken = told.where(~good).select("replay_id").distinct()
-        return told.join(broken, "replay_id", "left_anti").drop("problem", "error"), told.join(broken, "replay_id", "left_semi").drop("error")
+        # The good are told by the names of the others alone, and lie as they will be written: all of a log in one part.
+        broken = checked.where("problem is not null").select("replay_id").unionByName(twice.select("replay_id")).distinct().hint("shuffle_hash")
+        return known.drop("error").join(broken, "replay_id", "left_anti"), told.join(broken, "replay_id", "left_semi").drop("error")
+    good = F.col("problem").isNull()
     return told.where(good).drop("problem", "error"), told.where(~good).drop("error")
 
 
+def _fits() -> Column:
+    """Whether a record's fields are as its tag and version have them.
+
+    The expressions of all tags and versions are one literal, on tag, version as a character, and fields: it is compiled once
+    for a task, where a column of expressions would be for each record, and a case for each tag is too long to be compiled at all.
+    """
+    shown = 95
+    every = "|".join(f"{re.escape(tag)}[{chr(shown + first)}-{chr(shown + last)}](?:{expression.removeprefix('^')})" for tag, first, last, expression in grammars())
+    told = F.concat("tag", F.char(F.least("version", F.lit(LATEST)) + shown), F.array_join("fields", "|", ""))
+    return F.coalesce(F.regexp_like(told, F.lit(f"^(?:{every})")), F.lit(False))
+
+
 def frames(records: DataFrame) -> DataFrame:
     """(replay_id, op_seq, ts_us): where frames begin. Logs below version 5 have no frames of their own: one begins wherever time goes on."""
     own = records.where("tag = 'FRAM'").select("replay_id", "op_seq", "ts_us")
@@ -137,8 +170,8 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def convert(spark: SparkSession, source: str, target: str, form: str) -> DataFrame:
-    """Write the logs below `source` that can be read below `target`, in another form; the records of the others, with their problems."""
-    good, bad = sorted_out(read_records(spark, source))
+    """Write the logs below `source` that can be read below `target`, in another form; the records of the others, with their problems. The logs are read once."""
+    good, bad = sorted_out(saved(read_records(spark, source), "records"))
     write_logs(good, target, form)
     return bad
 
@@ -155,14 +188,27 @@ def parse(lines: DataFrame, line: str = "line", known: list[str] | None = None,
     The seventh fractional digit of a timestamp is dropped. Unknown tags are kept as they are, or end
     the query in mode FAILFAST.
     """
-    f = F.split(F.col(line), r"\|")
+    parts = _parsed()
+    if known is not None and mode == "FAILFAST":
+        tag = parts["tag"]
+        parts["tag"] = F.when(tag.isin(known), tag).otherwise(F.raise_error(F.concat(F.lit("unknown tag "), tag)).cast("string"))
+    return lines.withColumn("_f", _split(line)).where(_is_record(line)).withColumns(parts).drop("_f")
+
+
+def _split(line: str) -> Column:
+    return F.split(F.col(line), r"\|")
+
+
+def _is_record(line: str) -> Column:
+    """Whether a line, with its parts in `_f`, is a record."""
     ok = (F.length(F.trim(line)) > 0) & ~F.startswith(F.ltrim(line), F.lit("#"))
-    out = lines.where(ok).withColumn("_f", f).where((F.size("_f") >= 2) & (F.length(F.get("_f", F.lit(1))) == 4))
+    return ok & (F.size("_f") >= 2) & (F.length(F.get("_f", F.lit(1))) == 4)
+
+
+def _parsed() -> dict[str, Column]:
+    """What a record's parts in `_f` tell."""
     stamp = F.regexp_replace(F.get("_f", F.lit(0)), r"(\.\d{6})\d*Z?$", "$1")
-    tag = F.get("_f", F.lit(1))
-    if known is not None and mode == "FAILFAST":
-        tag = F.when(tag.isin(known), tag).otherwise(F.raise_error(F.concat(F.lit("unknown tag "), tag)).cast("string"))
-    return out.withColumn("ts_us", micros(stamp.try_cast("timestamp_ntz"))).withColumn("tag", tag).withColumn("fields", F.slice("_f", F.lit(3), F.greatest(F.size("_f") - 2, F.lit(0)))).drop("_f")
+    return {"ts_us": micros(stamp.try_cast("timestamp_ntz")), "tag": F.get("_f", F.lit(1)), "fields": F.slice("_f", F.lit(3), F.greatest(F.size("_f") - 2, F.lit(0)))}
 
 
 def field(i: int) -> Column:

@@ -206,3 +206,63 @@ def test_pieces_of_any_size(seed, piece):
 def test_every_layout_has_a_grammar(spark):
     good, bad = oplog.sorted_out(spark.createDataFrame([("l", i, 0, 31, r[:4], r.split("|")[1:]) for i, r in enumerate([HEADS[31], *EVERY])], "replay_id string, op_seq long, ts_us long, version int, tag string, fields array<string>").where(F.col("tag") != "ACT+"))
     assert bad.count() == 0 and len(records.grammars()) > len(records.KNOWN)
+
+
+def test_short_text_logs_share_tasks(spark, tmp_path):
+    """Many short logs are one part and one scan, which Spark's reader of text has no hand in; a longer log is split by Spark."""
+    for i in range(300):
+        save(tmp_path, f"by user/{i}.log", 31, [f"UMRK|{i}"])
+    assert len(binary.BinaryLogReader(str(tmp_path), True).partitions()) == 1
+    r = oplog.read_records(spark, str(tmp_path))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and plan.count("binary_log") == 1
+    assert sorted((x.replay_id, x.version, x.tag, x.fields[0]) for x in r.where("tag <> 'VER '").collect()) == sorted((f"by user/{i}.log", 31, "UMRK", str(i)) for i in range(300))
+
+
+def test_long_text_logs_are_split(spark, tmp_path):
+    """A text log too long for one task is read by Spark, once, beside short ones."""
+    save(tmp_path, "short.log", 19, ["UMRK|a"])
+    save(tmp_path, "long.log", 12, ["UMRK|" + "b" * (1 << 20)] * 34)
+    assert [u.rsplit("/", 1)[1] for u in oplog._long_text(spark, str(tmp_path))] == ["long.log"]
+    read = oplog.read_records(spark, str(tmp_path)).groupBy("replay_id", "version", "tag").count().collect()
+    assert sorted(map(tuple, read)) == [("long.log", 12, "UMRK", 34), ("long.log", 12, "VER ", 1), ("short.log", 19, "UMRK", 1), ("short.log", 19, "VER ", 1)]
+    assert oplog.read_text(spark, str(tmp_path)).count() == 37
+
+
+def test_lines_of_text_are_those_of_spark(spark, tmp_path):
+    odd = {"crlf.log": b"a\r\nb\rc\n\nd", "bom.log": b"\xef\xbb\xbfone\ntwo\n", "empty.log": b"", "end.log": b"\n", "few.log": b"ab", "wide.log": "ä日 x\x0by\n".encode()}
+    for name, raw in odd.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = [sorted((x.replay_id, x.op_seq, x.line) for x in read(spark, str(tmp_path)).collect()) for read in (oplog.read_text, oplog.read_lines)]
+    own = [[(name, [x[2] for x in r if x[0] == name]) for name in odd] for r in rows]
+    assert own[0] == own[1]
+
+
+@pytest.mark.parametrize("first", ["VER |31|1|g", "VER |x", "VER ", "# VER |31\n0|VER |12", " 12", "VER | 7 |1", "VER |99999999999"])
+def test_version_of_text(spark, tmp_path, first):
+    (tmp_path / "a.log").write_text(f"{stamp(0)}|{first}\n{stamp(0)}|UMRK|x\n{stamp(0)}|VER |30\n" if not first.startswith("#") else f"{first}\n{stamp(0)}|UMRK|x\n")
+    want = oplog.with_version(oplog.parse(oplog.read_lines(spark, str(tmp_path))))
+    got = oplog.read_records(spark, str(tmp_path))
+    columns = ("ts_us", "version", "tag", "fields")
+    assert [tuple(r) for r in got.orderBy("op_seq").select(*columns).collect()] == [tuple(r) for r in want.orderBy("op_seq").select(*columns).collect()]
+
+
+def test_records_are_checked_by_one_literal(spark):
+    """No expression comes with a row, as each would be compiled for each record; and the good are found without a join of all records with it."""
+    r = spark.createDataFrame([("l", 0, 0, 31, "VER ", ["31"])], "replay_id string, op_seq long, ts_us long, version int, tag string, fields array<string>")
+    plan = oplog.sorted_out(r)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "g_expression" not in plan and plan.count("Join") == 1
+
+
+def test_names_of_logs_stay_in_the_store(tmp_path):
+    """What a task tells the driver doesn't grow with its logs."""
+    import pickle
+
+    import pyarrow as pa
+
+    writer = binary.LogWriter(str(tmp_path), binary=False)
+    names = [f"by user/{i}.log" for i in range(500)]
+    told = writer.write(iter([pa.RecordBatch.from_pydict({"replay_id": names, "line": ["x"] * 500})]))
+    assert len(pickle.dumps(told)) < 500
+    writer.commit([told, None])
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()) == sorted(names)
