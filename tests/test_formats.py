@@ -296,3 +296,14 @@ def test_packed_is_field_by_field(monkeypatch):
     monkeypatch.setattr(binary, "_reads", lambda tag, version: tuple((None, f) for f in records.layout(tag, version)))
     assert made() == raw
     assert (made(odd), [read(raw[:n]) for n in cuts]) == at_once
+
+
+def test_versions_share_a_scan(spark, tmp_path):
+    """Logs of all versions, binary ones among them, are read in one scan without a join for the version of each."""
+    for version, rows in VERSIONS.items():
+        save(tmp_path, f"v{version}.log", version, rows)
+    made = binary.Encoder()
+    (tmp_path / "raw.log").write_bytes(made.header() + made.record(0, "VER ", ["31", "10000000", "game"]) + made.record(0, "PVP+", []))
+    r = oplog.read_records(spark, str(tmp_path))
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.replay_id, x.version) for x in r.select("replay_id", "version").distinct().collect()} == {*((f"v{v}.log", v) for v in VERSIONS), ("raw.log", 31)}
