@@ -11,7 +11,7 @@ from chronofold.operators.temporal import snapshots, states_at
 from chronofold.plans.fixtures import E, log_bounds, ops
 from chronofold.plans.registry import query
 from chronofold.sources import oplog
-from chronofold.sources.records import typed
+from chronofold.sources.records import ALIASES, typed
 from chronofold.sources.tables import scratch
 
 
@@ -19,6 +19,18 @@ def _number(c: Column) -> Column:
     return c.cast("long").cast("string")
 
 
+def _joined(parts: list[Column | str]) -> Column:
+    """Tag and fields as text. Those that are fixed are joined here: a case of few pieces is short, and Java doesn't compile a method of more than 8,000 bytes."""
+    out: list[Column | str] = []
+    for i, p in enumerate(parts):
+        for piece in ("|", p) if i else (p,):
+            if isinstance(piece, str) and out and isinstance(out[-1], str):
+                out[-1] += piece
+            else:
+                out.append(piece)
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in out))
+
+
 def _either(cases: dict[str, list[Column | str]]) -> Column:
     """Tag and fields by event type, as an array."""
     out = F.lit(None).cast("array<string>")
@@ -27,29 +39,40 @@ def _either(cases: dict[str, list[Column | str]]) -> Column:
     return out
 
 
+def _texts() -> dict[str, Column]:
+    """The texts that all versions have in common, made once for each operation; what is null is an empty field."""
+    return {
+        "_own": F.hex("event_id"),
+        "_v": F.format_string("%.3f", F.col("value")),
+        "_left": F.format_string("%.3f", F.lit(600.0) - F.round("value", 3)),
+        "_whole": F.coalesce(_number(F.col("value")), F.lit("")),
+        "_k": F.coalesce(_number(F.col("k")), F.lit("")),
+    }
+
+
 def _written() -> dict[int, dict[str, list[Column | str]]]:
-    """What each version writes for the same five operations."""
-    own, v = F.hex("event_id"), F.format_string("%.3f", F.col("value"))
+    """What each version writes for the same five operations, from their `_texts`."""
+    own, v, left, whole, k = (F.col(f"_{c}") for c in ("own", "v", "left", "whole", "k"))
     found: dict[int, dict[str, list[Column | str]]] = {
         5: {
             "signup": ["ACT+", F.concat(own, F.lit("/2A/name/Enemy/"), v, F.lit("/0/1/90")), "WAR", "True", "0.500", "0", "100/200"],
-            "view": ["HP  ", F.hex("event_id"), F.concat(_number(F.col("value")), F.lit("/900"))],
-            "click": ["CST+", own, F.concat(F.lit("Spell "), _number(F.col("k"))), "0", "0/0/0", F.concat(v, F.lit("/600.000"))],
-            "purchase": ["CLCD", "False", "1", _number(F.col("k")), v, "600"],
+            "view": ["HP  ", own, F.concat(whole, F.lit("/900"))],
+            "click": ["CST+", own, F.concat(F.lit("Spell "), k), "0", "0/0/0", F.concat(v, F.lit("/600.000"))],
+            "purchase": ["CLCD", "False", "1", k, v, "600"],
             "error": ["MOVE", F.concat(own, F.lit("/2A/name/Enemy/0/0/"), v, F.lit("/90"))],
         },
         12: {
             "signup": ["ACT+", own, "2A", "-1", "name", "0205", "WAR", "0", F.concat(v, F.lit("/0/1")), "90", "0.500", "100", "200", "0", "0", "True", "False", "0"],
-            "view": ["HP  ", own, _number(F.col("value")), "900", "0", "0"],
-            "click": ["CST+", own, F.concat(F.lit("Spell "), _number(F.col("k"))), "0", "0/0/0", F.concat(v, F.lit("/600.000")), "False", "0"],
-            "purchase": ["CLCD", "False", "1", _number(F.col("k")), v, "600"],
+            "view": ["HP  ", own, whole, "900", "0", "0"],
+            "click": ["CST+", own, F.concat(F.lit("Spell "), k), "0", "0/0/0", F.concat(v, F.lit("/600.000")), "False", "0"],
+            "purchase": ["CLCD", "False", "1", k, v, "600"],
             "error": ["MOVE", own, F.concat(F.lit("0/0/"), v), "90"],
         },
     }
     found[19] = found[12] | {
         "signup": [*found[12]["signup"][:5], "0", *found[12]["signup"][5:], "0"],
-        "click": [*found[12]["click"][:5], F.concat(F.format_string("%.3f", F.lit(600.0) - F.round("value", 3)), F.lit("/600.000")), "False", "0"],
-        "purchase": ["CLCD", "False", "1", _number(F.col("k")), F.format_string("%.3f", F.lit(600.0) - F.round("value", 3)), "600"],
+        "click": [*found[12]["click"][:5], F.concat(left, F.lit("/600.000")), "False", "0"],
+        "purchase": ["CLCD", "False", "1", k, left, "600"],
     }
     found[31] = found[19] | {
         "signup": ["ACT+", own, "2A", "-1", "0", "name", "0", "0205", "WAR", "0", F.concat(v, F.lit("/0/1")), "90", "0.500", "100", "200", "0", "0", "10000", "True", "False", "0", "0", "0"],
@@ -81,13 +104,12 @@ def _user() -> Column:
     return F.regexp_extract("replay_id", r"(\d+)\.log$", 1).cast("long")
 
 
-def _line(us: Column, parts: Column) -> Column:
-    return F.concat(F.date_format(moment(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z|"), F.array_join(parts, "|"))
+def _line(us: Column, record: Column) -> Column:
+    return F.concat(F.date_format(moment(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z|"), record)
 
 
 def _payloads(records: DataFrame) -> DataFrame:
-    """The typed records of five tags, a few fields of each; the logs are read once."""
-    records = oplog.saved(records, "records")
+    """The typed records of six tags, a few fields of each; the logs are read once."""
     none = lambda t: F.lit(None).cast(t)
     id_ = F.col("instance").cast("long")
     of = {
@@ -98,6 +120,8 @@ def _payloads(records: DataFrame) -> DataFrame:
         "STA+": (id_, F.col("slot"), F.col("extra"), F.col("remaining_s")),
         "MOVE": (id_, none("long"), none("long"), F.col("position.z")),
     }
+    wanted = records.where(F.col("tag").isin(*of, *(old for old, now in ALIASES.items() if now in of)))
+    records = oplog.saved(wanted, "records")
     out = None
     for tag, (instance, a, b, x) in of.items():
         part = typed(records, tag).select(_user().alias("user_id"), F.lit(tag.strip()).alias("tag"), "ts_us", instance.alias("instance"), a.alias("a"), b.alias("b"), F.round(x, 3).alias("x"))
@@ -114,13 +138,15 @@ def versioned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = _written()
     versions = list(written)
     e = ops(spark, sf_dir)
-    parts = F.lit(None).cast("array<string>")
-    head = F.lit(None).cast("string")
+    record, head = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, v in enumerate(versions):
         own = F.col("user_id") % len(versions) == i
-        parts, head = F.when(own, _either(written[v])).otherwise(parts), F.when(own, F.lit(_HEAD[v])).otherwise(head)
-    lines = e.select(_log_name().alias("replay_id"), F.col("event_id").alias("op_seq"), _line(F.col("us"), parts).alias("line"))
-    first = e.groupBy("user_id").agg(F.min("us").alias("us")).select(_log_name().alias("replay_id"), F.lit(-1).cast("long").alias("op_seq"), _line(F.col("us"), F.array(head)).alias("line"))
+        told = F.lit(None).cast("string")
+        for kind, parts in written[v].items():
+            told = F.when(F.col("event_type") == kind, _joined(parts)).otherwise(told)
+        record, head = F.when(own, told).otherwise(record), F.when(own, F.lit(_HEAD[v])).otherwise(head)
+    lines = e.withColumns(_texts()).select(_log_name().alias("replay_id"), F.col("event_id").alias("op_seq"), _line(F.col("us"), record).alias("line"))
+    first = e.groupBy("user_id").agg(F.min("us").alias("us")).select(_log_name().alias("replay_id"), F.lit(-1).cast("long").alias("op_seq"), _line(F.col("us"), head).alias("line"))
     path = scratch(spark, "versions")
     oplog.write_lines(first.unionByName(lines), path)
     return _payloads(oplog.read_records(spark, path))
@@ -134,8 +160,10 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = e.select(_log_name().alias("replay_id"), "us", "event_id", F.posexplode(F.array(frame, _either(_exact()))).alias("n", "parts"))
     first = e.groupBy("user_id").agg(F.min("us").alias("us")).select(_log_name().alias("replay_id"), "us", F.lit(-1).cast("long").alias("event_id"), F.lit(0).alias("n"), F.array(*(F.lit(p) for p in ("VER ", "31", "10000000", "game"))).alias("parts"))
     # In one bigint: the time, then the event's place among those of its time, then the frame before the operation.
-    log = Window.partitionBy("replay_id").orderBy("us", "event_id", "n")
-    told = first.unionByName(own).withColumn("op_seq", F.row_number().over(log).cast("long"))
+    log = Window.partitionBy("_hash", "replay_id").orderBy("us", "event_id", "n")
+    # Dealt as `write_logs` deals them, so that there is one shuffle for both.
+    dealt = first.unionByName(own).repartition("replay_id").withColumn("_hash", oplog.name_hash())
+    told = dealt.withColumn("op_seq", F.row_number().over(log).cast("long"))
     return told.select("replay_id", "op_seq", F.col("us").alias("ts_us"), F.lit(31).alias("version"), F.element_at("parts", 1).alias("tag"), F.slice("parts", 2, 99).alias("fields"))
 
 

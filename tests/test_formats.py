@@ -307,3 +307,54 @@ def test_versions_share_a_scan(spark, tmp_path):
     r = oplog.read_records(spark, str(tmp_path))
     assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
     assert {(x.replay_id, x.version) for x in r.select("replay_id", "version").distinct().collect()} == {*((f"v{v}.log", v) for v in VERSIONS), ("raw.log", 31)}
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """What is given to writers of logs: the columns, the plan and the length of the longest method made of it, without running it."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    told = []
+
+    def save(self, *a, **k):
+        told.append((self._df.columns, self._df._jdf.queryExecution().executedPlan().toString(), longest(spark, self._df)))
+
+    monkeypatch.setattr(DataFrameWriter, "save", save)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield told
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def longest(spark, df):
+    """Bytes of the longest method of those that Spark makes of whole stages."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+
+
+#: Java compiles no longer method.
+COMPILED = 8000
+
+
+def test_text_logs_are_written_from_lines_alone(spark, written):
+    """No column of lists goes along, whose nulls Spark counts anew for each row; logs are sorted by a number before their names."""
+    from chronofold.plans import q_replay
+
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(q_replay, "_payloads", lambda records: records)
+    q_replay.versioned_logs(spark, "/root/testdata/sf0.001")
+    monkey.undo()
+    r = spark.createDataFrame([("l", 0, 0, 31, "VER ", ["31"])], "replay_id string, op_seq long, ts_us long, version int, tag string, fields array<string>")
+    oplog.write_logs(r, "/nowhere", "text")
+    assert [c for c, _, _ in written] == [["replay_id", "op_seq", "line"]] * 2
+    assert all("Sort [xxhash64(replay_id" in plan for _, plan, _ in written)
+    assert all(n < COMPILED for _, _, n in written)
+
+
+def test_odd_lines_are_no_records(spark):
+    """Whether a line is a record is told by its second part, without its parts."""
+    lines = ["a|VER ", "a|VER |", "|VER |5|6", "VER ", "abcd", "a|VE|x", "a|VERSION|x", "a||VER ", "# a|VER |", "   ", "", "a|ä日 x|", "a|VER", "||||", "a|VER \r|x"]
+    want = ["a|VER ", "a|VER |", "|VER |5|6", "a|ä日 x|"]
+    r = spark.createDataFrame([("l", i, t) for i, t in enumerate(lines)], "replay_id string, op_seq long, line string")
+    assert sorted(x.line for x in oplog.parse(r).collect()) == sorted(want)
