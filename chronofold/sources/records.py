@@ -362,6 +362,10 @@ def upgraded(records: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
             fields = F.when(tag == t, new).otherwise(fields)
     # A log without a version is taken to be of the latest.
     old_tag = F.col("tag").isin(*ALIASES)
+    if "ACT+" in tags:
+        # With a higher-order function Spark makes a method of each part of these expressions, and of all of them together where
+        # there is none. That one would be too long for Java to compile (8,000 bytes).
+        old_tag = F.exists(F.array(*(F.lit(t) for t in ALIASES)), lambda old: old == F.col("tag"))
     fields = F.when((F.col("version") < LATEST) | old_tag, fields).otherwise(F.col("fields"))
     return records.withColumns({"fields": fields, "tag": tag})
 

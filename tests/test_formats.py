@@ -352,6 +352,16 @@ def test_text_logs_are_written_from_lines_alone(spark, written):
     assert all(n < COMPILED for _, _, n in written)
 
 
+def test_upgrades_are_compiled(spark, written):
+    """Records are brought to the latest version by methods short enough for Java to compile."""
+    r = spark.range(9).selectExpr("'l' as replay_id", "id as op_seq", "id as ts_us", "31 as version", "element_at(array('ACT+', 'CST+', 'HP  ', 'STA!'), int(id % 4) + 1) as tag", "array('1A', string(id)) as fields")
+    oplog.write_logs(r, "/nowhere")
+    [(_, _, n)] = written
+    assert 0 < n < COMPILED
+    own = r.withColumn("version", F.col("op_seq").cast("int"))
+    assert all(0 < longest(spark, records.typed(own, tag)) < COMPILED for tag in ("ACT+", "CST+", "HP  "))
+
+
 def test_odd_lines_are_no_records(spark):
     """Whether a line is a record is told by its second part, without its parts."""
     lines = ["a|VER ", "a|VER |", "|VER |5|6", "VER ", "abcd", "a|VE|x", "a|VERSION|x", "a||VER ", "# a|VER |", "   ", "", "a|ä日 x|", "a|VER", "||||", "a|VER \r|x"]
